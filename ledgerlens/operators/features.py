@@ -19,6 +19,8 @@ from ..sources.tables import TX_ORDER, micros
 US = 1_000_000
 HOUR_US = 3600 * US
 TRACKING = ("hash", "from_addr", "to_addr", "ts", "is_fraud")
+# Token amounts are summed exactly in decimal, then turned into doubles.
+MONEY = "decimal(20,6)"
 
 
 def calendar_features(tx: DataFrame) -> DataFrame:
@@ -98,8 +100,9 @@ def counterparty_aggregates(tx: DataFrame) -> DataFrame:
     snd = tx.where(F.col("from_addr").isNotNull()).groupBy("from_addr").agg(
         F.count("hash").alias("sender_tx_count"),
         F.count_distinct("to_addr").alias("sender_unique_receivers"),
-        F.sum("value_eth").alias("sender_total_value"),
-        F.avg("value_eth").alias("sender_avg_value"),
+        F.sum(F.col("value_eth").cast(MONEY)).cast("double").alias("sender_total_value"),
+        (F.sum(F.col("value_eth").cast(MONEY)).cast("double") / F.count("value_eth"))
+        .alias("sender_avg_value"),
         F.coalesce(F.stddev_samp("value_eth"), F.lit(0.0)).alias("sender_value_std"),
         F.avg("gas_cost_eth").alias("sender_avg_gas_cost"),
         F.avg(drainer).alias("sender_drainer_ratio"))
