@@ -134,10 +134,11 @@ def pr_curve(scores: DataFrame, **kw) -> DataFrame:
     return pts.unionByName(end)
 
 
-def pr_auc(scores: DataFrame, **kw) -> DataFrame:
+def pr_auc(scores: DataFrame, points: DataFrame | None = None, **kw) -> DataFrame:
     """E6 + E7: trapezoidal area under the PR curve starting at (0, 1), and
-    average precision (step sum of delta recall times precision). One row."""
-    c = curve_points(scores, **kw)
+    average precision (step sum of delta recall times precision). One row.
+    ``points``: a precomputed ``curve_points`` table to reuse."""
+    c = points if points is not None else curve_points(scores, **kw)
     tp, fp, tpp, fpp = (F.col(x).cast("double") for x in ("tp", "fp", "tp_prev", "fp_prev"))
     P = F.col("P").cast("double")
     p, pp = _prec(tp, fp, 1.0), _prec(tpp, fpp, 1.0)
@@ -146,10 +147,10 @@ def pr_auc(scores: DataFrame, **kw) -> DataFrame:
                  F.sum((r - rp) * p).alias("average_precision"))
 
 
-def roc(scores: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
+def roc(scores: DataFrame, points: DataFrame | None = None, **kw) -> tuple[DataFrame, DataFrame]:
     """ROC points (threshold, fpr, tpr) incl. the (0, 0) start, and the
     trapezoidal ROC-AUC as one row."""
-    c = curve_points(scores, **kw)
+    c = points if points is not None else curve_points(scores, **kw)
     P, N = F.col("P").cast("double"), F.col("N").cast("double")
     tpr, fpr = _z(F.col("tp"), P), _z(F.col("fp"), N)
     tprp, fprp = _z(F.col("tp_prev"), P), _z(F.col("fp_prev"), N)

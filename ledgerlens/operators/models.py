@@ -36,11 +36,12 @@ def random_forest(trees=200, depth=15, min_leaf=2, seed=42):
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed)
 
 
-def logistic(max_iter=1000, reg=None, n=None):
+def logistic(max_iter=1000, reg=None, n=None, tol=1e-4):
     """M6: L2 logistic regression, C = 1 summed loss -> regParam 1 / n on Spark's
-    mean loss; features standardised beforehand (no internal scaling)."""
+    mean loss; features standardised beforehand (no internal scaling); the
+    stopping tolerance of the original solver (1e-4)."""
     return LogisticRegression(maxIter=max_iter, regParam=(reg if reg is not None else (1.0 / n if n else 0.0)),
-                              elasticNetParam=0.0, standardization=False)
+                              elasticNetParam=0.0, standardization=False, tol=tol)
 
 
 def decision_tree(depth=15, min_leaf=5, seed=42):
@@ -81,8 +82,9 @@ def score(model, df: DataFrame, label: str, key: str = "hash", threshold: float
 def evaluate(scored: DataFrame) -> DataFrame:
     """One-row evaluation: precision, recall, F1, ROC-AUC, PR-AUC, confusion."""
     cls = M.classification_scores(scored)
-    _, roc_auc = M.roc(scored)
-    pr = M.pr_auc(scored)
+    pts = M.curve_points(scored).persist()  # shared by both areas
+    _, roc_auc = M.roc(scored, points=pts)
+    pr = M.pr_auc(scored, points=pts)
     return cls.crossJoin(roc_auc).crossJoin(pr)
 
 

@@ -22,7 +22,7 @@ def model_data(spark, sf):
     """F22 matrix with the known-scam label and the temporal split (L3)."""
     tx = tx_view(spark, sf)
     lab = R.known_scam_labels(tx, scam_seed(tx), out="is_fraud")
-    fm = FE.feature_matrix(lab)
+    fm = FE.feature_matrix(lab).persist()  # read by the split, the fit and the scoring
     feats = [c for c, t in fm.dtypes if c not in DENY and t in ("int", "bigint", "double")]
     return L.temporal_split(fm), feats
 
@@ -121,3 +121,23 @@ def q_dependence(spark, sf):
     """Dependence data for value_eth with its strongest interaction."""
     attr, _ = _attributions(spark, sf)
     return ML.dependence(attr, "value_eth")
+
+
+SMOTE_FEATURES = ["value_eth", "gas_price_gwei", "log_value", "time_since_last_tx", "unique_receivers"]
+
+
+@register("smote_counts")
+def q_smote(spark, sf):
+    """L6 + L7: rows per class before and after SMOTE (ratio 0.35) and ADASYN on
+    the training split; synthetic rows lie on minority segments (tests)."""
+    from ..operators.oversampling import adasyn, smote
+    train, _, _ = _split(spark, sf)
+    base = train.select("hash", "is_fraud", *SMOTE_FEATURES)
+    parts = []
+    for name, out in (("smote", smote(base, "is_fraud", "hash", SMOTE_FEATURES, sampling_ratio=0.35,
+                                      radius=2.0)),
+                      ("adasyn", adasyn(base, "is_fraud", "hash", SMOTE_FEATURES, radius=2.0))):
+        parts.append(out.groupBy("is_fraud").agg(F.count(F.lit(1)).alias("n_rows"),
+                                                 F.sum("synthetic").cast("bigint").alias("n_synthetic"))
+                     .withColumn("method", F.lit(name)))
+    return parts[0].unionByName(parts[1])
