@@ -11,3 +11,38 @@ def test_entry_runs(spark):
 def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
     assert len(E.queries()) >= 90
+
+
+def test_stream_scores_landed_files(spark, tmp_path):
+    """The streaming path reads landed Parquet and appends scored rows."""
+    from ledgerlens.sources.tables import tx_view
+    from ledgerlens.streaming.transactions import score_stream, start, stream_transactions
+    src = str(tmp_path / "landing")
+    tx = tx_view(spark, E.SMOKE_DIR)
+    tx.limit(500).write.parquet(src)
+    scam = spark.createDataFrame([(1,), (2,)], "address bigint")
+    q = start(score_stream(stream_transactions(spark, src, tx.schema), scam),
+              str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    q.awaitTermination(120)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == 500 and "is_fraud_known" in out.columns
+
+
+def test_sinks_and_readers(spark, tmp_path):
+    import json
+    from ledgerlens.sources import ingest, sinks
+    df = spark.createDataFrame([("a", 1.5), ("b", 2.0)], "k string, v double")
+    p = sinks.write_table(df, str(tmp_path / "t.csv"), fmt="csv")
+    back = ingest.read_csv(spark, p, "k string, v double")
+    assert sorted(r["v"] for r in back.collect()) == [1.5, 2.0]
+    imp = spark.createDataFrame([("f1", 0.2), ("f2", 0.7)], "feature string, importance double")
+    rr = sinks.run_result(spark, df.agg({"v": "sum"}), {"lr": 0.05}, imp, top_n=1)
+    sinks.write_run_result(rr, str(tmp_path / "run"))
+    js = spark.read.json(str(tmp_path / "run")).collect()[0]
+    assert js["top_features"][0]["feature"] == "f2" and json.loads(js["parameters"]) == {"lr": 0.05}
+    blocks = tmp_path / "blocks.json"
+    blocks.write_text(json.dumps({"number": 7, "hash": "0xb", "timestamp": 1700000000, "transactions": [
+        {"hash": "0x1", "transactionIndex": 0, "from": "0xAB", "to": None, "value": "2000000000000000000",
+         "gas": 21000, "gasPrice": 5, "nonce": 1}]}) + "\n")
+    flat = ingest.read_blocks_json(spark, str(blocks)).collect()[0]
+    assert flat["from_addr"] == "0xab" and flat["to_addr"] is None and flat["value_eth"] == 2.0
