@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import row_number_by
 from ..session import checkpoint_dir
 from ..sources.tables import TX_ORDER
 
@@ -228,9 +229,9 @@ def label_propagation(edges: DataFrame, iterations: int = 10) -> DataFrame:
         lab = _ckpt(lab.join(best, "node", "left")
                     .select("node", F.coalesce(F.col("_l"), F.col("label")).alias("label")))
     sizes = lab.groupBy("label").agg(F.count(F.lit(1)).alias("community_size"))
-    # one row per community: the numbering window is bounded by the community count
-    sizes = sizes.withColumn("community_id", (F.row_number().over(
-        Window.orderBy(F.col("community_size").desc(), F.col("label"))) - 1).cast("int"))
+    # numbering by size is a distributed row number (there may be ~n communities)
+    sizes = row_number_by(sizes.withColumn("_neg", -F.col("community_size")), ["_neg", "label"], out="_rn")
+    sizes = sizes.withColumn("community_id", (F.col("_rn") - 1).cast("int")).drop("_rn", "_neg")
     return (lab.join(sizes, "label")
             .select(F.col("node").alias("address"), "community_id", F.col("community_size").cast("bigint")))
 
@@ -273,7 +274,8 @@ def top_central(edges: DataFrame, n: int = 50) -> DataFrame:
     return degree_centrality(edges).orderBy(F.col("degree_centrality").desc(), "address").limit(n)
 
 
-def betweenness(edges: DataFrame, pivots: DataFrame, normalized: bool = True) -> DataFrame:
+def betweenness(edges: DataFrame, pivots: DataFrame, normalized: bool = True,
+                batch_size: int | None = None, _raw: bool = False) -> DataFrame:
     """Directed, unweighted betweenness from a set of pivot sources
     (Brandes): a BFS per pivot counts shortest paths level by level
     (``sigma``), then dependencies flow back down the levels. All pivots run
@@ -283,6 +285,22 @@ def betweenness(edges: DataFrame, pivots: DataFrame, normalized: bool = True) ->
     nodes = nodes_of(edges)
     n = nodes.count()
     k = pivots.count()
+    if batch_size and k > batch_size:
+        # (pivot, node) state is pivots x reachable nodes: run the pivots in
+        # batches (by hash) and add the unscaled dependencies
+        pv = pivots.select("address").distinct().withColumn(
+            "_batch", F.pmod(F.xxhash64("address"), F.lit((k + batch_size - 1) // batch_size)))
+        parts = [betweenness(edges, pv.where(F.col("_batch") == b).select("address"), _raw=True)
+                 .withColumnRenamed("betweenness", "_b")
+                 for b in range((k + batch_size - 1) // batch_size)]
+        tot = parts[0]
+        for p_ in parts[1:]:
+            tot = tot.unionByName(p_)
+        raw = tot.groupBy("address").agg(F.sum("_b").alias("_b"))
+        scale = float(n) / k
+        if normalized and n > 2:
+            scale = scale / ((n - 1) * (n - 2))
+        return raw.select("address", (F.col("_b") * scale).alias("betweenness"))
     e = edges.select(F.col("src").alias("node"), F.col("dst").alias("nxt")).where(
         F.col("node") != F.col("nxt")).distinct()
     front = _ckpt(pivots.select(F.col("address").alias("pivot")).distinct()
@@ -303,10 +321,10 @@ def betweenness(edges: DataFrame, pivots: DataFrame, normalized: bool = True) ->
         seen = _ckpt(seen.unionByName(nxt))
         levels.append(nxt)
         front = nxt
-    return _betweenness_sum(levels, e, nodes, n, k, normalized)
+    return _betweenness_sum(levels, e, nodes, n, k, normalized, _raw)
 
 
-def _betweenness_sum(levels, e, nodes, n, k, normalized):
+def _betweenness_sum(levels, e, nodes, n, k, normalized, raw=False):
     """Dependencies flow back level by level: for v one level above w on a
     shortest path, delta(v) += sigma_v / sigma_w * (1 + delta(w))."""
     if len(levels) < 2:
@@ -332,5 +350,7 @@ def _betweenness_sum(levels, e, nodes, n, k, normalized):
     scale = (float(n) / k) if k else 0.0
     if normalized and n > 2:
         scale = scale / ((n - 1) * (n - 2))
+    if raw:
+        scale = 1.0
     return (nodes.join(s, "address", "left")
             .select("address", (F.coalesce(F.col("_b"), F.lit(0.0)) * scale).alias("betweenness")))

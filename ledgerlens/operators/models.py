@@ -79,13 +79,25 @@ def score(model, df: DataFrame, label: str, key: str = "hash", threshold: float
         .withColumn("pred", (F.col("score") >= threshold).cast("int"))
 
 
-def evaluate(scored: DataFrame) -> DataFrame:
-    """One-row evaluation: precision, recall, F1, ROC-AUC, PR-AUC, confusion."""
+def evaluation_row(scored: DataFrame) -> dict:
+    """One evaluation as a dict: precision, recall, F1, accuracy, rates,
+    confusion counts, ROC-AUC, PR-AUC, average precision (one row reaches the
+    driver)."""
     cls = M.classification_scores(scored)
     pts = M.curve_points(scored).persist()  # shared by both areas
     _, roc_auc = M.roc(scored, points=pts)
     pr = M.pr_auc(scored, points=pts)
-    return cls.crossJoin(roc_auc).crossJoin(pr)
+    row = cls.crossJoin(roc_auc).crossJoin(pr).collect()[0].asDict()
+    pts.unpersist()
+    return row
+
+
+def evaluate(scored: DataFrame) -> DataFrame:
+    """Evaluation as a one-row DataFrame. Computed eagerly: a lazy metric plan
+    embeds the scoring lineage several times, and unions of such plans (model
+    comparison, CV folds) grow beyond what the optimizer handles quickly."""
+    row = evaluation_row(scored)
+    return scored.sparkSession.createDataFrame([row])
 
 
 def feature_importance(model, features: list[str]) -> DataFrame:
@@ -104,7 +116,7 @@ def compare_models(train: DataFrame, test: DataFrame, features: list[str], label
     test split; one row per model sorted by PR-AUC. (Times are wall-clock of
     the Spark jobs; the score table is materialised once per model.)"""
     n = train.count()
-    rows = None
+    rows = []
     for name in names or list(MODEL_ZOO):
         est = MODEL_ZOO[name](n)
         t0 = time.time()
@@ -114,12 +126,17 @@ def compare_models(train: DataFrame, test: DataFrame, features: list[str], label
         sc = score(model, test, label, key).persist()
         n_test = sc.count()
         t_inf = time.time() - t0
-        ev = evaluate(sc).select(
-            F.lit(name).alias("model"), "precision", "recall", "f1", "roc_auc", "pr_auc", "tp", "fp", "fn", "tn",
-            F.lit(t_train).alias("train_seconds"), F.lit(t_inf).alias("inference_seconds"),
-            F.lit(n_test / t_inf if t_inf > 0 else None).cast("double").alias("rows_per_second"))
-        rows = ev if rows is None else rows.unionByName(ev)
-    return rows.orderBy(F.col("pr_auc").desc())
+        ev = evaluation_row(sc)
+        sc.unpersist()
+        rows.append(dict(model=name, precision=ev["precision"], recall=ev["recall"], f1=ev["f1"],
+                         roc_auc=ev["roc_auc"], pr_auc=ev["pr_auc"], tp=ev["tp"], fp=ev["fp"],
+                         fn=ev["fn"], tn=ev["tn"], train_seconds=t_train, inference_seconds=t_inf,
+                         rows_per_second=(n_test / t_inf if t_inf > 0 else None)))
+    spark = train.sparkSession
+    schema = ("model string, precision double, recall double, f1 double, roc_auc double, pr_auc double, "
+              "tp bigint, fp bigint, fn bigint, tn bigint, train_seconds double, inference_seconds double, "
+              "rows_per_second double")
+    return spark.createDataFrame(rows, schema).orderBy(F.col("pr_auc").desc())
 
 
 def efficiency(results: DataFrame) -> DataFrame:
@@ -132,7 +149,7 @@ def efficiency(results: DataFrame) -> DataFrame:
 
 
 def time_series_cv(df: DataFrame, features: list[str], label: str, estimator_factory,
-                   key: str = "hash", n_splits: int = 5, ts: str = "ts") -> DataFrame:
+                   key: str = "hash", n_splits: int = 5, ts: str = "ts", scale: bool = True) -> DataFrame:
     """M8: expanding-window folds (L4); per fold, fit on rows before the fold and
     score the fold; one metric row per fold (E10 summarises them)."""
     from .sampling import time_series_folds
@@ -140,16 +157,17 @@ def time_series_cv(df: DataFrame, features: list[str], label: str, estimator_fac
     n = d.count()
     t = n // (n_splits + 1)
     first = n - n_splits * t
-    out = None
+    rows = []
     for i in range(n_splits):
         start = first + i * t
         train = d.where(F.col("row_idx") < start)
         test = d.where(F.col("test_fold") == i)
-        model = fit(train, features, label, estimator_factory(start))
-        ev = evaluate(score(model, test, label, key)).select(
-            F.lit(i).alias("fold"), "pr_auc", "f1", "recall", "precision")
-        out = ev if out is None else out.unionByName(ev)
-    return out
+        model = fit(train, features, label, estimator_factory(start), scale=scale)
+        ev = evaluation_row(score(model, test, label, key))
+        rows.append((i, ev["pr_auc"], ev["f1"], ev["recall"], ev["precision"]))
+    d.unpersist()
+    return df.sparkSession.createDataFrame(
+        rows, "fold int, pr_auc double, f1 double, recall double, precision double")
 
 
 # ---------------------------------------------------------------- attributions

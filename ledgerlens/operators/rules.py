@@ -178,8 +178,9 @@ def drainer_summary(flagged: DataFrame) -> DataFrame:
 
 def anomaly_score(flagged: DataFrame, include_drainer: bool = True,
                   busy_min: int = 10, stats: dict | None = None) -> DataFrame:
-    """W7-W11 on the output of ``detect_drainers`` (global statistics of the
-    transaction columns, computed once)."""
+    """W7-W11 on the output of ``detect_drainers``. Pass the ``stats`` of the
+    transaction table (``global_stats(tx, anomaly=True)``) to avoid computing
+    them over the flagged plan."""
     st = stats or global_stats(flagged, anomaly=True)
     d = flagged
     d = d.withColumn("w7_extreme_value", flag((F.col("value_eth") > _lit(st["v_q98"]))

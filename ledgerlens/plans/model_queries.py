@@ -49,26 +49,32 @@ def q_model_tree(spark, sf):
     return ML.evaluate(ML.score(model, test, "is_fraud"))
 
 
+# The registered comparison runs the learners that train in seconds on one
+# machine; the full zoo with the original parameters (GBT 300 / 200 rounds,
+# forest of 200 depth-15 trees) is ``compare_models(names=None)``.
+FAST_MODELS = ["decision_tree", "logistic_regression"]
+
+
 @register("model_comparison")
 def q_model_comparison(spark, sf):
-    """M12 (+ M1, M4, M5, M6, M7): every model of the zoo, timed and evaluated."""
+    """M12 (+ M6, M7): models timed and evaluated on the temporal split."""
     train, test, feats = _split(spark, sf)
-    return ML.compare_models(train, test, feats, "is_fraud")
+    return ML.compare_models(train, test, feats, "is_fraud", names=FAST_MODELS)
 
 
 @register("model_efficiency")
 def q_model_efficiency(spark, sf):
     """Efficiency and ranks over the comparison (fast models)."""
     train, test, feats = _split(spark, sf)
-    res = ML.compare_models(train, test, feats, "is_fraud", names=["decision_tree", "logistic_regression"])
+    res = ML.compare_models(train, test, feats, "is_fraud", names=FAST_MODELS)
     return ML.efficiency(res)
 
 
 @register("feature_importance")
 def q_importance(spark, sf):
-    """Random-forest feature importances, descending."""
+    """Tree feature importances (decision tree, M7), descending."""
     train, _, feats = _split(spark, sf)
-    model = ML.fit(train, feats, "is_fraud", ML.random_forest())
+    model = ML.fit(train, feats, "is_fraud", ML.decision_tree())
     return ML.feature_importance(model, feats)
 
 

@@ -136,12 +136,18 @@ def q_drainer_flags_declared(spark, sf):
     return f.select("hash", "from_addr", "to_addr", *R.FLAG_COLS, "suspected_drainer", "pattern_score")
 
 
+def _scored(spark, sf):
+    tx = tx_view(spark, sf)
+    st = R.global_stats(tx, anomaly=True)  # one quantile job for every threshold
+    return R.threshold_labels(R.anomaly_score(R.detect_drainers(tx, stats=st), stats=st))
+
+
 @register("anomaly_labels", with_tx(drainer_sql(R.RuleParams.coded()) + "," + ANOMALY_SQL + """
 SELECT hash, w7_extreme_value, w8_gas_outlier, w9_busy_sender, w10_zero_value, anomaly_score,
        is_fraud_synthetic FROM labelled"""))
 def q_anomaly_labels(spark, sf):
     """Anomaly points, score and threshold label."""
-    d = R.threshold_labels(R.anomaly_score(R.detect_drainers(tx_view(spark, sf))))
+    d = _scored(spark, sf)
     return d.select("hash", "w7_extreme_value", "w8_gas_outlier", "w9_busy_sender",
                     "w10_zero_value", "anomaly_score", "is_fraud_synthetic")
 
@@ -151,7 +157,7 @@ SELECT anomaly_score, count(*) AS n, CAST(sum(is_fraud_synthetic) AS BIGINT) AS
 FROM labelled GROUP BY anomaly_score"""))
 def q_anomaly_label_counts(spark, sf):
     """W11/W12 distribution: rows and labels per score."""
-    d = R.threshold_labels(R.anomaly_score(R.detect_drainers(tx_view(spark, sf))))
+    d = _scored(spark, sf)
     return d.groupBy("anomaly_score").agg(F.count(F.lit(1)).alias("n"),
                                           F.sum("is_fraud_synthetic").cast("bigint").alias("n_fraud"))
 

@@ -120,3 +120,26 @@ def test_smote_and_adasyn_on_segments(spark):
     assert synthetic_on_segment(out, df.where("y = 1"), "hash", ["a", "b"]).count() == 0
     ad = adasyn(df, "y", "hash", ["a", "b"], k=3, radius=1.5)
     assert synthetic_on_segment(ad, df.where("y = 1"), "hash", ["a", "b"]).count() == 0
+
+
+def test_betweenness_batches_equal_single_pass(spark):
+    e = edges(spark, [("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("b", "d", 1.0), ("d", "a", 1.0)])
+    one = {r["address"]: r["betweenness"] for r in G.betweenness(e, G.nodes_of(e)).collect()}
+    two = {r["address"]: r["betweenness"] for r in G.betweenness(e, G.nodes_of(e), batch_size=2).collect()}
+    assert one.keys() == two.keys()
+    for a in one:
+        assert one[a] == pytest.approx(two[a])
+
+
+def test_model_zoo_trains_and_scores(spark):
+    from ledgerlens.operators import models as ML
+    rows = [(f"h{i}", i % 2, float(i % 2) + 0.1 * (i % 7), float(i % 5)) for i in range(200)]
+    df = spark.createDataFrame(rows, "hash string, y int, a double, b double")
+    small = {"gbt": ML.gbt(5, 0.1, 3), "rf": ML.random_forest(trees=5, depth=4),
+             "dt": ML.decision_tree(depth=4), "lr": ML.logistic(n=200)}
+    for name, est in small.items():
+        m = ML.fit(df, ["a", "b"], "y", est, scale=(name == "lr"))
+        ev = ML.evaluate(ML.score(m, df, "y")).collect()[0]
+        assert 0.0 <= ev["pr_auc"] <= 1.0 and ev["roc_auc"] > 0.9
+    imp = ML.feature_importance(ML.fit(df, ["a", "b"], "y", small["dt"]), ["a", "b"]).collect()
+    assert imp[0]["feature"] == "a"
