@@ -122,7 +122,9 @@ def quantile_values(df: DataFrame, specs: list[tuple[str, str, float]],
                     exact_below: int = 1 << 22) -> dict:
     """Eager form: exact linear quantiles as ``{name: float | None}``.
 
-    Three small jobs whatever the number of specs: (1) per column ``n``, min,
+    Columns with at most ``exact_below`` values use Spark's exact ``percentile``
+    (its buffer is bounded by that checked count). Beyond, three small jobs
+    whatever the number of specs: (1) per column ``n``, min,
     max and an approximate sketch; (2) counts below / inside each candidate
     band, which proves the band holds the target ranks (else the band is the
     whole value range); (3) ranks inside the bands by a distributed prefix sum
@@ -139,6 +141,18 @@ def quantile_values(df: DataFrame, specs: list[tuple[str, str, float]],
     long = _long(df, cnames)
     st = {r["cname"]: r for r in long.groupBy("cname").agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("vmin"), F.max("v").alias("vmax")).collect()}
+    small = [c for c in cnames if c in st and 0 < st[c]["n"] <= exact_below]
+    if small and len(small) == len([c for c in cnames if c in st]):
+        # every column has at most ``exact_below`` values (counted above): Spark's
+        # exact percentile holds at most that many distinct values per column
+        qs_of = {c: sorted({float(q) for _, cc, q in specs if cc == c}) for c in small}
+        row = df.agg(*[F.percentile(F.col(c).cast("double"), qs_of[c]).alias(f"_p_{i}")
+                       for i, c in enumerate(small)]).collect()[0]
+        got = {}
+        for i, c in enumerate(small):
+            for q, v in zip(qs_of[c], row[f"_p_{i}"]):
+                got[(c, q)] = v
+        return {name: got.get((c, float(q))) for name, c, q in specs}
     big = [c for c in cnames if c in st and st[c]["n"] > exact_below]
     approx = {}
     if big:  # sketch only for large columns; small ones are ranked whole
@@ -180,43 +194,52 @@ def quantile_values(df: DataFrame, specs: list[tuple[str, str, float]],
 
 
 def _band_ranks(long: DataFrame, info: dict, buckets: int) -> dict:
-    """Values at ranks k and k1 of every spec, from the rows inside its band."""
-    sid = F.explode(F.array(*[
-        F.when((F.col("cname") == d["c"]) & F.col("v").between(d["lo"], d["hi"]), F.lit(i))
-        for i, d in info.items()])).alias("sid")
-    band = long.select(sid, "v").where(F.col("sid").isNotNull())
-    freq = band.groupBy("sid", "v").agg(F.count(F.lit(1)).alias("c"))
-
-    def per_sid(key):
+    """Values at ranks k and k1 of every spec. Specs of one column whose band is
+    the same share one ranking (bands are keyed by column and bounds)."""
+    bands: dict = {}
+    for i, d in info.items():
+        bands.setdefault((d["c"], d["lo"], d["hi"], d["base"]), []).append(i)
+    bid_of = {b: n for n, b in enumerate(bands)}
+    bid = F.explode(F.array(*[
+        F.when((F.col("cname") == c) & F.col("v").between(lo, hi), F.lit(bid_of[(c, lo, hi, base)]))
+        for (c, lo, hi, base) in bands])).alias("bid")
+    band = long.select(bid, "v").where(F.col("bid").isNotNull())
+    freq = band.groupBy("bid", "v").agg(F.count(F.lit(1)).alias("c"))
+
+    def per_band(fn):
         e = None
-        for i, d in info.items():
-            e = (F.when(F.col("sid") == i, F.lit(d[key])) if e is None
-                 else e.when(F.col("sid") == i, F.lit(d[key])))
+        for b, n in bid_of.items():
+            e = F.when(F.col("bid") == n, F.lit(fn(b))) if e is None else e.when(F.col("bid") == n, F.lit(fn(b)))
         return e
-    lo, hi = per_sid("lo").cast("double"), per_sid("hi").cast("double")
+    lo, hi = per_band(lambda b: b[1]).cast("double"), per_band(lambda b: b[2]).cast("double")
     freq = freq.withColumn("bk", F.coalesce(
         F.when(hi > lo, F.width_bucket(F.col("v"), lo, hi, F.lit(buckets))), F.lit(0).cast("bigint")))
-    per_bk = freq.groupBy("sid", "bk").agg(F.sum("c").alias("bc"))
-    # at most (buckets + 2) rows per spec: the offset window is bounded
-    per_bk = per_bk.select("sid", "bk", (F.sum("bc").over(
-        Window.partitionBy("sid").orderBy("bk").rowsBetween(Window.unboundedPreceding, 0))
+    per_bk = freq.groupBy("bid", "bk").agg(F.sum("c").alias("bc"))
+    # at most (buckets + 2) rows per band: the offset window is bounded
+    per_bk = per_bk.select("bid", "bk", (F.sum("bc").over(
+        Window.partitionBy("bid").orderBy("bk").rowsBetween(Window.unboundedPreceding, 0))
         - F.col("bc")).alias("off"))
-    wb = Window.partitionBy("sid", "bk").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (freq.join(F.broadcast(per_bk), ["sid", "bk"])
-              .withColumn("cum", per_sid("base") + F.col("off") + F.sum("c").over(wb))
+    wb = Window.partitionBy("bid", "bk").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (freq.join(F.broadcast(per_bk), ["bid", "bk"])
+              .withColumn("cum", per_band(lambda b: b[3]) + F.col("off") + F.sum("c").over(wb))
               .withColumn("r_lo", F.col("cum") - F.col("c"))
               .withColumn("r_hi", F.col("cum") - 1))
-    k, k1 = per_sid("k"), per_sid("k1")
-    hit_k = (F.col("r_lo") <= k) & (k <= F.col("r_hi"))
-    hit_k1 = (F.col("r_lo") <= k1) & (k1 <= F.col("r_hi"))
-    rows = ranked.where(hit_k | hit_k1).select(
-        "sid", "v", hit_k.alias("is_k"), hit_k1.alias("is_k1")).collect()
+    wanted = None
+    for b, n in bid_of.items():
+        for i in bands[b]:
+            for k in {info[i]["k"], info[i]["k1"]}:
+                cond = (F.col("bid") == n) & (F.col("r_lo") <= k) & (F.col("r_hi") >= k)
+                wanted = cond if wanted is None else (wanted | cond)
+    rows = ranked.where(wanted).select("bid", "v", "r_lo", "r_hi").collect()
     out = {}
-    for r in rows:
-        if r["is_k"]:
-            out[(r["sid"], "k")] = r["v"]
-        if r["is_k1"]:
-            out[(r["sid"], "k1")] = r["v"]
+    for b, n in bid_of.items():
+        got = [(r["r_lo"], r["r_hi"], r["v"]) for r in rows if r["bid"] == n]
+        for i in bands[b]:
+            for which in ("k", "k1"):
+                k = info[i][which]
+                for r_lo, r_hi, v in got:
+                    if r_lo <= k <= r_hi:
+                        out[(i, which)] = v
     return out
 
 

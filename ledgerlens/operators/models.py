@@ -241,7 +241,10 @@ def dependence(attr: DataFrame, feature: str, key: str = "hash") -> DataFrame:
     others = attr.where(F.col("feature") != feature).select(key, F.col("feature").alias("other"),
                                                            F.col("value").alias("ov"))
     j = f.join(others, key)
-    best = (j.groupBy("other").agg(F.abs(F.corr("contribution", "ov")).alias("_c"))
+    # |corr| with try_divide: a constant feature has no correlation (null), not an error
+    corr = F.try_divide(F.covar_samp("contribution", "ov"),
+                        F.stddev_samp("contribution") * F.stddev_samp("ov"))
+    best = (j.groupBy("other").agg(F.abs(corr).alias("_c"))
             .agg(F.max_by("other", F.struct(F.coalesce("_c", F.lit(-1.0)), F.col("other"))).alias("_best")))
     return (j.join(F.broadcast(best), F.col("other") == F.col("_best"))
             .select(key, F.col("x").alias("value"), "contribution",

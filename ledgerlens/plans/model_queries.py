@@ -129,7 +129,7 @@ def q_dependence(spark, sf):
     return ML.dependence(attr, "value_eth")
 
 
-SMOTE_FEATURES = ["value_eth", "gas_price_gwei", "log_value", "time_since_last_tx", "unique_receivers"]
+SMOTE_FEATURES = ["value_eth", "log_value", "gas_price_gwei", "is_zero_value", "is_weekend"]
 
 
 @register("smote_counts")
@@ -141,8 +141,8 @@ def q_smote(spark, sf):
     base = train.select("hash", "is_fraud", *SMOTE_FEATURES)
     parts = []
     for name, out in (("smote", smote(base, "is_fraud", "hash", SMOTE_FEATURES, sampling_ratio=0.35,
-                                      radius=2.0)),
-                      ("adasyn", adasyn(base, "is_fraud", "hash", SMOTE_FEATURES, radius=2.0))):
+                                      radius=4.0)),
+                      ("adasyn", adasyn(base, "is_fraud", "hash", SMOTE_FEATURES, radius=4.0))):
         parts.append(out.groupBy("is_fraud").agg(F.count(F.lit(1)).alias("n_rows"),
                                                  F.sum("synthetic").cast("bigint").alias("n_synthetic"))
                      .withColumn("method", F.lit(name)))
