@@ -80,20 +80,23 @@ def undirected(edges: DataFrame) -> DataFrame:
 def triangles(edges: DataFrame) -> DataFrame:
     """Triangles per node on the undirected graph (self-loops ignored).
 
-    Degree-ordered orientation: every undirected edge points from the lower-
-    to the higher-ranked endpoint, wedges are formed only along out-edges, and
-    each triangle is found once and credited to its three corners."""
+    Degree-ordered orientation: every undirected edge points from its lower-
+    to its higher-ranked endpoint (rank = degree, then id), so each node's
+    forward list has at most ~sqrt(2m) entries. Wedges are pairs of forward
+    neighbours (b < c by id, each pair once); a wedge is a triangle when b-c
+    is an edge of the canonical undirected table (u < v). Each triangle is
+    found exactly once, at its lowest-ranked corner, and credited to all three."""
     und = undirected(edges)
     deg = und.groupBy("u").agg(F.count(F.lit(1)).alias("d"))
-    ranked = (und.join(deg.select(F.col("u"), F.col("d").alias("du")), "u")
-              .join(deg.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v"))
-    fwd = ranked.where((F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v"))))
-    fwd = fwd.select("u", "v")
-    # wedge u->v, u->w with v < w in rank; closed if v->w exists
-    a = fwd.select(F.col("u").alias("a"), F.col("v").alias("b"))
-    b = fwd.select(F.col("u").alias("a"), F.col("v").alias("c"))
-    wedges = a.join(b, "a").where(F.col("b") != F.col("c"))
-    closed = wedges.join(fwd.select(F.col("u").alias("b"), F.col("v").alias("c")), ["b", "c"])
+    canon = und.where(F.col("u") < F.col("v"))
+    r = (canon.join(deg.select("u", F.col("d").alias("du")), "u")
+         .join(deg.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v"))
+    lower_u = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
+    fwd = r.select(F.when(lower_u, F.col("u")).otherwise(F.col("v")).alias("a"),
+                   F.when(lower_u, F.col("v")).otherwise(F.col("u")).alias("b"))
+    wedges = (fwd.join(fwd.select("a", F.col("b").alias("c")), "a")
+              .where(F.col("b") < F.col("c")))
+    closed = wedges.join(canon.select(F.col("u").alias("b"), F.col("v").alias("c")), ["b", "c"])
     corners = (closed.select(F.col("a").alias("address"))
                .unionAll(closed.select(F.col("b").alias("address")))
                .unionAll(closed.select(F.col("c").alias("address"))))

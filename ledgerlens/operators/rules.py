@@ -311,7 +311,6 @@ def counterparty_entropy_change(tx: DataFrame, window_size: int = 100,
     flagged when |change| >= threshold. One row per (sender, block). The row
     index inside a sender is a distributed prefix count, not a sender-wide
     ``row_number`` (which would put a busy sender in one task)."""
-    from pyspark.sql import Window
     d = tx.where(F.col("from_addr").isNotNull()).withColumn("_t", micros("ts"))
     order = ("_t",) + TX_ORDER[1:]
     seq = BucketedSequence.build(d, "from_addr", "_t", order, bucket_us).prefix_sums(
@@ -323,8 +322,12 @@ def counterparty_entropy_change(tx: DataFrame, window_size: int = 100,
         F.sum(F.col("_c") * F.log(F.col("_c"))).alias("_clogc"))
     ent = tot.select("from_addr", F.col("_blk").alias("tx_block"), F.col("n_tx").cast("bigint"),
                      (F.log(F.col("n_tx")) - F.col("_clogc") / F.col("n_tx")).alias("entropy"))
-    wb = Window.partitionBy("from_addr").orderBy("tx_block")
-    ent = ent.withColumn("entropy_change", F.col("entropy") - F.lag("entropy").over(wb))
+    # previous block by equi-join on (sender, block - 1): a busy sender's blocks
+    # are hashed over many partitions instead of one window partition
+    prev = ent.select("from_addr", (F.col("tx_block") + 1).alias("tx_block"),
+                      F.col("entropy").alias("_prev_entropy"))
+    ent = (ent.join(prev, ["from_addr", "tx_block"], "left")
+           .withColumn("entropy_change", F.col("entropy") - F.col("_prev_entropy")).drop("_prev_entropy"))
     return ent.withColumn("r5_entropy_shift",
                           flag(F.abs(F.col("entropy_change")) >= threshold))
 
