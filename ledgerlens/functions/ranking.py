@@ -24,7 +24,7 @@ def hash_key(cols, seed: int | str = 42) -> tuple[Column, Column]:
 
 
 def row_number_by(df: DataFrame, order: list[str], by: list[str] | None = None,
-                  out: str = "rn", buckets: int = 1024, rel_err: float = 0.0005) -> DataFrame:
+                  out: str = "rn", buckets: int = 256, rel_err: float = 0.002) -> DataFrame:
     """Add ``out`` = row_number() over (partition by ``by`` order by ``order``)
     (1-based). ``order[0]`` must be numeric or a timestamp; the rest break ties."""
     by = list(by or [])
