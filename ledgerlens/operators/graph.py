@@ -77,7 +77,7 @@ def undirected(edges: DataFrame) -> DataFrame:
     return both.distinct()
 
 
-def triangles(edges: DataFrame) -> DataFrame:
+def triangles(edges: DataFrame, und: DataFrame | None = None) -> DataFrame:
     """Triangles per node on the undirected graph (self-loops ignored).
 
     Degree-ordered orientation: every undirected edge points from its lower-
@@ -87,7 +87,7 @@ def triangles(edges: DataFrame) -> DataFrame:
     (array intersection of the two bounded lists; no pairs are enumerated).
     Each triangle is found exactly once, on the edge between its two
     lowest-ranked corners, and credited to all three."""
-    und = undirected(edges)
+    und = und if und is not None else undirected(edges)
     deg = und.groupBy("u").agg(F.count(F.lit(1)).alias("d"))
     canon = und.where(F.col("u") < F.col("v"))
     r = (canon.join(deg.select("u", F.col("d").alias("du")), "u")
@@ -112,8 +112,9 @@ def triangles(edges: DataFrame) -> DataFrame:
 def clustering_features(edges: DataFrame) -> DataFrame:
     """Local clustering 2T / (d (d - 1)) (d without self-loops, d < 2 -> 0),
     average neighbour degree (a self-loop counts 2 in degree and the node is its
-    own neighbour; isolated -> 0) and triangle count."""
-    und = undirected(edges)
+    own neighbour; isolated -> 0) and triangle count. The undirected edge
+    table feeds three branches and is checkpointed once."""
+    und = _ckpt(undirected(edges))
     nodes = nodes_of(edges)
     d = und.groupBy(F.col("u").alias("address")).agg(F.count(F.lit(1)).alias("d"))
     loops = edges.where(F.col("src") == F.col("dst")).select(F.col("src").alias("address")).distinct() \
@@ -124,7 +125,7 @@ def clustering_features(edges: DataFrame) -> DataFrame:
     deg = deg.withColumn("k", F.col("d") + 2 * F.col("_loop"))
     nbr = (und.join(deg.select(F.col("address").alias("v"), F.col("k").alias("kv")), "v")
            .groupBy(F.col("u").alias("address")).agg(F.sum("kv").alias("_s")))
-    tri = triangles(edges)
+    tri = triangles(edges, und)
     out = deg.join(nbr, "address", "left").join(tri, "address", "left")
     s = F.coalesce(F.col("_s"), F.lit(0)) + F.col("_loop") * F.col("k")
     return out.select(
@@ -268,7 +269,7 @@ def graph_features(tx: DataFrame, scam: DataFrame, edges: DataFrame | None = Non
     """G13 (relational subset): degree centralities, clustering, neighbour
     degree, triangles, scam distance and scam neighbours per node, joined to
     the transactions on the sender; missing -> 0 (also the distance)."""
-    e = edges if edges is not None else build_edges(tx)
+    e = _ckpt(edges if edges is not None else build_edges(tx))  # read by four operators
     g = (degree_centrality(e).join(clustering_features(e), "address", "left")
          .join(scam_distance(e, scam), "address", "left").join(scam_neighbors(e, scam), "address", "left"))
     feats = [c for c in g.columns if c != "address"]
