@@ -132,11 +132,10 @@ def address_history(tx: DataFrame, addresses: DataFrame, start: int | None = Non
     return by_from.unionByName(by_to)
 
 
-# The literal scam seed addresses are none on the test data; the
-# list is a parameter of ``scam_addresses``.
 def scam_addresses(spark: SparkSession, table: DataFrame | None = None,
                    literals: tuple[str, ...] = (), col: str = "address") -> DataFrame:
-    """Literal addresses union an address table, lower-cased, distinct."""
+    """Literal addresses (a parameter; none are built in) union an address
+    table, trimmed, lower-cased, distinct."""
     parts = []
     if literals:
         parts.append(spark.createDataFrame([(a,) for a in literals], "address string"))
