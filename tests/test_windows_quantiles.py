@@ -106,3 +106,27 @@ def test_hot_sender_is_spread_and_exact(spark):
     exp = d.select("hash", (F.col("nonce") - F.lag("nonce").over(w) > 5).alias("jump")).collect()
     for r in exp:
         assert got[r["hash"]]["w5_nonce_jump"] == (1 if r["jump"] else 0)
+
+
+def test_grouped_exact_quantiles_match_numpy(spark):
+    from ledgerlens.functions.quantiles import exact_quantile_expr_table
+    rng = np.random.default_rng(9)
+    data = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 1500), rng.gamma(2.0, 3.0, 1500))]
+    df = spark.createDataFrame(data, "g int, v double")
+    got = {r["g"]: r for r in exact_quantile_expr_table(
+        df, [("p25", "v", 0.25), ("p50", "v", 0.5), ("p90", "v", 0.9)], by=["g"]).collect()}
+    for g in range(3):
+        vals = np.array([v for gg, v in data if gg == g])
+        for name, q in (("p25", 25), ("p50", 50), ("p90", 90)):
+            assert got[g][name] == pytest.approx(float(np.percentile(vals, q)), rel=1e-12)
+
+
+def test_entropy_change_by_block(spark):
+    import math
+    from ledgerlens.operators.rules import counterparty_entropy_change
+    # block 0: receivers a, a (entropy 0); block 1: a, b (entropy ln 2)
+    rows = [{"from_addr": "s", "t": i, "to_addr": r} for i, r in enumerate(["a", "a", "a", "b"])]
+    out = {r["tx_block"]: r for r in counterparty_entropy_change(tx_rows(spark, rows), window_size=2).collect()}
+    assert out[0]["entropy"] == pytest.approx(0.0) and out[0]["entropy_change"] is None
+    assert out[1]["entropy"] == pytest.approx(math.log(2))
+    assert out[1]["entropy_change"] == pytest.approx(math.log(2)) and out[1]["r5_entropy_shift"] == 1
