@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import exact_dedup, mixing, packing, sharding
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,24 @@ def query(name: str, sql: str | None = None):
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens, one row per piece."""
     return packing.pack(documents(spark, sf_dir), capacity=2048, end_id=0)
+
+
+SHARD_LIMIT = 1 << 20
+
+
+@query("op2_extendible_sharding", sharding.oracle(SHARD_LIMIT))
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of at most 1 MiB of text by extendible hashing of doc_id."""
+    return sharding.shard(documents(spark, sf_dir), SHARD_LIMIT)
+
+
+@query("op3_source_mixing", mixing.ORACLE_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources mixed by weights 1, 2, 3 to all words, each at most three times."""
+    return mixing.mix(documents(spark, sf_dir), weights=(1, 2, 3), share=1.0, max_repeats=3)
+
+
+@query("op6_exact_dedup", exact_dedup.ORACLE_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact duplicates of all documents, the largest doc_id staying."""
+    return exact_dedup.exact_groups(documents(spark, sf_dir), keep="largest")
