@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, sharding
+from . import exact_dedup, mixing, packing, quality, sharding
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of all documents, the largest doc_id staying."""
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="largest")
+
+
+@query("op4_quality_rules")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word, line and repeat counts and compression bands of all documents."""
+    return quality.quality(documents(spark, sf_dir))
