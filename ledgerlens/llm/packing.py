@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import broadcast_if_small, column, landed
 
-#: Fillings that the search may try before it keeps the best solution so far.
-NODE_BUDGET = 20_000
+#: Steps that the search may take (items tried in fillings) before it keeps the best solution so far.
+STEP_BUDGET = 150_000
 #: Bytes of text given to the encoder at once.
 ENCODE_BYTES = 1 << 19
 #: Most rows of the (input partition, length) offsets that are broadcast.
@@ -93,18 +93,20 @@ def best_fit_decreasing(hist: dict[int, int], capacity: int) -> list[tuple[Filli
     return [(f, n) for group in bins.values() for f, n in group.items()]
 
 
-def fillings(lengths: list[int], have: dict[int, int], room: int, most: int = 6, width: int = 10) -> list[tuple[int, Filling]]:
-    """(waste, filling) of undominated ways to fill ``room``, best fit first.
+def fillings(lengths: list[int], have: dict[int, int], room: int, most: int = 6, width: int = 10,
+             steps: int = 400) -> tuple[list[tuple[int, Filling]], int]:
+    """(waste, filling) of undominated ways to fill ``room``, best fit first, and the steps taken.
 
     Fillings are tried with larger items first. One item that fits exactly
     dominates everything; below an item that fits, a smaller one is only kept
     where what it leaves is filled to less waste (the rest are dominated).
     """
     found: list[tuple[int, Filling]] = []
-    best = room + 1
+    best, done = room + 1, 0
 
     def grow(room: int, top: int, taken: Filling) -> None:
-        nonlocal best
+        nonlocal best, done
+        done += 1
         i = bisect.bisect_right(lengths, min(room, top)) - 1
         if i < 0 or len(taken) >= most:
             if room < best or not taken:
@@ -117,28 +119,24 @@ def fillings(lengths: list[int], have: dict[int, int], room: int, most: int = 6,
             if have[x] > taken.count(x):
                 tried += 1
                 grow(room - x, x, (*taken, x))
-                if not best:
+                if not best or done >= steps:
                     return
             i -= 1
         if not tried and (room < best or not taken):
             best = min(best, room)
             found.append((room, taken))
 
-    grow(room, capacity_top(lengths), ())
-    return sorted(found, key=lambda f: (f[0], len(f[1])))[:4]
+    grow(room, lengths[-1] if lengths else 0, ())
+    return sorted(found, key=lambda f: (f[0], len(f[1])))[:4], done
 
 
-def capacity_top(lengths: list[int]) -> int:
-    return lengths[-1] if lengths else 0
-
-
-def plan_packing(hist: dict[int, int], capacity: int, node_budget: int = NODE_BUDGET) -> list[tuple[Filling, int]]:
+def plan_packing(hist: dict[int, int], capacity: int, step_budget: int = STEP_BUDGET) -> list[tuple[Filling, int]]:
     """Fillings with how often each is used; every length's count is used up.
 
     Bin completion: the largest length left is completed by its undominated
     fillings, the one of least waste first, each applied as often as the counts
     allow; a branch whose waste can no longer beat the incumbent is cut. The
-    search ends at the lower bound or after ``node_budget`` fillings.
+    search ends at the lower bound or after ``step_budget`` steps.
     """
     hist = {n: c for n, c in hist.items() if c}
     if not hist:
@@ -147,7 +145,7 @@ def plan_packing(hist: dict[int, int], capacity: int, node_budget: int = NODE_BU
     bound = lower_bound(hist, capacity)
     best = best_fit_decreasing(hist, capacity)
     used = sum(c for _, c in best)
-    nodes = 0
+    steps = 0
     counts = dict(hist)
     lengths = sorted(counts)
     path: list[tuple[Filling, int]] = []
@@ -167,9 +165,11 @@ def plan_packing(hist: dict[int, int], capacity: int, node_budget: int = NODE_BU
             counts[x] += times
 
     def options() -> Iterator[tuple[int, Filling]]:
+        nonlocal steps
         top = lengths[-1]
         counts[top] -= 1
-        got = fillings(lengths, counts, capacity - top)
+        got, n = fillings(lengths, counts, capacity - top)
+        steps += n
         counts[top] += 1
         return iter([(w, (top, *f)) for w, f in got])
 
@@ -179,16 +179,15 @@ def plan_packing(hist: dict[int, int], capacity: int, node_budget: int = NODE_BU
     # An explicit stack: a path may hold thousands of fillings.
     stack = [options()] if used > bound else []
     waste, wastes, n_used = 0, [], 0
-    while stack and nodes < node_budget:
+    while stack and steps < step_budget:
         allowed = (used - 1) * capacity - total
         step = next(stack[-1], None)
         if step is not None:
-            nodes += 1
+            steps += 1
             w, filling = step
             times = times_of(filling)
             if waste + w * times > allowed and (times := (allowed - waste) // w if w else times) < 1:
-                step = None  # this filling cannot be part of a better solution
-                continue
+                continue  # this filling cannot be part of a better solution
             take(filling, times)
             path.append((filling, times))
             wastes.append(w * times)
@@ -283,7 +282,7 @@ def row_runs(texts: pa.Array, size: int) -> Iterator[range]:
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = 2048, end_id: int = 0,
-         node_budget: int = NODE_BUDGET) -> DataFrame:
+         step_budget: int = STEP_BUDGET) -> DataFrame:
     """Pack all documents; returns one row per piece with its sequence and offset.
 
     A document's ids (with ``end_id`` behind them) longer than ``capacity`` are
@@ -293,7 +292,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = 2048, e
     pieces = landed(piece_table(docs, vocabulary or bpe.default_vocabulary(), capacity, end_id), "pieces")
     by_part = landed(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     hist = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
-    runs = spark.sparkContext.broadcast(slots(plan_packing(hist, capacity, node_budget)))
+    runs = spark.sparkContext.broadcast(slots(plan_packing(hist, capacity, step_budget)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = landed(by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "piece-offsets")
 
