@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, quality, sharding
+from . import exact_dedup, jaccard_join, mixing, packing, quality, sharding
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word, line and repeat counts and compression bands of all documents."""
     return quality.quality(documents(spark, sf_dir))
+
+
+@query("op7_ngram_jaccard_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
+    return jaccard_join.shingle_join(documents(spark, sf_dir), k=3, percent=90)
