@@ -47,7 +47,7 @@ from .components import components
 from .words import U, mix, shingle_hashes, word_bounds, word_hashes
 
 #: Most rows of identifier or signature tables that are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 300_000
+BROADCAST_ROWS = 50_000
 #: Posting lists from this length on are first joined as stars.
 STAR_ROWS = 16
 #: A class with more than 1/HEAVY_PARTS of all rows is joined by broadcast (there are fewer than HEAVY_PARTS).
