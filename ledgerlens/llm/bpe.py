@@ -25,7 +25,7 @@ _VISIBLE = "\x21-\x7e\xa1-\xac\xae-ɏ"
 PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
 _PLAIN = re.compile(rf"[{_VISIBLE} \n\r\t]*")
 _SAFE_SPLIT = re.compile(rf" (?=[{_VISIBLE}])")
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 900_000
 MEMO_CHARS = 48
 PIECE_CHARS = 1 << 20
 
@@ -108,7 +108,7 @@ class Encoder:
 
     def _learn(self, new: dict[str, bytes]) -> None:
         words = list(new)
-        got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        got = self.tokenizer.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0]
         ids = np.asarray(got.ids, "<u4")
         ends = np.cumsum(np.bincount(np.asarray(got.word_ids, np.int64), minlength=len(words)))
         raw, a = ids.tobytes(), 0

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, mixing, packing, quality, sharding, toxicity
+from . import exact_dedup, jaccard_join, mixing, packing, quality, sharding, toxicity, viterbi, wavelet
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents, learnt from labelled rows outside the held-out fifth."""
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op9_wavelet_shards")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written as wavelet-matrix shards and read back."""
+    return wavelet.round_trip(documents(spark, sf_dir), end_id=2)
+
+
+@query("op10_token_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of all documents."""
+    return viterbi.token_counts(documents(spark, sf_dir))
