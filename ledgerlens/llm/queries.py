@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, mixing, packing, quality, sharding, toxicity, viterbi, wavelet
+from . import exact_dedup, jaccard_join, mixing, packing, quality, secret_scan, sharding, toxicity, viterbi, wavelet
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram token counts of all documents."""
     return viterbi.token_counts(documents(spark, sf_dir))
+
+
+@query("op5_secret_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: patterns, and candidates that the trained network adds."""
+    return secret_scan.secrets(documents(spark, sf_dir))
