@@ -13,7 +13,8 @@ A class's dictionary is trained on windows of its typical words: those in at lea
 class (at least ``min_words``, the most one-sided first).
 
 Training reads labelled rows only, at most ``fit_rows`` a class (those with the
-smallest MD5 of their id); equal texts count once. Scoring reads every whole text.
+smallest MD5 of their id); equal texts count once. The fitted curve is shifted from the sample's
+class balance to that of all training labels. Scoring reads every whole text.
 
 Rules: null and empty texts score like a text without words; a null or absent
 label is no training row; without training rows of both classes the score is 0
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import pieces
-from .common import broadcast_if_small, column, landed
+from .common import column, landed
 
 #: Runs of letters, digits and non-ASCII characters.
 WORD = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -133,17 +134,22 @@ def train_dictionary(words: list[tuple[str, int]]) -> bytes:
     return zstandard.train_dictionary(max(1024, 24 * len(codes) + 1024), samples, k=16, d=8, steps=1).as_bytes()
 
 
-def fit(labelled: DataFrame, p: Params = Params()) -> Model | None:
-    """Fit on rows (doc_id, text, toxic), at most ``fit_rows`` a class."""
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = labelled.filter("text is not null and toxic in (0, 1)").withColumn("h", order).withColumn("t", F.xxhash64("text"))
-    one = [rows.filter(f"toxic = {c}").select("h", "doc_id", "t", "toxic").orderBy("h", "doc_id").limit(p.fit_rows) for c in (0, 1)]
-    chosen = landed(one[0].unionByName(one[1]).groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")), "toxicity-fit")
-    count = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+def fit(docs: DataFrame, known: DataFrame, p: Params = Params()) -> Model | None:
+    """Fit on ``docs`` (doc_id, text) whose ids ``known`` (doc_id, toxic) labels, at most ``fit_rows`` a class."""
+    order = F.md5(F.col("doc_id").cast("string"))
+    known = landed(known.filter("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct(), "toxicity-labels")
+    total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(total) < 2:
+        return None
+    one = [known.filter(F.col("toxic") == c).orderBy(order, "doc_id").limit(p.fit_rows) for c in (0, 1)]
+    chosen = landed(one[0].unionByName(one[1]), "toxicity-ids")  # at most 2 * fit_rows rows, so broadcast is safe
+    rows = landed(docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
+                  .withColumn("t", F.xxhash64("text")), "toxicity-texts")
+    firsts = landed(rows.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")), "toxicity-firsts")
+    picked = landed(rows.drop("toxic").join(F.broadcast(firsts), ["t", "doc_id"]).select("doc_id", "text", "toxic"), "toxicity-rows")
+    count = {r["toxic"]: r["n"] for r in picked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(count) < 2:
         return None
-    picked = landed(labelled.select("doc_id", "text").withColumn("t", F.xxhash64("text")).join(
-        broadcast_if_small(chosen, 2 * p.fit_rows), ["t", "doc_id"]).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "toxicity-rows")
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,6 +175,7 @@ def fit(labelled: DataFrame, p: Params = Params()) -> Model | None:
     draft = Model(toxic, ordinary, (), p)
     got = measured(picked, draft).select("total", "top", "n_words", "toxic").toPandas()  # at most 2 * fit_rows rows of four numbers
     weights = fit_logistic(_design(got["total"], got["top"], got["n_words"]), got["toxic"].to_numpy(float))
+    weights[0] += np.log(total[1] / total[0]) - np.log(nt / no)  # the classes weigh as among all labels
     return Model(toxic, ordinary, tuple(float(x) for x in weights), p)
 
 
@@ -208,8 +215,7 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 def toxicity(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; labels of held-out rows are never read."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic")).filter(~held_out("_id"))
-    labelled = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
-    model = fit(labelled, p)
+    known = labels.select("doc_id", "toxic").filter(~held_out())
+    model = fit(docs, known, p)
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score",
                                      F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
