@@ -1,20 +1,49 @@
 """From raw documents to packed training sequences: quality rules, exact and near
 duplicates, source mixing, packing. Each stage is written as Parquet and read
-again as the next one's documents."""
+again as the next one's documents.
+
+All stages but the last return the columns of their documents. The mix repeats a
+document as often as it is taken, and packing packs every copy. Near-duplicates
+share 80 % of their five-word shingles; of each group the smallest doc_id stays.
+No SQL: compression bands and packing cannot be expressed in it;
+``tests/llm`` holds the pipeline against a brute-force version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import packing
+from ledgerlens.llm import exact_dedup, jaccard_join, mixing, packing, quality
 from ledgerlens.llm.common import landed
 
 
-def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(docs, keep="largest")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.drop_similar(docs, k=5, percent=80)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs, weights=(1, 2, 3), share=1.0, max_repeats=3)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, capacity=2048, end_id=0)
 
 
-STAGES = [("packing", pack_stage)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_duplicates),
+    ("n-gram Jaccard join", near_duplicates),
+    ("source mix", source_mix),
+    ("best-fit packing", sequences),
+]
 ORACLE_SQL = None
 
 
@@ -23,5 +52,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = landed(docs, f"stage{k}")
+            docs = landed(docs, f"stage-{k}")
     return docs

@@ -36,8 +36,8 @@ from .common import broadcast_if_small, column, landed
 RADIX, SLICE_DIGESTS = 16, 150_000
 #: Groups of more than this share of all rows are joined by broadcast: at most HEAVY_PARTS of them exist.
 HEAVY_PARTS = 1000
-#: Most identifiers of rows that stay which are broadcast; beyond, the rows are joined by shuffle.
-BROADCAST_IDS = 100_000
+#: Most identifiers of rows to drop that are broadcast; beyond, the rows are joined by shuffle.
+BROADCAST_IDS = 50_000
 KEY_BYTES = 48
 ROW_SCHEMA = "doc_id long, uid long, key binary"
 RUN_SCHEMA = "slice int, run long, key binary, keep_id long, keep_uid long, n long"
@@ -165,11 +165,12 @@ def dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:
         F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"), "kept",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("same")), "dedup-groups")
     same = F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha"))
-    stay = groups.filter("kept").select("_keep_id", "_keep_sha")
     inner = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), normalised_sha256("text").alias("_sha"))
-    got = inner.join(broadcast_if_small(stay, BROADCAST_IDS), same, "left_semi")
-    again = groups.filter("same and not kept").select("_keep_id", "_keep_sha").distinct()  # whole rows that repeat
+    drop = landed(groups.filter("not same").select("_keep_id", "_keep_sha").distinct(), "dropped")
+    got = inner.join(broadcast_if_small(drop, BROADCAST_IDS), same, "left_anti")
+    again = landed(groups.filter("same and not kept").select("_keep_id", "_keep_sha").distinct(), "repeated")  # whole rows that repeat
     if not again.isEmpty():
+        again = broadcast_if_small(again, BROADCAST_IDS)
         got = got.join(again, same, "left_anti").unionByName(got.join(again, same, "left_semi").dropDuplicates(["_id", "_sha"]))
     return got.select("_row.*")
 

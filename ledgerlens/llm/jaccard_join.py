@@ -391,3 +391,22 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, k: int)
 def shingle_join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``."""
     return similar_groups(docs, k, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def drop_similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates, with all their columns.
+
+    Of each component the row with the smallest doc_id stays (null last, then any one).
+    """
+    n = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if n["rows"] == n["ids"]:
+        rows, key = docs.withColumn("_similar_id", F.col("doc_id").cast("long")), "component_id"
+        groups = similar_groups(rows.select(F.col("_similar_id").alias("doc_id"), "text"), k, percent)
+    else:  # doc_ids repeat or are missing: rows get numbers of their own
+        rows, key = landed(docs.withColumn("_similar_id", F.monotonically_increasing_id()), "numbered"), "stays"
+        groups = similar_groups(rows.select(F.col("_similar_id").alias("doc_id"), "text"), k, percent)
+        named = landed(groups.join(rows.select(F.col("_similar_id").alias("doc_id"), F.col("doc_id").alias("name")), "doc_id"), "named")
+        best = named.groupBy("component_id").agg(F.min(F.struct(F.col("name").isNull(), "name", F.col("doc_id").alias("stays"))).alias("m"))
+        groups = named.join(landed(best.select("component_id", "m.stays"), "similar-first"), "component_id")
+    gone = landed(groups.filter(F.col("doc_id") != F.col(key)).select(F.col("doc_id").alias("_similar_id")), "similar-dropped")
+    return rows.join(broadcast_if_small(gone, BROADCAST_ROWS), "_similar_id", "left_anti").select(*docs.columns)
