@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.session import checkpoint_dir
@@ -37,6 +37,11 @@ def landed(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def all_columns(df: DataFrame) -> list[Column]:
+    """Every column by its exact name, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Whether a (landed) table has at most ``max_rows`` rows; reads footers only."""
     return df.count() <= max_rows

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, column, landed
+from .common import all_columns, broadcast_if_small, column, landed
 
 #: Runs that meet in one merge, and digests that a slice holds on average.
 RADIX, SLICE_DIGESTS = 16, 150_000
@@ -165,7 +165,7 @@ def dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:
         F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"), "kept",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("same")), "dedup-groups")
     same = F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha"))
-    inner = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), normalised_sha256("text").alias("_sha"))
+    inner = docs.select(F.struct(*all_columns(docs)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), normalised_sha256("text").alias("_sha"))
     drop = landed(groups.filter("not same").select("_keep_id", "_keep_sha").distinct(), "dropped")
     got = inner.join(broadcast_if_small(drop, BROADCAST_IDS), same, "left_anti")
     again = landed(groups.filter("same and not kept").select("_keep_id", "_keep_sha").distinct(), "repeated")  # whole rows that repeat

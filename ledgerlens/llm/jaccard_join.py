@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, column, landed, text_slices
+from .common import all_columns, broadcast_if_small, column, landed, text_slices
 from .components import components
 from .words import U, mix, shingle_hashes, word_bounds, word_hashes
 
@@ -409,4 +409,4 @@ def drop_similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         best = named.groupBy("component_id").agg(F.min(F.struct(F.col("name").isNull(), "name", F.col("doc_id").alias("stays"))).alias("m"))
         groups = named.join(landed(best.select("component_id", "m.stays"), "similar-first"), "component_id")
     gone = landed(groups.filter(F.col("doc_id") != F.col(key)).select(F.col("doc_id").alias("_similar_id")), "similar-dropped")
-    return rows.join(broadcast_if_small(gone, BROADCAST_ROWS), "_similar_id", "left_anti").select(*docs.columns)
+    return rows.join(broadcast_if_small(gone, BROADCAST_ROWS), "_similar_id", "left_anti").select(*all_columns(docs))

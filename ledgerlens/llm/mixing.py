@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, landed
+from .common import all_columns, broadcast_if_small, landed
 from .sharding import HASH_BITS, key_hash
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -109,7 +109,7 @@ def mix(docs: DataFrame, weights=(1, 2, 3), share: float = 1.0, max_repeats: int
 def mixed_documents(docs: DataFrame, weights=(1, 2, 3), share: float = 1.0, max_repeats: int = 3) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with the columns of ``docs``."""
     _, plan = mix_plan(docs, weights, share, max_repeats)
-    inner = docs.select(F.struct(*docs.columns).alias("_mix_row"), F.col("source").cast("string").alias("_mix_src"),
+    inner = docs.select(F.struct(*all_columns(docs)).alias("_mix_row"), F.col("source").cast("string").alias("_mix_src"),
                         key_hash("doc_id").alias("_mix_h"))
     return with_copies(inner, plan, "_mix_src", "_mix_h").filter("_mix_copies > 0") \
         .select("_mix_row", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select("_mix_row.*")

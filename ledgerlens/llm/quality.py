@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, text_slices
+from .common import all_columns, column, text_slices
 from .words import IS_SPACE, shingle_hashes, word_bounds, word_hashes
 
 SYMBOL = np.zeros(256, bool)
@@ -132,5 +132,5 @@ def quality(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
-    inner = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("text"))
+    inner = docs.select(F.struct(*all_columns(docs)).alias("_row"), F.col("text").cast("string").alias("text"))
     return statistics(inner, limits).filter(~base_failed() & F.col("band_ok")).select("_row.*")

@@ -1,7 +1,7 @@
 """Toxicity by compression distance: two zstandard dictionaries, one trained on what is
 typical of toxic text and one on what is typical of ordinary text.
 
-Words are written as 16-byte codes before compression, so that only whole words
+Words are written as 32-byte codes before compression, so that only whole words
 match and nothing else compresses: a dictionary hit saves the same bytes wherever
 it happens. A text is cut into windows of words; each window is compressed with
 either dictionary. Where the toxic dictionary needs fewer bytes, the window leans
@@ -10,7 +10,8 @@ go through a logistic curve fitted on the training rows.
 
 A class's dictionary is trained on windows of its typical words: those in at least
 ``min_share`` of its training texts and ``min_ratio`` times as often as in the other
-class (at least ``min_words``, the most one-sided first).
+class. Where these are few, up to ``min_words`` that lean by ``least_lean`` (log ratio) are taken,
+the most one-sided first; a class without typical words has an empty dictionary.
 
 Training reads labelled rows only, at most ``fit_rows`` a class (those with the
 smallest MD5 of their id); equal texts count once. The fitted curve is shifted from the sample's
@@ -40,17 +41,24 @@ from .common import column, landed
 
 #: Runs of letters, digits and non-ASCII characters.
 WORD = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
-CODE_MEMO = 400_000
+CODE_MEMO = 300_000
+
+
+def code_of(word: str) -> bytes:
+    """32 bytes that stand for a word; long enough that one dictionary hit shortens a whole window."""
+    raw = word.encode("utf-8", "surrogatepass")
+    return xxhash.xxh128_digest(raw) + xxhash.xxh128_digest(raw, 1)
 
 
 @dataclass(frozen=True)
 class Params:
     fit_rows: int = 20_000
-    window_words: int = 32
+    window_words: int = 16
     min_share: float = 0.005
     min_rows: int = 4
     min_ratio: float = 20.0
     min_words: int = 16
+    least_lean: float = 0.7
     max_words: int = 50_000
     noise_bytes: int = 3
 
@@ -64,7 +72,7 @@ class Model:
 
 
 class Codes:
-    """word -> 16-byte code, with a bounded memo."""
+    """word -> code, with a bounded memo."""
 
     def __init__(self):
         self.memo: dict[str, bytes] = {}
@@ -79,7 +87,7 @@ class Codes:
                     self.memo.clear()
                 for i, code in enumerate(got):
                     if code is None:
-                        got[i] = self.memo[words[i]] = xxhash.xxh128_digest(words[i].encode())
+                        got[i] = self.memo[words[i]] = code_of(words[i])
             out += got
         return out
 
@@ -105,7 +113,7 @@ def features(codes: list[bytes], toxic, ordinary, p: Params) -> tuple[int, int,
 
 def _design(total, top, n) -> np.ndarray:
     total, top, n = (np.asarray(x, float) for x in (total, top, n))
-    return np.stack([np.ones(len(n)), np.log1p(total), np.log1p(top), np.log1p(n), np.minimum(total, 64) / 16], axis=1)
+    return np.stack([np.ones(len(n)), np.log1p(total), np.log1p(top), np.log1p(n), np.minimum(total, 128) / 32], axis=1)
 
 
 def scores(model: Model, total, top, n) -> np.ndarray:
@@ -125,13 +133,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 def train_dictionary(words: list[tuple[str, int]]) -> bytes:
     """A dictionary from windows of typical words; ``words`` with their numbers of texts."""
-    codes = [xxhash.xxh128_digest(w.encode()) for w, _ in words]
+    codes = [code_of(w) for w, _ in words]
     rng = np.random.default_rng(7)
     samples = []
     for _ in range(max(8, 200 // max(1, len(codes)))):
         order = rng.permutation(len(codes))
         samples += [b"".join(codes[j] for j in order[i:i + 4]) for i in range(0, len(codes), 4)]
-    return zstandard.train_dictionary(max(1024, 24 * len(codes) + 1024), samples, k=16, d=8, steps=1).as_bytes()
+    trained = zstandard.train_dictionary(40 * len(codes) + 1024, samples, k=32, d=8, steps=1).as_bytes()
+    return trained + b"".join(c for c in codes if c not in trained)  # the content ends the dictionary, so words it left out can follow
 
 
 def fit(docs: DataFrame, known: DataFrame, p: Params = Params()) -> Model | None:
@@ -166,8 +175,8 @@ def fit(docs: DataFrame, known: DataFrame, p: Params = Params()) -> Model | None
     def typical(sign: int, mine: str, other: str, n_mine: int, n_other: int) -> bytes:
         enough = by_word.filter(F.col(mine) >= max(p.min_rows, p.min_share * n_mine)).orderBy((-sign * F.col("lean")), "word")
         one_sided = F.col(mine) / n_mine > p.min_ratio * (F.col(other) + 0.5) / n_other
-        words = [(r["word"], r[mine], r["keep"]) for r in enough.withColumn("keep", one_sided).limit(p.max_words).collect()]
-        kept = [(w, n) for i, (w, n, keep) in enumerate(words) if keep or i < p.min_words]
+        words = [(r["word"], r[mine], r["keep"], sign * r["lean"]) for r in enough.withColumn("keep", one_sided).limit(p.max_words).collect()]
+        kept = [(w, n) for i, (w, n, keep, lean) in enumerate(words) if keep or i < p.min_words and lean > p.least_lean]
         return train_dictionary(kept) if len(kept) >= 8 else b"\0" * 64
 
     toxic = typical(1, "t", "o", nt, no)
