@@ -11,6 +11,7 @@ Texts that hold the string of a special token go to the library whole.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -45,55 +46,69 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+_UNKNOWN = b""
+
+
+class _Memo(dict):
+    """pre-token -> ids; what is looked up in vain is noted in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        self.new[word] = _UNKNOWN
+        return _UNKNOWN
+
+
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers in bytes."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
+        # The same model without the library's own cache: what comes here was not seen before.
+        self.bare = Tokenizer(models.BPE(vocab=spec["vocab"], merges=merges, cache_capacity=0))
+        self.chars = _byte_chars()
+        self.size = np.zeros(max(spec["vocab"].values()) + 1, np.int64)
+        for token, i in spec["vocab"].items():
+            self.size[i] = len(token)
+        self.memo = _Memo()
         self.seen = self.missed = 0
 
     def library(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(parts) for parts in self._encode(texts)]
-
-    def _encode(self, texts: list[str]) -> list[list[bytes]]:
-        out: list[list[bytes]] = []
-        new: dict[str, bytes] = {}
-        holes: list[tuple[list[bytes], int, str]] = []
-        get = self.memo.get
+        out: list[bytes | list] = []
+        holes: list[tuple[int, int, str]] = []
+        get, new = self.memo.__getitem__, self.memo.new
         for text in texts:
-            parts: list[bytes] = []
-            out.append(parts)
             if not text:
+                out.append(b"")
                 continue
             if any(s in text for s in self.special):
-                parts.append(self.library(text))
+                out.append(self.library(text))
                 continue
+            words: list[str] = []
             for piece in pieces(text):
-                if _PLAIN.fullmatch(piece):
-                    words = PRE_TOKEN.findall(piece)
-                else:
-                    words = self._mixed(piece)
-                ids = list(map(get, words))
-                base = len(parts)
-                parts += ids
-                self.seen += len(ids)
-                if None in ids:
-                    lost = [i for i, got in enumerate(ids) if got is None]
-                    self.missed += len(lost)
-                    holes += [(parts, base + i, words[i]) for i in lost]
-                    new |= dict.fromkeys(words[i] for i in lost)
+                words += PRE_TOKEN.findall(piece) if _PLAIN.fullmatch(piece) else self._mixed(piece)
+            got = list(map(get, words))
+            self.seen += len(words)
+            gaps = [i for i, ids in enumerate(got) if ids is _UNKNOWN] if new else []
+            holes += [(len(out), i, words[i]) for i in gaps]
+            out.append(got if gaps else b"".join(got))
         if new:
             self._learn(new)
-            for parts, i, word in holes:
-                parts[i] = new[word]
+            for k, i, word in holes:
+                out[k][i] = new[word]
+            out = [b"".join(x) if type(x) is list else x for x in out]
             self._keep(new)
         return out
 
@@ -107,22 +122,37 @@ class Encoder:
         return words
 
     def _learn(self, new: dict[str, bytes]) -> None:
-        words = list(new)
-        got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.asarray(got.ids, "<u4")
-        ends = np.cumsum(np.bincount(np.asarray(got.word_ids, np.int64), minlength=len(words)))
+        """Ids of new pre-tokens, in one call; a word's ids cover exactly its bytes, which tells where it ends."""
+        plain = [w for w in new if _PLAIN.fullmatch(w)]
+        for word in new.keys() - set(plain):
+            new[word] = self.library(word)
+        if not plain:
+            return
+        mapped = "\0".join(plain).encode().decode("latin-1").translate(self.chars).split(self.chars[0])
+        ids = np.asarray(self.bare.encode_batch_fast([mapped], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+        ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(w) for w in mapped])) + 1
         raw, a = ids.tobytes(), 0
-        for word, b in zip(words, (ends * 4).tolist()):
+        for word, b in zip(plain, (ends * 4).tolist()):
             new[word] = raw[a:b]
             a = b
 
     def _keep(self, new: dict[str, bytes]) -> None:
+        """Keep the memo bounded: it fills up once and stays while it serves; when the text has changed it begins anew."""
+        self.missed += len(new)
         if len(self.memo) < MEMO_ENTRIES:
             self.memo.update((w, v) for w, v in new.items() if len(w) <= MEMO_CHARS)
-        elif self.seen > 2_000_000:  # full: keep it while it serves, begin anew when the text has changed
+        elif self.seen > 2_000_000:
             if self.missed > 0.25 * self.seen:
                 self.memo.clear()
             self.seen = self.missed = 0
+        new.clear()
+
+
+def _byte_chars() -> dict[int, str]:
+    """Byte -> character of byte-level vocabularies: printable Latin-1 stands for itself, the rest follow from U+0100."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 _encoders: dict[str, Encoder] = {}
