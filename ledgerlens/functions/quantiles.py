@@ -26,18 +26,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import bucket_count
+
 DEFAULT_ACCURACY = 100_000
 DEFAULT_BUCKETS = 1024
 
 
 def exact_quantile_expr_table(df: DataFrame, specs: list[tuple[str, str, float]],
                               accuracy: int = DEFAULT_ACCURACY,
-                              buckets: int = DEFAULT_BUCKETS,
+                              buckets: int | None = None,
                               by: list[str] | None = None) -> DataFrame:
     """``specs`` = [(out_name, column, q), ...] -> one row with one double column
     per spec (null on empty input). With ``by``: one row per group instead."""
     by = list(by or [])
     spark = df.sparkSession
+    buckets = buckets or max(DEFAULT_BUCKETS, bucket_count(spark))
     cnames = list(dict.fromkeys(c for _, c, _ in specs))
     delta = 3.0 / accuracy
     probs: list[float] = []
@@ -118,13 +121,10 @@ def _long(df: DataFrame, cnames: list[str]) -> DataFrame:
 
 
 def quantile_values(df: DataFrame, specs: list[tuple[str, str, float]],
-                    accuracy: int = DEFAULT_ACCURACY, buckets: int = DEFAULT_BUCKETS,
-                    exact_below: int = 1 << 22) -> dict:
+                    accuracy: int = DEFAULT_ACCURACY, buckets: int | None = None) -> dict:
     """Eager form: exact linear quantiles as ``{name: float | None}``.
 
-    Columns with at most ``exact_below`` values use Spark's exact ``percentile``
-    (its buffer is bounded by that checked count). Beyond, three small jobs
-    whatever the number of specs: (1) per column ``n``, min,
+    Three small jobs, whatever the size and the number of specs: (1) per column ``n``, min,
     max and an approximate sketch; (2) counts below / inside each candidate
     band, which proves the band holds the target ranks (else the band is the
     whole value range); (3) ranks inside the bands by a distributed prefix sum
@@ -133,6 +133,7 @@ def quantile_values(df: DataFrame, specs: list[tuple[str, str, float]],
     """
     if not specs:
         return {}
+    buckets = buckets or max(DEFAULT_BUCKETS, bucket_count(df.sparkSession))
     cnames = list(dict.fromkeys(c for _, c, _ in specs))
     delta = 3.0 / accuracy
     probs: list[float] = []
@@ -140,25 +141,9 @@ def quantile_values(df: DataFrame, specs: list[tuple[str, str, float]],
         probs += [max(0.0, q - delta), min(1.0, q + delta)]
     long = _long(df, cnames)
     st = {r["cname"]: r for r in long.groupBy("cname").agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("vmin"), F.max("v").alias("vmax")).collect()}
-    small = [c for c in cnames if c in st and 0 < st[c]["n"] <= exact_below]
-    if small and len(small) == len([c for c in cnames if c in st]):
-        # every column has at most ``exact_below`` values (counted above): Spark's
-        # exact percentile holds at most that many distinct values per column
-        qs_of = {c: sorted({float(q) for _, cc, q in specs if cc == c}) for c in small}
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), qs_of[c]).alias(f"_p_{i}")
-                       for i, c in enumerate(small)]).collect()[0]
-        got = {}
-        for i, c in enumerate(small):
-            for q, v in zip(qs_of[c], row[f"_p_{i}"]):
-                got[(c, q)] = v
-        return {name: got.get((c, float(q))) for name, c, q in specs}
-    big = [c for c in cnames if c in st and st[c]["n"] > exact_below]
-    approx = {}
-    if big:  # sketch only for large columns; small ones are ranked whole
-        approx = {r["cname"]: r["approx"] for r in long.where(F.col("cname").isin(big))
-                  .groupBy("cname").agg(F.percentile_approx("v", probs, accuracy).alias("approx"))
-                  .collect()}
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("vmin"), F.max("v").alias("vmax"),
+        F.percentile_approx("v", probs, accuracy).alias("approx")).collect()}
+    approx = {c: r["approx"] for c, r in st.items()}
     info = {}
     for i, (name, c, q) in enumerate(specs):
         r = st.get(c)

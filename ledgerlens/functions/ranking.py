@@ -23,11 +23,20 @@ def hash_key(cols, seed: int | str = 42) -> tuple[Column, Column]:
     return num, h
 
 
+def bucket_count(spark) -> int:
+    """Range buckets to cut an order into: they grow with the session's shuffle partitions."""
+    return max(256, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
 def row_number_by(df: DataFrame, order: list[str], by: list[str] | None = None,
-                  out: str = "rn", buckets: int = 256, rel_err: float = 0.002) -> DataFrame:
+                  out: str = "rn", buckets: int | None = None) -> DataFrame:
     """Add ``out`` = row_number() over (partition by ``by`` order by ``order``)
-    (1-based). ``order[0]`` must be numeric or a timestamp; the rest break ties."""
+    (1-based). ``order[0]`` must be numeric or a timestamp; the rest break ties.
+    Null order keys come first, null groups are a group of their own. By default
+    there are as many buckets as the session has shuffle partitions (256 at least)."""
     by = list(by or [])
+    buckets = buckets or bucket_count(df.sparkSession)
+    rel_err = min(0.002, 0.5 / buckets)
     first = order[0]
     key = "_rk0"
     d = df.withColumn(key, F.col(first).cast("timestamp").cast("double")
@@ -36,10 +45,18 @@ def row_number_by(df: DataFrame, order: list[str], by: list[str] | None = None,
     cuts = sorted(set(v for v in d.approxQuantile(key, qs, rel_err) if v is not None))
     splits = [-float("inf")] + cuts + [float("inf")]
     d = Bucketizer(splits=splits, inputCol=key, outputCol="_bk", handleInvalid="keep").transform(d)
+    d = d.withColumn("_bk", F.coalesce("_bk", F.lit(-1.0)))  # nulls sort before all values
     cnt = d.groupBy(*by, "_bk").agg(F.count(F.lit(1)).alias("_c"))
     pw = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     cnt = cnt.select(*by, "_bk", F.coalesce(F.sum("_c").over(pw), F.lit(0)).alias("_off"))
     w = Window.partitionBy(*by, "_bk").orderBy(*[F.col(c) for c in order])
-    d = d.join(F.broadcast(cnt), [*by, "_bk"]) if not by else d.join(cnt, [*by, "_bk"])
+    if by:
+        other = cnt.select(*[F.col(c).alias("_by_" + c) for c in by], F.col("_bk").alias("_by_bk"), "_off")
+        same = F.col("_bk") == F.col("_by_bk")
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col("_by_" + c))
+        d = d.join(other, same).drop("_by_bk", *["_by_" + c for c in by])
+    else:
+        d = d.join(F.broadcast(cnt), "_bk")
     return d.withColumn(out, (F.col("_off") + F.row_number().over(w)).cast("bigint")).drop(
         key, "_bk", "_off")

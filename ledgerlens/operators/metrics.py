@@ -15,6 +15,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import bucket_count
+
 from ..functions.exprs import flag
 
 
@@ -81,9 +83,11 @@ def classification_report(scored: DataFrame, y: str = "y", pred: str = "pred") -
 
 
 def cumulative_by_order(df: DataFrame, order: str, sums: list[str], descending: bool = True,
-                        buckets: int = 256, rel_err: float = 0.001) -> DataFrame:
+                        buckets: int | None = None) -> DataFrame:
     """Inclusive running sums of ``sums`` in ``order`` (ties: one row per value is
-    expected) as a distributed prefix sum over range buckets."""
+    expected; no nulls) as a distributed prefix sum over range buckets."""
+    buckets = buckets or bucket_count(df.sparkSession)
+    rel_err = min(0.001, 0.5 / buckets)
     qs = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(v for v in df.approxQuantile(order, qs, rel_err) if v is not None))
     splits = [-float("inf")] + cuts + [float("inf")]
@@ -105,7 +109,9 @@ def cumulative_by_order(df: DataFrame, order: str, sums: list[str], descending:
 
 def curve_points(scores: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """Cumulative tp / fp at every distinct score (descending), with the counts
-    just before it, and totals P / N: the basis of E5-E8."""
+    just before it, and totals P / N: the basis of E5-E8. Rows without a score
+    or a label are left out of all of these."""
+    scores = scores.where(F.col(score).isNotNull() & F.col(y).isNotNull())
     g = scores.groupBy(F.col(score).alias("threshold")).agg(
         F.sum(F.col(y)).cast("bigint").alias("pos"),
         (F.count(F.lit(1)) - F.sum(F.col(y))).cast("bigint").alias("neg"))
@@ -188,7 +194,6 @@ def hardest_cases(scored: DataFrame, key: str = "hash", y: str = "y", pred: str
                   score: str = "score") -> DataFrame:
     """Highest-scored true positive, highest-scored false positive and
     lowest-scored false negative (ties broken by key), as one row each."""
-    order_hi = F.struct(F.col(score), (-F.hash(F.col(key))).alias("_h"))
     tp = scored.where((F.col(y) == 1) & (F.col(pred) == 1)).agg(
         F.lit("true_positive").alias("case"),
         F.max_by(F.col(key), F.struct(F.col(score), F.col(key))).alias(key),
@@ -201,5 +206,4 @@ def hardest_cases(scored: DataFrame, key: str = "hash", y: str = "y", pred: str
         F.lit("false_negative").alias("case"),
         F.min_by(F.col(key), F.struct(F.col(score), F.col(key))).alias(key),
         F.min(score).alias(score))
-    del order_hi
     return tp.unionByName(fp).unionByName(fn)

@@ -38,10 +38,10 @@ def downsample(df: DataFrame, label: str, id_cols, ratio: int = 2, seed: int = 4
 def stratified_split(df: DataFrame, label: str, id_cols, test_size: float = 0.2,
                      seed: int = 42) -> DataFrame:
     """L2: per class, the first ``ceil(test_size * n_class)`` rows in hash
-    order are test; adds ``is_test`` (int)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
+    order are test; adds ``is_test`` (int). Rows without a label are a class."""
+    counts = df.groupBy(F.col(label).alias("_cls")).agg(F.count(F.lit(1)).alias("_nc"))
     d = row_number_by(with_hash_order(df, id_cols, seed), ["_hnum", "_hhex"], by=[label], out="_rn")
-    d = d.join(F.broadcast(counts), label)
+    d = d.join(counts, F.col(label).eqNullSafe(F.col("_cls"))).drop("_cls")
     return (d.withColumn("is_test", (F.col("_rn") <= F.ceil(F.col("_nc") * test_size)).cast("int"))
             .drop("_rn", "_nc", "_hnum", "_hhex"))
 

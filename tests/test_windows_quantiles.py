@@ -26,7 +26,7 @@ def test_exact_quantiles_sketch_path(spark):
     rng = np.random.default_rng(3)
     vals = rng.normal(0, 1, 5000)
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")
-    got = quantile_values(df, [("a", "v", 0.95), ("b", "v", 0.1)], exact_below=10, accuracy=1000)
+    got = quantile_values(df, [("a", "v", 0.95), ("b", "v", 0.1)], accuracy=1000)
     assert got["a"] == pytest.approx(float(np.percentile(vals, 95)), rel=1e-12)
     assert got["b"] == pytest.approx(float(np.percentile(vals, 10)), rel=1e-12)
 
