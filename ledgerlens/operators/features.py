@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_back
 from ..functions.exprs import finite_or_zero, flag, numeric_columns
 from ..functions.windows import DAY_US, WEEK_US, BucketedSequence
 from ..sources.tables import TX_ORDER, micros
@@ -65,8 +66,8 @@ def gas_features(tx: DataFrame, eps: float = 1e-10) -> DataFrame:
     The median is a per-block exact percentile aggregated with partial
     aggregation; its buffer holds the distinct gas prices of one block."""
     d = tx.withColumn("gas_price_gwei", F.col("gas_price") / F.lit(1e9))
-    med = d.groupBy("block_number").agg(F.median("gas_price_gwei").alias("block_median_gas"))
-    d = d.join(med, "block_number", "left")
+    med = d.groupBy("block_number").agg(F.median("gas_price_gwei").alias("block_median_gas"), F.count(F.lit(1)).alias("_rows"))
+    d = join_back(d, med, "block_number", "_rows", ["hash"]).drop("_rows")
     d = d.withColumn("gas_price_ratio", F.col("gas_price_gwei") / (F.col("block_median_gas") + F.lit(eps)))
     if "gas_used" in tx.columns:
         return d.withColumn("gas_efficiency", F.col("gas_used") / (F.col("gas") + 1))
@@ -75,15 +76,15 @@ def gas_features(tx: DataFrame, eps: float = 1e-10) -> DataFrame:
 
 def sender_behaviour(tx_seq: DataFrame, burst_min: int = 10) -> DataFrame:
     """F5a, F5b, F14, F16, F18a, F18b on the output of ``sequence_features``:
-    one ``groupBy(sender)`` joined back."""
+    one ``groupBy(sender)`` joined back (busy senders by broadcast)."""
     agg = [F.count_distinct("to_addr").cast("bigint").alias("unique_receivers"),
            F.avg("time_since_last_tx").alias("tx_interval_mean"),
            F.coalesce(F.avg(F.nullif(F.col("time_since_last_tx"), F.lit(0.0))), F.lit(0.0))
-           .alias("tx_interval_mean_nonzero")]
+           .alias("tx_interval_mean_nonzero"), F.count(F.lit(1)).alias("_rows")]
     if "is_error" in tx_seq.columns:
         agg.append((1 - F.avg("is_error")).alias("tx_success_rate"))
     per = tx_seq.groupBy("from_addr").agg(*agg)
-    d = tx_seq.join(per, "from_addr", "left")
+    d = join_back(tx_seq, per, "from_addr", "_rows", ["hash"]).drop("_rows")
     if "is_error" not in tx_seq.columns:
         d = d.withColumn("tx_success_rate", F.lit(1.0))
     if "tx_1h_window" in d.columns:
@@ -109,7 +110,8 @@ def counterparty_aggregates(tx: DataFrame) -> DataFrame:
     rcv = tx.where(F.col("to_addr").isNotNull()).groupBy("to_addr").agg(
         F.count("hash").alias("receiver_tx_count"),
         F.count_distinct("from_addr").alias("receiver_unique_senders"))
-    d = tx.join(snd, "from_addr", "left").join(rcv, "to_addr", "left")
+    d = join_back(tx, snd, "from_addr", "sender_tx_count", ["hash"])
+    d = join_back(d, rcv, "to_addr", "receiver_tx_count", ["hash"])
     for c in ("sender_tx_count", "sender_unique_receivers", "receiver_tx_count",
               "receiver_unique_senders"):
         d = d.withColumn(c, F.coalesce(F.col(c), F.lit(0)).cast("bigint"))
@@ -157,8 +159,8 @@ def feature_matrix_alt(tx: DataFrame, bucket_us: int = WEEK_US) -> DataFrame:
     d = sequence_features(d, bucket_us, windows={})
     per = d.groupBy("from_addr").agg(
         F.coalesce(F.avg(F.nullif(F.col("time_since_last_tx"), F.lit(0.0))), F.lit(0.0))
-        .alias("tx_interval_mean"))
-    d = d.join(per, "from_addr", "left")
+        .alias("tx_interval_mean"), F.count(F.lit(1)).alias("_rows"))
+    d = join_back(d, per, "from_addr", "_rows", ["hash"]).drop("_rows")
     d = d.withColumn("rapid_followup_flag", flag(F.col("time_since_last_tx") < 60))
     d = (d.withColumn("log_value", F.log1p("value_eth"))
          .withColumn("gas_price_gwei", F.col("gas_price") / F.lit(1e9))

@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import flag
+from ..functions.joins import join_back, lookup
 from ..functions.quantiles import quantile_values, small_domain_quantile
 from ..functions.windows import WEEK_US, BucketedSequence
+from ..session import checkpoint_dir
 from ..sources.tables import TX_ORDER, micros
 
 US = 1_000_000
@@ -115,7 +117,8 @@ def sender_sequence(tx: DataFrame, window_s: int, bucket_us: int = WEEK_US) -> B
 
 def detect_drainers(tx: DataFrame, params: RuleParams | None = None,
                     bucket_us: int = WEEK_US, stats: dict | None = None) -> DataFrame:
-    """Adds the five rule flags, ``suspected_drainer`` and ``sender_rows``."""
+    """Adds the five rule flags, ``suspected_drainer`` and ``sender_rows``.
+    A row without a sender keeps W2 and has 0 in everything that looks at its sender."""
     p = params or RuleParams.coded()
     st = stats or global_stats(tx, p)
     consts = {"_" + k: _lit(st.get(k)) for k in ("v_hi", "g_lo", "v_follow", "v_max")}
@@ -141,6 +144,9 @@ def detect_drainers(tx: DataFrame, params: RuleParams | None = None,
     if p.nonce_window_s is not None:
         jump = jump & (F.col("_gap_s") <= p.nonce_window_s)
     d = d.withColumn("w5_nonce_jump", flag(jump))
+    nobody = tx.where(F.col("from_addr").isNull()).withColumns(
+        {**consts, "w4_zero_drain": F.lit(0), "w5_nonce_jump": F.lit(0), "w1_burst": F.lit(0), "w3_fanout": F.lit(0),
+         "sender_rows": F.lit(0).cast("bigint")})
     # W2 high value with low gas (global thresholds)
     if p.high_value_q is not None:
         w2 = ((F.col("_v_max") > 0) & (F.col("value_eth") > F.col("_v_hi"))
@@ -150,21 +156,22 @@ def detect_drainers(tx: DataFrame, params: RuleParams | None = None,
         w2 = ((F.col("value_eth") >= p.min_value_eth)
               & (F.col("gas_price") / F.lit(1e9) <= p.max_gas_price_gwei)
               & (F.try_divide(F.col("value_eth"), gas_cost) >= p.min_value_to_gas))
-    d = d.withColumn("w2_value_gas", flag(w2))
+    d, nobody = d.withColumn("w2_value_gas", flag(w2)), nobody.withColumn("w2_value_gas", flag(w2))
 
     # Sender-level aggregates, joined back
     per_sender = d.groupBy("from_addr").agg(
         F.count(F.lit(1)).alias("sender_rows"),
         F.count_if(F.col("_gap_s") < p.burst_gap_s).alias("_rapid"),
         F.count_distinct("to_addr").alias("_n_to"))
-    d = d.join(per_sender, "from_addr", "left")
+    d = join_back(d, per_sender, "from_addr", "sender_rows", ["hash"])
     d = d.withColumn("w1_burst", flag((F.col("sender_rows") >= p.burst_min_tx)
                                       & (F.col("_rapid") >= p.burst_min_rapid)))
     d = d.withColumn("w3_fanout", flag((F.col("sender_rows") >= p.fanout_min_tx)
                                        & (F.col("_n_to") >= F.col("sender_rows") * p.fanout_ratio)))
-    d = d.withColumn("suspected_drainer", F.greatest(*[F.col(c) for c in FLAG_COLS]))
     drop = [c for c in d.columns if c.startswith("_") or c.startswith("prev_")]
-    return d.drop(*drop)
+    d = d.drop(*drop)
+    return d.unionByName(nobody.select(*d.columns)).withColumn(
+        "suspected_drainer", F.greatest(*[F.col(c) for c in FLAG_COLS]))
 
 
 def drainer_summary(flagged: DataFrame) -> DataFrame:
@@ -205,19 +212,21 @@ def threshold_labels(scored: DataFrame, contamination: float = 0.05,
     """label = score >= linear percentile of the score at 1 - contamination.
     Ties at the threshold all get the label (so the rate can exceed the budget).
     The score has at most eight values, so its exact quantile comes from the
-    score histogram. The scored table is persisted: it is read twice."""
-    scored = scored.persist()
+    score histogram. The scored table is read twice, so it is checkpointed."""
+    checkpoint_dir(scored.sparkSession)
+    scored = scored.checkpoint()
     thr = small_domain_quantile(scored, "anomaly_score", 1.0 - contamination)
     return scored.withColumn(out, flag(F.col("anomaly_score") >= _lit(thr)))
 
 
 def known_scam_labels(tx: DataFrame, scam: DataFrame, out: str = "is_fraud_known") -> DataFrame:
     """1 if sender or receiver is in the scam set. The set is distinct-ed and
-    joined twice (left); AQE broadcasts it when its runtime size allows."""
-    s = scam.select(F.col("address")).distinct()
+    joined twice (left); AQE broadcasts it when its runtime size allows. Rows
+    without a sender or receiver are dealt evenly."""
+    s = scam.select(F.col("address")).where("address is not null").distinct()
     f = s.select(F.col("address").alias("from_addr"), F.lit(1).alias("_sf"))
     t = s.select(F.col("address").alias("to_addr"), F.lit(1).alias("_st"))
-    d = tx.join(f, "from_addr", "left").join(t, "to_addr", "left")
+    d = lookup(lookup(tx, f, "from_addr", ["hash"]), t, "to_addr", ["hash"])
     return d.withColumn(out, flag((F.col("_sf") == 1) | (F.col("_st") == 1))).drop("_sf", "_st")
 
 
@@ -264,6 +273,7 @@ def value_zscore_outliers(tx: DataFrame, threshold: float = 3.0,
                           bucket_us: int = WEEK_US) -> DataFrame:
     """Z-score of the value against the sender's own *earlier* transactions
     (mean and sample std of all preceding rows); flag when |z| > threshold.
+    A row without a sender has no earlier ones.
     The running totals are a distributed prefix sum (see ``BucketedSequence``)."""
     d = tx.where(F.col("from_addr").isNotNull()).withColumn("_t", micros("ts"))
     order = ("_t",) + TX_ORDER[1:]
@@ -290,7 +300,11 @@ def value_zscore_outliers(tx: DataFrame, threshold: float = 3.0,
          .withColumn("prior_std", F.when(n >= 2, std))
          .withColumn("value_z", F.when((n >= 2) & (std > 0), F.try_divide(x - mean, std)))
          .withColumn("r3_value_outlier", flag(F.abs(F.col("value_z")) > threshold)))
-    return e.drop("_t", "_n", "_s", "_q", "_qd")
+    e = e.drop("_t", "_n", "_s", "_q", "_qd")
+    nobody = tx.where(F.col("from_addr").isNull()).withColumns(
+        {"prior_n": F.lit(0).cast("bigint"), "prior_mean": F.lit(None).cast("double"), "prior_std": F.lit(None).cast("double"),
+         "value_z": F.lit(None).cast("double"), "r3_value_outlier": F.lit(0)})
+    return e.unionByName(nobody.select(*e.columns))
 
 
 def gas_iqr_outliers(tx: DataFrame, multiplier: float = 1.5) -> DataFrame:
@@ -349,11 +363,11 @@ def weighted_vote_labels(df: DataFrame, known_col: str = "is_fraud_known",
                          drainer_col: str = "suspected_drainer",
                          anomaly_col: str = "is_fraud_synthetic",
                          min_confidence: float = VOTE_MIN_CONFIDENCE) -> DataFrame:
-    """confidence = max weight among the sources that fire; label only when
-    confidence >= min_confidence."""
-    conf = F.greatest(F.col(known_col) * VOTE_WEIGHTS["known"],
-                      F.col(drainer_col) * VOTE_WEIGHTS["drainer"],
-                      F.col(anomaly_col) * VOTE_WEIGHTS["anomaly"])
+    """confidence = sum of the weights of the sources that fire, at most 1;
+    label only when confidence >= min_confidence."""
+    conf = F.least(F.lit(1.0), F.round(F.col(known_col) * VOTE_WEIGHTS["known"]
+                                       + F.col(drainer_col) * VOTE_WEIGHTS["drainer"]
+                                       + F.col(anomaly_col) * VOTE_WEIGHTS["anomaly"], 6))
     return (df.withColumn("vote_confidence", conf.cast("double"))
             .withColumn("is_fraud_vote", flag(F.col("vote_confidence") >= min_confidence)))
 

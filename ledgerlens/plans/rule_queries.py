@@ -234,9 +234,9 @@ def q_entropy_shift(spark, sf):
 @register("risk_vote", with_tx(drainer_sql(R.RuleParams.coded()) + "," + ANOMALY_SQL + ","
                                + SCAM_SQL + """
 SELECT hash, round(is_fraud_known * 1.0 + suspected_drainer * 0.6 + anomaly_score / 7.0 * 0.3, 6) AS risk_score,
-       round(CAST(greatest(is_fraud_known * 1.0, suspected_drainer * 0.6, is_fraud_synthetic * 0.3) AS DOUBLE), 6)
+       round(CAST(least(1.0, is_fraud_known * 1.0 + suspected_drainer * 0.6 + is_fraud_synthetic * 0.3) AS DOUBLE), 6)
          AS vote_confidence,
-       CASE WHEN greatest(is_fraud_known * 1.0, suspected_drainer * 0.6, is_fraud_synthetic * 0.3) >= 0.7
+       CASE WHEN is_fraud_known * 1.0 + suspected_drainer * 0.6 + is_fraud_synthetic * 0.3 >= 0.7
             THEN 1 ELSE 0 END AS is_fraud_vote
 FROM policy"""))
 def q_risk_vote(spark, sf):
