@@ -114,6 +114,7 @@ def clustering_features(edges: DataFrame) -> DataFrame:
     average neighbour degree (a self-loop counts 2 in degree and the node is its
     own neighbour; isolated -> 0) and triangle count. The undirected edge
     table feeds three branches and is checkpointed once."""
+    edges = _ckpt(edges)
     und = _ckpt(undirected(edges))
     nodes = nodes_of(edges)
     d = und.groupBy(F.col("u").alias("address")).agg(F.count(F.lit(1)).alias("d"))
@@ -152,30 +153,33 @@ def _ckpt(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def scam_distance(edges: DataFrame, scam: DataFrame, max_levels: int = 1000) -> DataFrame:
+def scam_distance(edges: DataFrame, scam: DataFrame) -> DataFrame:
     """Hops from each node *towards* the nearest scam address along edge
-    direction (scam itself 0, unreachable 999). One multi-source BFS over the
-    reversed edges: the frontier moves from each level's nodes to their
-    predecessors; stops when no new node is reached. Each level's visited set
-    is checkpointed."""
-    nodes = nodes_of(edges)
-    rev = edges.select(F.col("dst").alias("node"), F.col("src").alias("prev")).distinct()
+    direction (scam itself 0; unreachable 999 and ``reachable`` 0). One multi-source
+    BFS over the reversed edges: the frontier moves from each level's nodes to
+    their predecessors until no new node is reached, however many levels that
+    takes. Edges and nodes are checkpointed once; a level adds only its own nodes."""
+    nodes = _ckpt(nodes_of(edges))
+    rev = _ckpt(edges.select(F.col("dst").alias("node"), F.col("src").alias("prev")).distinct())
     seed = scam.select(F.col("address").alias("node")).distinct().join(
         nodes.select(F.col("address").alias("node")), "node", "left_semi")
     visited = _ckpt(seed.withColumn("dist", F.lit(0)))
     frontier = visited
     level = 0
-    while level < max_levels:
+    while True:
         level += 1
         nxt = (frontier.join(rev, "node").select(F.col("prev").alias("node")).distinct()
                .join(visited.select("node"), "node", "left_anti"))
         nxt = _ckpt(nxt.withColumn("dist", F.lit(level)))
         if nxt.isEmpty():
             break
-        visited = _ckpt(visited.unionByName(nxt))
+        visited = visited.unionByName(nxt)
+        if level % 50 == 0:  # a union of very many tables plans slowly
+            visited = _ckpt(visited)
         frontier = nxt
     return (nodes.join(visited.withColumnRenamed("node", "address"), "address", "left")
-            .select("address", F.coalesce(F.col("dist"), F.lit(UNREACHABLE)).alias("distance_to_scam")))
+            .select("address", F.coalesce(F.col("dist"), F.lit(UNREACHABLE)).alias("distance_to_scam"),
+                    F.col("dist").isNotNull().cast("int").alias("reachable")))
 
 
 def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-6,
@@ -185,7 +189,8 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: fl
     is below ``n * tol`` (raises if ``max_iter`` is reached), or after exactly
     ``fixed_iter`` rounds. Each round: one join of edges to ranks, one
     ``groupBy(dst)``, a one-row dangling sum; ranks are checkpointed."""
-    nodes = nodes_of(edges).withColumnRenamed("address", "node")
+    edges = _ckpt(edges)
+    nodes = _ckpt(nodes_of(edges).withColumnRenamed("address", "node"))
     n = nodes.count()
     if n == 0:
         return nodes.withColumn("pagerank", F.lit(0.0))
@@ -221,21 +226,31 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: fl
     return x.withColumnRenamed("x", "pagerank")
 
 
-def label_propagation(edges: DataFrame, iterations: int = 10) -> DataFrame:
+def label_propagation(edges: DataFrame, iterations: int | None = None) -> DataFrame:
     """G9 (re-aimed): synchronous label propagation on the undirected graph.
     Every node starts with its own id as label; each round it takes the most
     frequent label among its neighbours (ties: smallest label); isolated nodes
     keep theirs. Communities are then numbered 0, 1, ... by size descending
-    (ties by smallest label) with their size."""
-    und = undirected(edges)
+    (ties by smallest label) with their size. Without ``iterations`` it runs until
+    no label changes, or until the labels are those of two rounds ago (synchronous
+    rounds may alternate between two states)."""
+    und = _ckpt(undirected(edges))
     nodes = nodes_of(edges).withColumnRenamed("address", "node")
     lab = _ckpt(nodes.withColumn("label", F.col("node")))
-    for _ in range(iterations):
+    done, before = 0, None
+    while iterations is None or done < iterations:
+        done += 1
         cnt = (und.join(lab.select(F.col("node").alias("v"), "label"), "v")
                .groupBy(F.col("u").alias("node"), "label").agg(F.count(F.lit(1)).alias("c")))
         best = cnt.groupBy("node").agg(F.min_by("label", F.struct(-F.col("c"), F.col("label"))).alias("_l"))
-        lab = _ckpt(lab.join(best, "node", "left")
+        new = _ckpt(lab.join(best, "node", "left")
                     .select("node", F.coalesce(F.col("_l"), F.col("label")).alias("label")))
+        settled = iterations is None and any(
+            new.join(old.withColumnRenamed("label", "_was"), "node").where("label != _was").isEmpty()
+            for old in (lab, before) if old is not None)
+        before, lab = lab, new
+        if settled:
+            break
     sizes = lab.groupBy("label").agg(F.count(F.lit(1)).alias("community_size"))
     # numbering by size is a distributed row number (there may be ~n communities)
     sizes = row_number_by(sizes.withColumn("_neg", -F.col("community_size")), ["_neg", "label"], out="_rn")
@@ -271,7 +286,7 @@ def graph_features(tx: DataFrame, scam: DataFrame, edges: DataFrame | None = Non
     the transactions on the sender; missing -> 0 (also the distance)."""
     e = _ckpt(edges if edges is not None else build_edges(tx))  # read by four operators
     g = (degree_centrality(e).join(clustering_features(e), "address", "left")
-         .join(scam_distance(e, scam), "address", "left").join(scam_neighbors(e, scam), "address", "left"))
+         .join(scam_distance(e, scam).drop("reachable"), "address", "left").join(scam_neighbors(e, scam), "address", "left"))
     feats = [c for c in g.columns if c != "address"]
     d = tx.join(g.withColumnRenamed("address", "from_addr"), "from_addr", "left")
     return d.na.fill(0, feats)
@@ -309,8 +324,8 @@ def betweenness(edges: DataFrame, pivots: DataFrame, normalized: bool = True,
         if normalized and n > 2:
             scale = scale / ((n - 1) * (n - 2))
         return raw.select("address", (F.col("_b") * scale).alias("betweenness"))
-    e = edges.select(F.col("src").alias("node"), F.col("dst").alias("nxt")).where(
-        F.col("node") != F.col("nxt")).distinct()
+    e = _ckpt(edges.select(F.col("src").alias("node"), F.col("dst").alias("nxt")).where(
+        F.col("node") != F.col("nxt")).distinct())
     front = _ckpt(pivots.select(F.col("address").alias("pivot")).distinct()
                   .select("pivot", F.col("pivot").alias("node"), F.lit(0).alias("dist"),
                           F.lit(1.0).alias("sigma")))

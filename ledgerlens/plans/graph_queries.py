@@ -105,7 +105,7 @@ def q_clustering(spark, sf):
 
 
 @register("scam_distance", with_tx(EDGES_SQL + ",\n" + _bfs_sql() + """
-SELECT address, distance_to_scam FROM dist"""))
+SELECT address, distance_to_scam, CASE WHEN distance_to_scam = 999 THEN 0 ELSE 1 END AS reachable FROM dist"""))
 def q_scam_distance(spark, sf):
     """Directed hops towards the nearest scam address (999 unreachable)."""
     tx = tx_view(spark, sf)

@@ -57,7 +57,8 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint directory of this session.
 
     The cluster names it in ``spark.checkpoint.dir``; we only set our own when
-    it is unset (local mode, tests). Iterative operators write their
+    it is unset: ``fallback`` or LEDGERLENS_CHECKPOINT_DIR, or, with a local
+    master only, a temporary folder; elsewhere an unset folder is an error. Iterative operators write their
     per-round state below it, so that lost executors never lose lineage.
     """
     sc = spark.sparkContext
@@ -66,7 +67,10 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = fallback or os.environ.get("LEDGERLENS_CHECKPOINT_DIR") or tempfile.mkdtemp(
-            prefix="ledgerlens-ckpt-")
+        d = fallback or os.environ.get("LEDGERLENS_CHECKPOINT_DIR")
+    if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        d = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")  # one machine: driver and executors share it
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
