@@ -12,6 +12,7 @@ from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import rules as R
 from ..operators import sampling as L
+from ..session import checkpoint_dir
 from ..sources.tables import scam_seed, tx_view
 from .registry import register
 
@@ -22,14 +23,15 @@ def model_data(spark, sf):
     """F22 matrix with the known-scam label and the temporal split (L3)."""
     tx = tx_view(spark, sf)
     lab = R.known_scam_labels(tx, scam_seed(tx), out="is_fraud")
-    fm = FE.feature_matrix(lab).persist()  # read by the split, the fit and the scoring
+    checkpoint_dir(spark)
+    fm = FE.feature_matrix(lab).checkpoint()  # read by the split, the fit and the scoring
     feats = [c for c, t in fm.dtypes if c not in DENY and t in ("int", "bigint", "double")]
     return L.temporal_split(fm), feats
 
 
 def _split(spark, sf):
     d, feats = model_data(spark, sf)
-    d = d.persist()
+    d = d.checkpoint()
     return d.where(F.col("is_test") == 0), d.where(F.col("is_test") == 1), feats
 
 
@@ -129,20 +131,16 @@ def q_dependence(spark, sf):
     return ML.dependence(attr, "value_eth")
 
 
-SMOTE_FEATURES = ["value_eth", "log_value", "gas_price_gwei", "is_zero_value", "is_weekend"]
-
-
 @register("smote_counts")
 def q_smote(spark, sf):
     """L6 + L7: rows per class before and after SMOTE (ratio 0.35) and ADASYN on
     the training split; synthetic rows lie on minority segments (tests)."""
     from ..operators.oversampling import adasyn, smote
-    train, _, _ = _split(spark, sf)
-    base = train.select("hash", "is_fraud", *SMOTE_FEATURES)
+    train, _, feats = _split(spark, sf)
+    base = train.select("hash", "is_fraud", *feats)
     parts = []
-    for name, out in (("smote", smote(base, "is_fraud", "hash", SMOTE_FEATURES, sampling_ratio=0.35,
-                                      radius=4.0)),
-                      ("adasyn", adasyn(base, "is_fraud", "hash", SMOTE_FEATURES, radius=4.0))):
+    for name, out in (("smote", smote(base, "is_fraud", "hash", feats, sampling_ratio=0.35)),
+                      ("adasyn", adasyn(base, "is_fraud", "hash", feats))):
         parts.append(out.groupBy("is_fraud").agg(F.count(F.lit(1)).alias("n_rows"),
                                                  F.sum("synthetic").cast("bigint").alias("n_synthetic"))
                      .withColumn("method", F.lit(name)))
