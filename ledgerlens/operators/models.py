@@ -14,7 +14,7 @@ import time
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,24 +59,29 @@ MODEL_ZOO = {
 
 
 def fit(df: DataFrame, features: list[str], label: str, estimator, scale: bool = False):
-    """Assemble (and optionally standardise with population-free Spark scaling)
-    and fit; returns the fitted pipeline."""
-    stages = [VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep")]
-    fcol = "_features"
+    """Assemble (and optionally standardise with L12's means and population
+    deviations, as SQL expressions) and fit; returns the fitted pipeline."""
+    stages, inputs = [], features
     if scale:
-        stages.append(StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True, withStd=True))
-        fcol = "_scaled"
+        cols = [F.avg(F.col(f"`{c}`").cast("double")).alias(f"m{i}") for i, c in enumerate(features)] \
+            + [F.stddev_pop(F.col(f"`{c}`").cast("double")).alias(f"s{i}") for i, c in enumerate(features)]
+        st = df.agg(*cols).first()
+        inputs = [f"_z{i}" for i in range(len(features))]
+        exprs = [f"(cast(`{c}` as double) - {st[f'm{i}'] or 0.0!r}D) / {st[f's{i}'] or 1.0!r}D AS _z{i}" for i, c in enumerate(features)]
+        stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(exprs) + " FROM __THIS__"))
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="keep"))
+    fcol = "_features"
     est = estimator.copy().setFeaturesCol(fcol).setLabelCol(label)
     stages.append(est)
     return Pipeline(stages=stages).fit(df)
 
 
 def score(model, df: DataFrame, label: str, key: str = "hash", threshold: float = 0.5) -> DataFrame:
-    """Probability of class 1 and the label at ``threshold`` (>=)."""
+    """Probability of class 1 and the label above ``threshold`` (a tie is class 0)."""
     out = model.transform(df)
     return out.select(F.col(key), F.col(label).cast("int").alias("y"),
                       vector_to_array("probability")[1].alias("score")) \
-        .withColumn("pred", (F.col("score") >= threshold).cast("int"))
+        .withColumn("pred", (F.col("score") > threshold).cast("int"))
 
 
 def evaluation_row(scored: DataFrame) -> dict:

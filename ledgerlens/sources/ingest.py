@@ -47,10 +47,10 @@ BLOCK_SCHEMA = T.StructType([
 def recent_snapshot(tx: DataFrame, target_count: int = 5000, max_blocks: int = 500) -> DataFrame:
     """Newest ``target_count`` transactions of the last ``max_blocks + 1``
     blocks, newest block first, block order inside a block (the cut may fall
-    inside a block). Plans as a filter plus ``TakeOrderedAndProject``."""
-    top = tx.agg(F.max("block_number").alias("_top"))
-    return (tx.crossJoin(F.broadcast(top))
-            .where(F.col("block_number") >= F.col("_top") - max_blocks).drop("_top")
+    inside a block). The newest block is read first, so the filter is a literal that
+    reaches the scan; then ``TakeOrderedAndProject``."""
+    top = tx.agg(F.max("block_number")).first()[0] or 0
+    return (tx.where(F.col("block_number") >= top - max_blocks)
             .orderBy(F.col("block_number").desc(), F.col("tx_index").asc(), F.col("hash").asc())
             .limit(target_count))
 

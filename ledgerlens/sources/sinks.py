@@ -49,8 +49,12 @@ def write_run_result(result: DataFrame, path: str) -> str:
 
 def save_model(model, path: str, feature_names: list[str] | None = None) -> str:
     """K4: persist a fitted Spark ML model (or pipeline) under a time-stamped
-    path; feature names travel in the pipeline's assembler metadata."""
+    path, with its feature names and every stage's parameters as JSON beside it."""
     stamp = time.strftime("%Y%m%d_%H%M%S")
     out = f"{path.rstrip('/')}/model_{stamp}"
     model.write().overwrite().save(out)
+    params = {f"{type(s).__name__}.{p.name}": str(v) for s in getattr(model, "stages", [model]) for p, v in s.extractParamMap().items()}
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(feature_names or [], params)], "feature_names array<string>, parameters map<string,string>") \
+        .coalesce(1).write.mode("overwrite").json(out + "_info")
     return out
