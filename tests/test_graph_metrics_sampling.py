@@ -115,10 +115,10 @@ def test_smote_and_adasyn_on_segments(spark):
     rows = [(f"p{i}", 1, float(i % 5), float(i // 5)) for i in range(12)]
     rows += [(f"n{i}", 0, 10.0 + i % 7, float(i % 3)) for i in range(40)]
     df = spark.createDataFrame(rows, "hash string, y int, a double, b double")
-    out = smote(df, "y", "hash", ["a", "b"], k=3, radius=1.5)
+    out = smote(df, "y", "hash", ["a", "b"], k=3)
     assert out.where("y = 1").count() == 40 and out.where("synthetic = 1").count() == 28
     assert synthetic_on_segment(out, df.where("y = 1"), "hash", ["a", "b"]).count() == 0
-    ad = adasyn(df, "y", "hash", ["a", "b"], k=3, radius=1.5)
+    ad = adasyn(df, "y", "hash", ["a", "b"], k=3)
     assert synthetic_on_segment(ad, df.where("y = 1"), "hash", ["a", "b"]).count() == 0
 
 

@@ -81,3 +81,33 @@ def test_votes_add_up(spark):
     df = spark.createDataFrame([(0, 1, 1), (0, 1, 0), (1, 0, 0), (0, 0, 1)], "is_fraud_known int, suspected_drainer int, is_fraud_synthetic int")
     got = [(r["vote_confidence"], r["is_fraud_vote"]) for r in R.weighted_vote_labels(df).collect()]
     assert got == [(0.9, 1), (0.6, 0), (1.0, 1), (0.3, 0)]
+
+
+def test_neighbours_are_the_nearest(spark, monkeypatch):
+    """Against brute force, over many ranges, with ties and a frequent point."""
+    import random
+
+    from ledgerlens.operators import oversampling as O
+    monkeypatch.setattr(O, "RANGE_POINTS", 30)
+    r = random.Random(1)
+    rows = [(f"p{i:03d}", int(r.random() < .4), float(r.randint(0, 20)), r.gauss(0, 5) if i % 4 else 1.0) for i in range(160)]
+    rows += [(f"d{i:02d}", 1, 7.0, 1.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "hash string, y int, a double, b double")
+    got = {}
+    for x in O.nearest_neighbors(df.where("y = 1"), df, "hash", ["a", "b"], 4).collect():
+        got.setdefault(x["qid"], []).append((x["nrank"], round(x["dist"], 9), x["rid"]))
+    for h, y, a, b in rows:
+        if y:
+            want = sorted((round(((a - c) ** 2 + (b - d) ** 2) ** 0.5, 9), o) for o, _, c, d in rows if o != h)[:4]
+            assert [(d, o) for _, d, o in sorted(got[h])] == want
+
+
+def test_saved_models_carry_names_and_parameters(spark, tmp_path):
+    from ledgerlens.operators import models as ML
+    from ledgerlens.sources import sinks
+    df = spark.createDataFrame([(f"h{i}", float(i % 7), float(i), int(i > 20)) for i in range(40)], "hash string, a double, b double, y int")
+    model = ML.fit(df, ["a", "b"], "y", ML.logistic(n=40), scale=True)
+    out = sinks.save_model(model, str(tmp_path), ["a", "b"])
+    info = spark.read.json(out + "_info").first()
+    assert info["feature_names"] == ["a", "b"] and any(k.endswith("regParam") for k in info["parameters"].asDict())
+    assert ML.score(model, df, "y").where("pred = y").count() > 30
