@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..operators import rules as R
 from ..sources.tables import scam_seed, tx_view
-from .registry import register, with_tx
+from .registry import TX_CTE, register, with_tx
 
 
 def drainer_sql(p: R.RuleParams) -> str:
@@ -96,6 +98,20 @@ def q_drainer_flags(spark, sf):
     return _flag_cols(R.detect_drainers(tx_view(spark, sf)))
 
 
+# Twenty receivers and a lower ratio, so that the fan-out rule has both outcomes on the test data.
+FEW_RECEIVERS = TX_CTE.replace("l_partkey AS to_addr", "l_partkey % 20 AS to_addr")
+FEW_PARAMS = replace(R.RuleParams.coded(), fanout_ratio=0.45)
+
+
+@register("drainer_few_receivers", with_tx(drainer_sql(FEW_PARAMS) + "," + ANOMALY_SQL + f"""
+SELECT {FLAG_OUT}, sender_rows, anomaly_score, is_fraud_synthetic FROM labelled""", FEW_RECEIVERS))
+def q_drainer_few_receivers(spark, sf):
+    """W1-W12 where the fan-out flag, and with it the drainer flag and the score, differ between senders."""
+    tx = tx_view(spark, sf).withColumn("to_addr", F.col("to_addr") % 20)
+    d = R.threshold_labels(R.anomaly_score(R.detect_drainers(tx, FEW_PARAMS)))
+    return d.select("hash", "from_addr", "to_addr", *R.FLAG_COLS, "suspected_drainer", "sender_rows", "anomaly_score", "is_fraud_synthetic")
+
+
 @register("drainer_summary", with_tx(drainer_sql(R.RuleParams.coded()) + """
 SELECT count(*) AS n_rows, CAST(sum(w1_burst) AS BIGINT) AS n_w1_burst,
        CAST(sum(w2_value_gas) AS BIGINT) AS n_w2_value_gas, CAST(sum(w3_fanout) AS BIGINT) AS n_w3_fanout,
