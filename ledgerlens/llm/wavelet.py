@@ -48,7 +48,9 @@ _NO_ID = np.iinfo(np.int64).min
 def build(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
     """The file of a shard: ids of all its documents end to end, document ids (null: the least integer) and lengths."""
     n = len(ids)
-    symbols, counts = np.unique(ids, return_counts=True)
+    every = np.bincount(ids) if n else np.zeros(0, np.int64)
+    symbols = np.flatnonzero(every)
+    counts = every[symbols]
     by_count = np.argsort(-counts, kind="stable")
     number = np.zeros(int(symbols[-1]) + 1 if n else 1, np.uint32)
     number[symbols[by_count]] = np.arange(len(symbols))
@@ -157,20 +159,21 @@ class WaveletMatrix:
         return [self.select(token, k) for k in range(self.count(token))]
 
     def tokens(self) -> np.ndarray:
-        """All ids: positions are divided plane by plane; behind the last plane the numbers stand in runs of known length."""
-        at = np.arange(self.n, dtype=np.uint32)
+        """All ids: behind the last plane the numbers stand in runs of known length; plane by plane they go back to their places."""
+        if not self.n:
+            return np.zeros(0, "<u4")
+        number = np.arange(len(self.symbols), dtype=np.uint16 if self.levels <= 16 else np.uint32)
+        flipped = np.zeros(len(number), np.int64)
         for level in range(self.levels):
+            flipped |= (number.astype(np.int64) >> level & 1) << (self.levels - 1 - level)
+        runs = np.argsort(flipped, kind="stable")
+        v = np.repeat(number[runs], self.counts[runs].astype(np.int64))
+        for level in reversed(range(self.levels)):
             m = np.concatenate([self._block(level, b) for b in range(self.per_plane)]).view(bool)
-            at = np.concatenate((np.compress(~m, at), np.compress(m, at)))
-        out = np.zeros(self.n, "<u4")
-        if self.n:
-            number = np.arange(len(self.symbols))
-            flipped = np.zeros(len(number), np.int64)
-            for level in range(self.levels):
-                flipped |= (number >> level & 1) << (self.levels - 1 - level)
-            runs = np.argsort(flipped, kind="stable")
-            out[at] = np.repeat(self.symbols[runs], self.counts[runs].astype(np.int64))
-        return out
+            up = np.empty_like(v)
+            up[np.flatnonzero(~m)], up[np.flatnonzero(m)] = v[:self.zeros[level]], v[self.zeros[level]:]
+            v = up
+        return self.symbols[v]
 
 
 def _filesystem(path: str):
