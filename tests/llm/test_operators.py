@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from llm_fixtures import edge, edge_rows, empty, sf  # noqa: F401
 
 from ledgerlens.llm import (bpe, exact_dedup, jaccard_join, mixing, packing, quality, secret_scan, sharding, toxicity, viterbi,
                             wavelet)

@@ -6,6 +6,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from ledgerlens.llm import mixing, quality
 from ledgerlens.llm.common import landed
+from llm_fixtures import sf  # noqa: F401
 from test_operators import LOWER, WORD, check_packing, plain_groups  # noqa: F401
 
 
