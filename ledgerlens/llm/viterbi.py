@@ -8,7 +8,9 @@ The tokenizer is the ``tokenizers`` library's Unigram model over the pieces and
 scores of a vocabulary file, with Metaspace pre-tokens (a word with the mark for
 the space before it) and byte fallback. Its tie rule is kept: of equal scores the
 piece that starts first wins; a character without a piece of its own costs the
-least score less ten, and counts as many pieces as it has bytes.
+least score less ten, and counts as many pieces as it has bytes. Neighbouring unknowns are
+one run; the unknown piece's own name in a text is such an unknown, one piece if it stands
+alone and its bytes within a longer run.
 
 Pre-tokens repeat, so each worker keeps a bounded memo of their counts.
 
@@ -59,9 +61,11 @@ class Counter:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
+        name = vocabulary[0][0]
+        self.name_bytes = len(name.encode())
         for piece, score in vocabulary:
             if piece:
-                self.automaton.add_word(piece, (len(piece), score))
+                self.automaton.add_word(piece, (len(piece), score, piece == name))
         self.automaton.make_automaton()
         self.unknown = min(score for _, score in vocabulary) - 10.0
         longest = max(len(piece) for piece, _ in vocabulary)
@@ -71,27 +75,35 @@ class Counter:
     def word(self, word: str) -> tuple[int, float]:
         """(pieces, score) of the best segmentation of a pre-token."""
         mask, unknown = self.mask, self.unknown
-        best, count = [0.0] * (mask + 1), [0] * (mask + 1)
+        best, count, run = [0.0] * (mask + 1), [0] * (mask + 1), [0] * (mask + 1)
+        name = self.name_bytes
         done = 0  # positions whose best is known
-        top, n, single = None, 0, False  # of position done + 1
+        # Of position done + 1. kind: 0 ends in a piece, 1 in the unknown piece's name alone, 2 in another run of unknowns.
+        top, n, kind, single = None, 0, 0, False
 
         def close() -> None:
-            nonlocal done, top, n, single
+            nonlocal done, top, n, kind, single
             if not single:
-                s = best[done & mask] + unknown
+                at = done & mask
+                s = best[at] + unknown
                 if top is None or s > top:
-                    top, n = s, count[done & mask] + len(word[done].encode("utf-8", "surrogatepass"))
+                    top, n, kind = s, count[at] + len(word[done].encode("utf-8", "surrogatepass")) + (name - 1 if run[at] == 1 else 0), 2
             done += 1
-            best[done & mask], count[done & mask] = top, n
-            top, n, single = None, 0, False
+            at = done & mask
+            best[at], count[at], run[at] = top, n, kind
+            top, n, kind, single = None, 0, 0, False
 
-        for end, (length, score) in self.automaton.iter(word):
+        for end, (length, score, is_name) in self.automaton.iter(word):
             while done < end:
                 close()
             start = end + 1 - length  # longer pieces come first
             s = score + best[start & mask]
             if top is None or s > top:
-                top, n = s, count[start & mask] + 1
+                top, n, kind = s, count[start & mask] + 1, 0
+                if is_name:
+                    before = run[start & mask]
+                    n += (0, 2 * name - 2, name - 1)[before]
+                    kind = 2 if before else 1
             single |= length == 1
         while done < len(word):
             close()
