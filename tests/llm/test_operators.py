@@ -257,6 +257,35 @@ def test_network_adds_unknown_keys_and_leaves_addresses(spark):
     assert base == [f"assign:{texts[0].index('password')}:{texts[0].index('password') + 27}"]
 
 
+def test_keys_far_inside_runs_and_beside_findings(spark):
+    r = random.Random(5)
+    prose = lambda n: " ".join(r.choice(["river", "stone", "cloud", "and", "the", "garden", "of"]) for _ in range(n))
+    key = lambda n, c="0123456789abcdef": "".join(r.choice(c) for _ in range(n))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    link = lambda i, tail: f"https://hooks.host{i % 7}.com/services/T00000000/B00000000/{tail}"
+    texts = []
+    for i in range(300):
+        texts += [f"{prose(9)} password={key(18)} {prose(9)}", f"{prose(9)} {key(40)} {prose(9)}", f"{prose(9)} AKIA{key(20, upper)} {prose(9)}",
+                  f"{prose(9)} {link(i, '-'.join(prose(5).split()))} {prose(9)}"]
+    far = [f"{prose(9)} {link(i, key(10) + 'Z' + key(13))} {prose(9)}" for i in range(60)]
+    beside = [f"{prose(9)} {key(12)}Z{key(11)}Z{key(24)} {prose(9)}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts + far + beside)), "doc_id long, text string")
+    rows = {x.doc_id: x for x in secret_scan.secrets(docs).collect()}
+    assert sum(rows[i].n_network for i in range(3, 1200, 4)) <= 6  # links without a key
+    assert sum(rows[1200 + i].n_network == 1 for i in range(60)) >= 50
+    for i in range(1260, 1320):
+        assert rows[i].n_hex == 1
+    assert sum(rows[i].n_network == 1 for i in range(1260, 1320)) >= 50
+
+
+def test_windows_reach_every_character():
+    for n in (6, 40, 41, 60, 61, 100, 1000):
+        text = "b" * 30 + "".join(chr(200 + i) for i in range(n)) + "c" * 9
+        got = list(secret_scan.windows(secret_scan.padded(text, 30, 30 + n)))
+        inside = {c for w in got for c in w[secret_scan.BEFORE:secret_scan.BEFORE + secret_scan.INSIDE]}
+        assert set(text[30:30 + n]) <= inside and {len(w) for w in got} == {secret_scan.LENGTH}
+
+
 # ---- 6
 
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
