@@ -10,6 +10,7 @@ expressions, in a long ``(row id, feature, contribution)`` table.
 from __future__ import annotations
 
 import time
+from functools import partial
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
@@ -19,7 +20,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
 from . import metrics as M
+from .oversampling import adasyn, smote
 
 
 def gbt(max_iter=300, step=0.05, depth=6, subsample=0.8, colsample="0.8", seed=42, weight_col=None):
@@ -153,10 +156,20 @@ def efficiency(results: DataFrame) -> DataFrame:
     return d
 
 
+def _fit_resampled(train: DataFrame, features: list[str], label: str, estimator_factory, key: str, scale: bool, resample):
+    """Oversample the training rows only (``resample`` None: take them as they are) and fit."""
+    rows = train.select(key, label, *[F.col(f"`{c}`") for c in features])
+    if resample is not None:
+        checkpoint_dir(rows.sparkSession)
+        rows = resample(rows, label, key, features).checkpoint()  # read by the count and by every pass of the fit
+    return fit(rows, features, label, estimator_factory(rows.count()), scale=scale)
+
+
 def time_series_cv(df: DataFrame, features: list[str], label: str, estimator_factory,
-                   key: str = "hash", n_splits: int = 5, ts: str = "ts", scale: bool = True) -> DataFrame:
-    """M8: expanding-window folds (L4); per fold, fit on rows before the fold and
-    score the fold; one metric row per fold (E10 summarises them)."""
+                   key: str = "hash", n_splits: int = 5, ts: str = "ts", scale: bool = True, resample=adasyn) -> DataFrame:
+    """M8: expanding-window folds (L4); per fold, oversample the rows before the
+    fold (ADASYN), fit on them and score the untouched fold; one metric row per
+    fold (E10 summarises them)."""
     from .sampling import time_series_folds
     d = time_series_folds(df, ts, key, n_splits).persist()
     n = d.count()
@@ -167,7 +180,7 @@ def time_series_cv(df: DataFrame, features: list[str], label: str, estimator_fac
         start = first + i * t
         train = d.where(F.col("row_idx") < start)
         test = d.where(F.col("test_fold") == i)
-        model = fit(train, features, label, estimator_factory(start), scale=scale)
+        model = _fit_resampled(train, features, label, estimator_factory, key, scale, resample)
         ev = evaluation_row(score(model, test, label, key))
         rows.append((i, ev["pr_auc"], ev["f1"], ev["recall"], ev["precision"]))
     d.unpersist()
@@ -175,6 +188,20 @@ def time_series_cv(df: DataFrame, features: list[str], label: str, estimator_fac
         rows, "fold int, pr_auc double, f1 double, recall double, precision double")
 
 
+def kfold_cv(df: DataFrame, features: list[str], label: str, estimator_factory, key: str = "hash", k: int = 5,
+             scale: bool = True, seed: int = 42, resample=partial(smote, sampling_ratio=0.35)) -> DataFrame:
+    """M9: stratified folds (L5); per fold, oversample the other folds' rows (SMOTE
+    to 0.35 of the majority), fit and score the untouched fold; its ROC-AUC."""
+    from .sampling import stratified_kfold
+    d = stratified_kfold(df, label, [key], k, seed).persist()
+    rows = []
+    for i in range(k):
+        model = _fit_resampled(d.where(F.col("fold") != i), features, label, estimator_factory, key, scale, resample)
+        rows.append((i, evaluation_row(score(model, d.where(F.col("fold") == i), label, key))["roc_auc"]))
+    d.unpersist()
+    return df.sparkSession.createDataFrame(rows, "fold int, roc_auc double")
+
+
 # ---------------------------------------------------------------- attributions
 
 

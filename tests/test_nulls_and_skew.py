@@ -102,6 +102,37 @@ def test_neighbours_are_the_nearest(spark, monkeypatch):
             assert [(d, o) for _, d, o in sorted(got[h])] == want
 
 
+def test_folds_oversample_training_rows_only(spark):
+    from functools import partial
+
+    from ledgerlens.operators import models as ML
+    from ledgerlens.operators import oversampling as O
+    rows = [(f"h{i:03d}", i, float(i % 13), float(i * 7 % 11) + 3 * (i % 6 == 0), int(i % 6 == 0)) for i in range(180)]
+    df = spark.createDataFrame(rows, "hash string, ts long, a double, b double, y int")
+    seen, sizes = [], []
+
+    def watched(how):
+        def run(train, *args):
+            seen.append({r["hash"] for r in train.collect()})
+            return how(train, *args)
+        return run
+
+    def logistic(n):
+        sizes.append(n)
+        return ML.logistic(n=n)
+
+    per = ML.time_series_cv(df, ["a", "b"], "y", logistic, n_splits=2, resample=watched(O.adasyn)).collect()
+    assert len(per) == 2 and seen == [{f"h{i:03d}" for i in range(n)} for n in (60, 120)]
+    assert all(n > 1.4 * len(s) for n, s in zip(sizes, seen))  # one in six is positive; ADASYN fills up to about parity
+    plain = ML.time_series_cv(df, ["a", "b"], "y", ML.logistic, n_splits=2, resample=None).collect()
+    assert [r["recall"] for r in per] != [r["recall"] for r in plain]
+    seen.clear(), sizes.clear()
+    folds = ML.kfold_cv(df, ["a", "b"], "y", logistic, k=3, resample=watched(partial(O.smote, sampling_ratio=0.35))).collect()
+    assert [r["fold"] for r in folds] == [0, 1, 2] and all(0.5 < r["roc_auc"] <= 1 for r in folds)
+    assert all(len(s) == 120 for s in seen) and sizes == [135] * 3  # 100 of class 0, 20 + 15 of class 1
+    assert not set.intersection(*seen)
+
+
 def test_saved_models_carry_names_and_parameters(spark, tmp_path):
     from ledgerlens.operators import models as ML
     from ledgerlens.sources import sinks
