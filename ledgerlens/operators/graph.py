@@ -280,16 +280,36 @@ def scam_seed_from_labels(tx: DataFrame, label: str = "is_fraud") -> DataFrame:
         F.col("address").isNotNull()).distinct()
 
 
-def graph_features(tx: DataFrame, scam: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """G13 (relational subset): degree centralities, clustering, neighbour
-    degree, triangles, scam distance and scam neighbours per node, joined to
-    the transactions on the sender; missing -> 0 (also the distance)."""
-    e = _ckpt(edges if edges is not None else build_edges(tx))  # read by four operators
-    g = (degree_centrality(e).join(clustering_features(e), "address", "left")
-         .join(scam_distance(e, scam).drop("reachable"), "address", "left").join(scam_neighbors(e, scam), "address", "left"))
-    feats = [c for c in g.columns if c != "address"]
-    d = tx.join(g.withColumnRenamed("address", "from_addr"), "from_addr", "left")
-    return d.na.fill(0, feats)
+def relational_node_features(edges: DataFrame, scam: DataFrame) -> DataFrame:
+    """The node features that need no iteration to a fixed point but the distance: degree
+    centralities, clustering, neighbour degree, triangles, scam distance and scam neighbours."""
+    return (degree_centrality(edges).join(clustering_features(edges), "address", "left")
+            .join(scam_distance(edges, scam).drop("reachable"), "address", "left").join(scam_neighbors(edges, scam), "address", "left"))
+
+
+def join_node_features(tx: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Node features joined to the transactions on the sender; missing -> 0 (also the distance)."""
+    d = tx.join(nodes.withColumnRenamed("address", "from_addr"), "from_addr", "left")
+    return d.na.fill(0, [c for c in nodes.columns if c != "address"])
+
+
+def sampled_pivots(edges: DataFrame, n: int = 1000) -> DataFrame:
+    """Pivots of the original's sampled betweenness: ``n`` nodes in hash order (all, if there are fewer)."""
+    return nodes_of(edges).orderBy(F.xxhash64(F.col("address"), F.lit(42)), "address").limit(n)
+
+
+def graph_features(tx: DataFrame, scam: DataFrame, edges: DataFrame | None = None,
+                   pivots: DataFrame | None = None, batch_size: int | None = None) -> DataFrame:
+    """Centralities with PageRank and betweenness (from ``pivots``, by default
+    the sampled ones), clustering, community id and size, scam distance and scam
+    neighbours per node, joined to the transactions on the sender; missing -> 0."""
+    e = _ckpt(edges if edges is not None else build_edges(tx))  # read by seven operators
+    pivots = _ckpt(pivots if pivots is not None else sampled_pivots(e))
+    g = (relational_node_features(e, scam)
+         .join(betweenness(e, pivots, batch_size=batch_size).withColumnRenamed("betweenness", "betweenness_centrality"), "address", "left")
+         .join(pagerank(e).select(F.col("node").alias("address"), F.col("pagerank").alias("pagerank_score")), "address", "left")
+         .join(label_propagation(e), "address", "left"))
+    return join_node_features(tx, g)
 
 
 def top_central(edges: DataFrame, n: int = 50) -> DataFrame:

@@ -130,13 +130,26 @@ SELECT tx.hash, round(coalesce(degc.degree_centrality, 0), 6) AS degree_centrali
 FROM tx LEFT JOIN degc ON degc.address = tx.from_addr LEFT JOIN cl ON cl.address = tx.from_addr
         LEFT JOIN dist ON dist.address = tx.from_addr LEFT JOIN sn ON sn.address = tx.from_addr"""))
 def q_graph_features(spark, sf):
-    """Node features joined to transactions on the sender (missing -> 0)."""
+    """G13, the columns that its SQL has: node features joined to transactions on
+    the sender (missing -> 0). ``graph_features_all`` has every column."""
     tx = tx_view(spark, sf)
-    d = G.graph_features(tx, scam_seed(tx))
+    d = G.join_node_features(tx, G.relational_node_features(G._ckpt(G.build_edges(tx)), scam_seed(tx)))
     return d.select("hash", "degree_centrality", "clustering_coefficient", "triangles",
                     "distance_to_scam", "scam_neighbor_count")
 
 
+@register("graph_features_all")
+def q_graph_features_all(spark, sf):
+    """All four feature tables joined to transactions on the sender (PageRank
+    and betweenness in parts per million, so that six decimals keep the digits)."""
+    tx = tx_view(spark, sf)
+    d = G.graph_features(tx, scam_seed(tx))
+    names = ["in_degree", "out_degree", "in_degree_centrality", "out_degree_centrality", "degree_centrality", "clustering_coefficient",
+             "avg_neighbor_degree", "triangles", "community_id", "community_size", "distance_to_scam", "scam_neighbor_count", "direct_scam_connection"]
+    return d.select("hash", *names, (F.col("pagerank_score") * 1000000).alias("pagerank_ppm"),
+                    (F.col("betweenness_centrality") * 1000000).alias("betweenness_ppm"))
+
+
 @register("scam_seed_from_labels", with_tx("""
 scam AS (SELECT DISTINCT from_addr AS address FROM tx WHERE from_addr % 97 = 0),
 lt AS (SELECT tx.*, CASE WHEN from_addr IN (SELECT address FROM scam) OR to_addr IN (SELECT address FROM scam)
@@ -226,6 +239,4 @@ def q_betweenness(spark, sf):
     """Directed betweenness; all nodes as pivots up to 1000 nodes, else 1000
     pivots in hash order (the sampled estimator, scaled by n / k)."""
     e = _edges(spark, sf)
-    nodes = G.nodes_of(e)
-    pivots = nodes.orderBy(F.xxhash64(F.col("address"), F.lit(42)), "address").limit(1000)
-    return G.betweenness(e, pivots)
+    return G.betweenness(e, G.sampled_pivots(e))

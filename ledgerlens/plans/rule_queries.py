@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from ..operators import graph as G
 from ..operators import rules as R
 from ..sources.tables import scam_seed, tx_view
 from .registry import TX_CTE, register, with_tx
@@ -256,6 +257,17 @@ SELECT hash, round(is_fraud_known * 1.0 + suspected_drainer * 0.6 + anomaly_scor
             THEN 1 ELSE 0 END AS is_fraud_vote
 FROM policy"""))
 def q_risk_vote(spark, sf):
-    """R6 + R7: weighted risk score and weighted-vote label."""
+    """R6 (as its SQL, without the centrality weight) + R7: weighted risk score and
+    weighted-vote label. ``risk_score_all`` has all four weights."""
     d = R.weighted_vote_labels(R.risk_score(_labelled(spark, sf)))
     return d.select("hash", "risk_score", "vote_confidence", "is_fraud_vote")
+
+
+@register("risk_score_all")
+def q_risk_score_all(spark, sf):
+    """R6 with all four weights; centrality is the sender's degree centrality, at most 1."""
+    d = _labelled(spark, sf)
+    c = G.degree_centrality(G.build_edges(tx_view(spark, sf))).select(
+        F.col("address").alias("from_addr"), F.least(F.lit(1.0), F.col("degree_centrality")).alias("centrality"))
+    d = R.risk_score(d.join(c, "from_addr", "left"), centrality_col="centrality")
+    return d.select("hash", "centrality", "risk_score")

@@ -75,6 +75,30 @@ def test_betweenness_path(spark):
     assert bc["b"] == pytest.approx(0.5) and bc["a"] == 0.0 and bc["c"] == 0.0
 
 
+def test_graph_features_hold_all_four_tables(spark):
+    tx = tx_rows(spark, [dict(from_addr=a, to_addr=b, t=i) for i, (a, b) in enumerate([("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("b", "d")])])
+    scam = spark.createDataFrame([("d",)], "address string")
+    got = {r["from_addr"]: r for r in G.graph_features(tx, scam).collect()}
+    e = G.build_edges(tx)
+    assert {a: r["pagerank_score"] for a, r in got.items()} == pytest.approx({r["node"]: r["pagerank"] for r in G.pagerank(e).collect()})
+    assert {a: r["betweenness_centrality"] for a, r in got.items()} == pytest.approx(
+        {r["address"]: r["betweenness"] for r in G.betweenness(e, G.nodes_of(e)).collect()})
+    assert got["b"]["betweenness_centrality"] > 0
+    assert {(a, r["community_id"], r["community_size"]) for a, r in got.items()} == {tuple(r) for r in G.label_propagation(e).collect()}
+    assert got["b"]["distance_to_scam"] == 1 and got["b"]["triangles"] == 2
+
+
+def test_risk_score_all_adds_the_centrality(spark):
+    from ledgerlens.plans import QUERIES
+    from ledgerlens.sources.tables import tx_view
+    sf = "/root/testdata/sf0.001"
+    with_it = {r["hash"]: r for r in QUERIES["risk_score_all"](spark, sf).collect()}
+    without = {r["hash"]: r["risk_score"] for r in QUERIES["risk_vote"](spark, sf).collect()}
+    assert len(with_it) == len(without) == tx_view(spark, sf).select("hash").distinct().count()
+    assert all(with_it[h]["risk_score"] == pytest.approx(s + 0.1 * with_it[h]["centrality"], abs=2e-6) for h, s in without.items())
+    assert max(r["centrality"] for r in with_it.values()) > 0
+
+
 def test_pr_auc_with_ties(spark):
     s = spark.createDataFrame([(0.9, 1), (0.9, 0), (0.1, 0)], "score double, y int")
     r = M.pr_auc(s).collect()[0]
