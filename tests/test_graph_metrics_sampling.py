@@ -99,6 +99,32 @@ def test_risk_score_all_adds_the_centrality(spark):
     assert max(r["centrality"] for r in with_it.values()) > 0
 
 
+def test_registered_communities_settle(spark, monkeypatch):
+    """A chain and a clique against brute force; 10 rounds leave the chain unsettled."""
+    from collections import Counter
+
+    from ledgerlens.plans import QUERIES, graph_queries
+    pairs = [(i, i + 1) for i in range(30)] + [(a, b) for a in range(100, 106) for b in range(a + 1, 106)]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    lab, before, rounds = {v: v for v in near}, None, 0
+    while True:
+        rounds += 1
+        new = {v: min(Counter(lab[w] for w in near[v]).items(), key=lambda x: (-x[1], x[0]))[0] for v in near}
+        done = new in (lab, before)
+        before, lab = lab, new
+        if done:
+            break
+    assert rounds > 10
+    size = Counter(lab.values())
+    number = {x: i for i, x in enumerate(sorted(size, key=lambda x: (-size[x], x)))}
+    monkeypatch.setattr(graph_queries, "_edges", lambda s, sf: s.createDataFrame([(a, b, 1.0, 1) for a, b in pairs], "src long, dst long, weight double, tx_count long"))
+    got = {tuple(r) for r in QUERIES["communities"](spark, "").collect()}
+    assert got == {(v, number[x], size[x]) for v, x in lab.items()}
+
+
 def test_pr_auc_with_ties(spark):
     s = spark.createDataFrame([(0.9, 1), (0.9, 0), (0.1, 0)], "score double, y int")
     r = M.pr_auc(s).collect()[0]
