@@ -9,9 +9,11 @@ toxic. The sums of these differences, the largest one and the length of the text
 go through a logistic curve fitted on the training rows.
 
 A class's dictionary is trained on windows of its typical words: those in at least
-``min_share`` of its training texts and ``min_ratio`` times as often as in the other
-class. Where these are few, up to ``min_words`` that lean by ``least_lean`` (log ratio) are taken,
-the most one-sided first; a class without typical words has an empty dictionary.
+``min_rows`` of its training texts that are significantly more frequent than in the other class
+(likelihood ratio of the two counts, ``max_chance`` over all words tested) and ``min_ratio`` times
+as often. Where these are few, up to ``min_words`` significant ones that lean by ``least_lean`` (log ratio)
+are taken, the most one-sided first. Any number of words makes a dictionary; only a class without
+typical words has an empty one.
 
 Training reads labelled rows only, at most ``fit_rows`` a class (those with the
 smallest MD5 of their id); equal texts count once. The fitted curve is shifted from the sample's
@@ -28,12 +30,13 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import pieces
@@ -54,8 +57,8 @@ def code_of(word: str) -> bytes:
 class Params:
     fit_rows: int = 20_000
     window_words: int = 16
-    min_share: float = 0.005
     min_rows: int = 4
+    max_chance: float = 0.01
     min_ratio: float = 20.0
     min_words: int = 16
     least_lean: float = 0.7
@@ -139,10 +142,21 @@ def train_dictionary(words: list[tuple[str, int]]) -> bytes:
     for _ in range(max(8, 200 // max(1, len(codes)))):
         order = rng.permutation(len(codes))
         samples += [b"".join(codes[j] for j in order[i:i + 4]) for i in range(0, len(codes), 4)]
-    trained = zstandard.train_dictionary(40 * len(codes) + 1024, samples, k=32, d=8, steps=1).as_bytes()
+    try:
+        trained = zstandard.train_dictionary(40 * len(codes) + 1024, samples, k=32, d=8, steps=1).as_bytes()
+    except zstandard.ZstdError:  # too few words to train on; the codes alone are a dictionary, too
+        trained = b""
     return trained + b"".join(c for c in codes if c not in trained)  # the content ends the dictionary, so words it left out can follow
 
 
+def likelihood_ratio(t: Column, o: Column, nt: int, no: int) -> Column:
+    """Of the counts ``t`` and ``o`` against equal shares of ``nt`` and ``no`` texts (chi-square, one degree of freedom)."""
+    def part(n: Column, share: float) -> Column:
+        return F.when(n > 0, n * F.log(n / ((t + o) * share))).otherwise(0.0)
+
+    return 2 * (part(t, nt / (nt + no)) + part(o, no / (nt + no)))
+
+
 def fit(docs: DataFrame, known: DataFrame, p: Params = Params()) -> Model | None:
     """Fit on ``docs`` (doc_id, text) whose ids ``known`` (doc_id, toxic) labels, at most ``fit_rows`` a class."""
     order = F.md5(F.col("doc_id").cast("string"))
@@ -170,14 +184,17 @@ def fit(docs: DataFrame, known: DataFrame, p: Params = Params()) -> Model | None
         F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
     nt, no = count[1], count[0]
     lean = F.log((F.col("t") + 0.5) / nt) - F.log((F.col("o") + 0.5) / no)
-    by_word = landed(by_word.withColumn("lean", lean).filter((F.col("t") >= max(p.min_rows, p.min_share * nt)) | (F.col("o") >= max(p.min_rows, p.min_share * no))), "toxicity-words")
+    by_word = landed(by_word.withColumn("lean", lean).withColumn("g", likelihood_ratio(F.col("t"), F.col("o"), nt, no))
+                     .filter((F.col("t") >= p.min_rows) | (F.col("o") >= p.min_rows)), "toxicity-words")
+    least = NormalDist().inv_cdf(1 - p.max_chance / max(1, by_word.count())) ** 2  # one-sided, over all words tested
 
     def typical(sign: int, mine: str, other: str, n_mine: int, n_other: int) -> bytes:
-        enough = by_word.filter(F.col(mine) >= max(p.min_rows, p.min_share * n_mine)).orderBy((-sign * F.col("lean")), "word")
+        sure = (F.col(mine) >= p.min_rows) & (F.col("g") >= least) & (F.col(mine) * n_other > F.col(other) * n_mine)
+        enough = by_word.filter(sure).orderBy((-sign * F.col("lean")), "word")
         one_sided = F.col(mine) / n_mine > p.min_ratio * (F.col(other) + 0.5) / n_other
         words = [(r["word"], r[mine], r["keep"], sign * r["lean"]) for r in enough.withColumn("keep", one_sided).limit(p.max_words).collect()]
         kept = [(w, n) for i, (w, n, keep, lean) in enumerate(words) if keep or i < p.min_words and lean > p.least_lean]
-        return train_dictionary(kept) if len(kept) >= 8 else b"\0" * 64
+        return train_dictionary(kept) if kept else b"\0" * 64
 
     toxic = typical(1, "t", "o", nt, no)
     ordinary = typical(-1, "o", "t", no, nt)

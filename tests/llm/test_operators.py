@@ -436,6 +436,26 @@ def test_toxicity_learns_and_never_reads_held_out_labels(spark):
     assert {x.doc_id: x.score for x in again} == {x.doc_id: x.score for x in got}
 
 
+def toxic_corpus(spark, r, n, insults, each):
+    """Documents of ordinary words, every second one with ``each`` insults of the lexicon; labels follow."""
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for i in range(n):
+        w = [r.choice(words) for _ in range(r.randint(20, 60))]
+        if i % 2:
+            for _ in range(each):
+                w[r.randrange(len(w))] = r.choice(insults)
+        texts.append((i, " ".join(w)))
+    return spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, toxic int")
+
+
+@pytest.mark.parametrize("n, n_insults, each", [(600, 3, 1), (600, 1, 1), (12_000, 240, 1)])  # few words; each in 0.4 % of the toxic texts
+def test_toxicity_of_small_and_long_tailed_lexicons(spark, n, n_insults, each):
+    docs, labels = toxic_corpus(spark, random.Random(8), n, [f"insult{i}" for i in range(n_insults)], each)
+    rows = toxicity.toxicity(docs, labels).filter("held_out").collect()
+    assert sum(x.predicted == x.doc_id % 2 for x in rows) / len(rows) > 0.95
+
+
 # ---- 9
 
 def test_wavelet_matrix_queries():
