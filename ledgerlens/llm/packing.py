@@ -16,7 +16,7 @@ from __future__ import annotations
 import bisect
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,49 +93,102 @@ def best_fit_decreasing(hist: dict[int, int], capacity: int) -> list[tuple[Filli
     return [(f, n) for group in bins.values() for f, n in group.items()]
 
 
-def fillings(lengths: list[int], have: dict[int, int], room: int, most: int = 6, width: int = 10,
-             steps: int = 400) -> tuple[list[tuple[int, Filling]], int]:
-    """(waste, filling) of undominated ways to fill ``room``, best fit first, and the steps taken.
+def fillings(lengths: list[int], have: dict[int, int], top: int, room: int, spend: Callable[[], bool],
+             deep: int = 6, width: int = 10, batch: int = 400) -> Iterator[tuple[int, Filling]]:
+    """(waste, filling) of ways to fill ``room`` beside an item of length ``top``.
 
-    Fillings are tried with larger items first. One item that fits exactly
-    dominates everything; below an item that fits, a smaller one is only kept
-    where what it leaves is filled to less waste (the rest are dominated).
+    One item that fits exactly dominates everything. Else the best of a short search
+    come first: ``width`` lengths a step, the rest filled greedily behind ``deep``
+    items. Then all maximal fillings follow, larger items first, each ``batch`` of
+    steps by waste. ``spend`` counts a step and says whether the budget allows it.
+    ``have`` must be as it was whenever the next filling is asked for.
     """
-    found: list[tuple[int, Filling]] = []
+    def left(x: int) -> int:
+        return have.get(x, 0) - (x == top)
+
+    if left(room) > 0:
+        spend()
+        yield 0, (room,)
+        return
+    first: list[tuple[int, Filling]] = []
     best, done = room + 1, 0
 
-    def grow(room: int, top: int, taken: Filling) -> None:
-        nonlocal best, done
+    def keep(room: int, taken: Filling) -> None:
+        nonlocal best
+        if room < best:
+            best = room
+            first.append((room, taken))
+
+    def greedy(room: int, most: int, taken: Filling) -> None:
+        i = bisect.bisect_right(lengths, min(room, most)) - 1
+        while i >= 0:
+            n = min(left(lengths[i]) - taken.count(lengths[i]), room // lengths[i])
+            taken, room = taken + (lengths[i],) * n, room - n * lengths[i]
+            i = min(i, bisect.bisect_right(lengths, room)) - 1
+        keep(room, taken)
+
+    def grow(room: int, most: int, taken: Filling) -> None:
+        nonlocal done
         done += 1
-        i = bisect.bisect_right(lengths, min(room, top)) - 1
-        if i < 0 or len(taken) >= most:
-            if room < best or not taken:
-                best = min(best, room)
-                found.append((room, taken))
+        if not spend():
+            return
+        if len(taken) >= deep:
+            greedy(room, most, taken)
             return
         tried = 0
-        while i >= 0 and tried < width:
+        for i in range(bisect.bisect_right(lengths, min(room, most)) - 1, -1, -1):
             x = lengths[i]
-            if have[x] > taken.count(x):
+            if left(x) > taken.count(x):
                 tried += 1
                 grow(room - x, x, (*taken, x))
-                if not best or done >= steps:
+                if not best or done >= batch or tried == width:
                     return
+        if not tried:
+            keep(room, taken)
+
+    grow(room, room, ())
+    first.sort(key=lambda f: (f[0], len(f[1])))
+    yield from first
+    seen = {f for _, f in first}
+
+    def every(room: int, i: int, taken: Filling, skipped: float) -> Iterator[tuple[int, Filling] | None]:
+        """All maximal fillings and, as None, the steps between; ``skipped`` is the shortest length with items to spare."""
+        i = min(i, bisect.bisect_right(lengths, room) - 1)
+        while i >= 0 and left(lengths[i]) < 1:
+            i -= 1
+        yield None
+        if i < 0:
+            if room < skipped:
+                yield room, taken
+            return
+        while i >= 0:
+            x = lengths[i]
+            for n in range(min(left(x), room // x), 0, -1):
+                yield from every(room - n * x, i - 1, taken + (x,) * n, min(skipped, x) if n < left(x) else skipped)
+            if left(x) > 0:
+                skipped = min(skipped, x)
             i -= 1
-        if not tried and (room < best or not taken):
-            best = min(best, room)
-            found.append((room, taken))
 
-    grow(room, lengths[-1] if lengths else 0, ())
-    return sorted(found, key=lambda f: (f[0], len(f[1])))[:4], done
+    some: list[tuple[int, Filling]] = []
+    steps = 0
+    for got in every(room, len(lengths) - 1, (), math.inf):
+        if got is not None and got[1] not in seen:
+            some.append(got)
+        if got is None:
+            steps += 1
+            if not spend():
+                return
+            if steps % batch == 0:
+                yield from sorted(some)
+                some = []
+    yield from sorted(some)
 
 
 def plan_packing(hist: dict[int, int], capacity: int, step_budget: int = STEP_BUDGET) -> list[tuple[Filling, int]]:
     """Fillings with how often each is used; every length's count is used up.
 
-    Bin completion: the largest length left is completed by its undominated
-    fillings, the one of least waste first, each applied as often as the counts
-    allow; a branch whose waste can no longer beat the incumbent is cut. The
+    Bin completion: the largest length left is completed by its maximal fillings,
+    made as they are needed, each applied as often as the counts allow; a branch whose waste can no longer beat the incumbent is cut. The
     search ends at the lower bound or after ``step_budget`` steps.
     """
     hist = {n: c for n, c in hist.items() if c}
@@ -164,14 +217,14 @@ def plan_packing(hist: dict[int, int], capacity: int, step_budget: int = STEP_BU
                 bisect.insort(lengths, x)
             counts[x] += times
 
-    def options() -> Iterator[tuple[int, Filling]]:
+    def spend() -> bool:
         nonlocal steps
+        steps += 1
+        return steps < step_budget
+
+    def options() -> Iterator[tuple[int, Filling]]:
         top = lengths[-1]
-        counts[top] -= 1
-        got, n = fillings(lengths, counts, capacity - top)
-        steps += n
-        counts[top] += 1
-        return iter([(w, (top, *f)) for w, f in got])
+        return ((w, (top, *f)) for w, f in fillings(lengths, counts, top, capacity - top, spend))
 
     def times_of(filling: Filling) -> int:
         return min(counts[x] // filling.count(x) for x in set(filling))

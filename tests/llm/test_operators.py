@@ -75,6 +75,18 @@ def test_planner_finds_optima_that_best_fit_misses():
     assert sum(n for _, n in packing.best_fit_decreasing(hard, 10)) >= sum(n for _, n in packing.plan_packing(hard, 10)) == 3
 
 
+@pytest.mark.parametrize("seed", [105, 177, 297])
+def test_planner_completes_bins_of_many_pieces(seed):
+    """Eight pieces or more a sequence, where best-fit decreasing needs one sequence more than the bound."""
+    r = random.Random(seed)
+    capacity = r.choice([100, 150, 2048])
+    hist = dict(Counter(r.randint(max(2, capacity // 16), capacity // 8) for _ in range(r.choice([25, 40, 60]))))
+    plan = packing.plan_packing(hist, capacity)
+    assert sum(n for _, n in packing.best_fit_decreasing(hist, capacity)) == packing.lower_bound(hist, capacity) + 1
+    assert sum(n for _, n in plan) == packing.lower_bound(hist, capacity)
+    assert sum((Counter({x: n * f.count(x) for x in set(f)}) for f, n in plan), Counter()) == hist and all(sum(f) <= capacity for f, _ in plan)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plans_use_every_piece_once(seed):
     r = random.Random(seed)
