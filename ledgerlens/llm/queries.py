@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, mixing, packing, quality, secret_scan, sharding, toxicity, viterbi, wavelet
+from . import (divergence, exact_dedup, jaccard_join, mixing, packing, periodic_runs, prefix_table, quality, secret_scan, sharding,
+               toxicity, viterbi, wavelet)
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +84,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents: patterns, and candidates that the trained network adds."""
     return secret_scan.secrets(documents(spark, sf_dir))
+
+
+@query("op11_prefix_table")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by the table of last tokens, and decoded again."""
+    return prefix_table.round_trip(documents(spark, sf_dir), end_id=2)
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, a tenth of which are made to repeat."""
+    return periodic_runs.run_digests(documents(spark, sf_dir), plant=True)
+
+
+@query("op13_source_divergence", divergence.oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word shares of every two sources of a language, and each source's ten most peculiar terms."""
+    return divergence.divergence(documents(spark, sf_dir), min_docs=10, top=10)
