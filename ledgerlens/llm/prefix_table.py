@@ -10,9 +10,9 @@ the end of the text backwards. Pairs are tested by their merges once a worker an
 remembered (a bounded memo).
 
 Two characters that stand beside each other in no piece are never merged; there a
-text is cut. Words (the mark of a space with what follows) are such parts where no
-piece holds a mark behind another character; a bounded memo keeps their ids, and a
-word not seen before is cut further at such pairs.
+text may be cut. Words (the mark of a space with what follows) are such parts where
+no piece holds a mark behind another character; a bounded memo keeps their ids. Long
+words, and those with characters without a piece, are cut further at such pairs.
 
 The merge order is the library's: the highest score, of equal scores the leftmost
 pair. A character without a piece becomes its UTF-8 bytes' pieces.
@@ -42,7 +42,7 @@ from .common import column
 
 MARK = "▁"
 MEMO_WORDS, MEMO_CHARS = 400_000, 48
-MEMO_PAIRS = 600_000
+MEMO_PAIRS = 1_000_000
 #: Characters of a text that are cut into words at a time.
 PIECE_CHARS = 1 << 20
 #: Ids whose text is made at a time.
@@ -79,86 +79,137 @@ class PrefixTable:
         for c in sorted({c for p in self.score for c in p} - self.number.keys()):
             self.number[c] = len(self.pieces)
             self.pieces.append(c)
+        self.size = [len(p) for p in self.pieces]
+        self.n_numbers = len(self.pieces)
+        self.n_ids = sp.get_piece_size()
+        self.steps: list[list | None] = [None] * self.n_numbers
+        # Pieces that their own merges do not make are no token of any text.
         self.automaton = ahocorasick.Automaton()
-        for p, i in self.number.items():
-            self.automaton.add_word(p, (i, len(p)))
+        for p, t in self.number.items():
+            if self.is_token(t):
+                self.automaton.add_word(p, (t, len(p)))
         self.automaton.make_automaton()
         self.beside = {a + b for p in self.score for a, b in zip(p, p[1:])}
         inside = any(b == MARK != a for a, b in self.beside)
         self.words = re.compile(r"(?s).+" if inside else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.cuttable = not inside
-        self.alone: dict[int, bool] = {}
         self.pair: dict[int, bool] = {}
         self.memo: dict[str, list[int]] = {}
 
     # -- the pair test
 
-    def stays_cut(self, left: str, right: str) -> bool:
-        """Whether the merges of ``left + right`` make exactly the pieces left and right (or left alone, if right is empty)."""
-        symbols, cut, score = list(left + right), len(left), self.score
+    def merges(self, t: int) -> list[tuple[float, str, str]]:
+        """The merges that a piece's characters go through: (score, last symbol then, first symbol then)."""
+        done = self.steps[t]
+        if done is None:
+            symbols, score = list(self.pieces[t]), self.score
+            done = []
+            while len(symbols) > 1:
+                best, at = None, 0
+                for i in range(len(symbols) - 1):
+                    s = score.get(symbols[i] + symbols[i + 1])
+                    if s is not None and (best is None or s > best):
+                        best, at = s, i
+                if best is None:
+                    break
+                symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
+                done.append((best, symbols[-1], symbols[0]))
+            self.steps[t] = done
+        return done
+
+    def is_token(self, t: int) -> bool:
+        """Whether a piece's own merges make it."""
+        return len(self.merges(t)) == self.size[t] - 1
+
+    def stays_cut(self, left: int, right: int) -> bool:
+        """Whether no merge of the two pieces' characters crosses their border.
+
+        The merges on each side follow each other as if it stood alone; the pair at the border is merged as soon
+        as it has the best score (of equal ones the leftmost pair goes first)."""
+        a, b, score = self.merges(left), self.merges(right), self.score
+        i = j = 0
+        x, y = self.pieces[left][-1], self.pieces[right][0]
         while True:
-            best, at = None, 0
-            for i in range(len(symbols) - 1):
-                s = score.get(symbols[i] + symbols[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                return cut == 1 and len(symbols) == (2 if right else 1)
-            if at == cut - 1 and right:
-                return False
-            symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
-            if at < cut:
-                cut -= 1
+            cross = score.get(x + y)
+            while True:
+                s, t = a[i][0] if i < len(a) else None, b[j][0] if j < len(b) else None
+                if cross is not None and (s is None or cross > s) and (t is None or cross >= t):
+                    return False
+                if s is not None and (t is None or s >= t):
+                    now, i = a[i][1], i + 1
+                    if now != x:
+                        x = now
+                        break
+                elif t is not None:
+                    now, j = b[j][2], j + 1
+                    if now != y:
+                        y = now
+                        break
+                else:
+                    return True
 
     def fits(self, before: int, t: int) -> bool:
-        key = before << 32 | t
-        known = self.pair.get(key)
-        if known is None:
-            if len(self.pair) >= MEMO_PAIRS:
-                self.pair.clear()
-            known = self.pair[key] = self.stays_cut(self.pieces[before], self.pieces[t])
-        return known
-
-    def may_begin(self, t: int) -> bool:
-        known = self.alone.get(t)
-        if known is None:
-            known = self.alone[t] = self.stays_cut(self.pieces[t], "")
+        known = self.stays_cut(before, t)
+        if len(self.pair) >= MEMO_PAIRS:
+            self.pair.clear()
+        self.pair[before * self.n_numbers + t] = known
         return known
 
     # -- texts
 
-    def part(self, text: str) -> list[int]:
-        """Numbers of the tokens of a text whose characters all have numbers."""
+    def part(self, text: str) -> list[int] | None:
+        """Numbers of the tokens of a text; None if a character has no number."""
         last = [-1] * (len(text) + 1)
+        pair, n = self.pair.get, self.n_numbers
+        done = 0
         for end, (t, size) in self.automaton.iter(text):
-            if last[end + 1] < 0:
-                start = end + 1 - size
-                if self.fits(last[start], t) if start else self.may_begin(t):
-                    last[end + 1] = t
-        out, at = [], len(text)
+            at = end + 1
+            if done != at:  # the longest pieces come first
+                if at != size:
+                    before = last[at - size]
+                    known = pair(before * n + t)
+                    if known is None:
+                        if before < 0:
+                            return None
+                        known = self.fits(before, t)
+                    if not known:
+                        continue
+                last[at] = t
+                done = at
+        out, at, size_of = [], len(text), self.size
         while at:
-            out.append(last[at])
-            at -= len(self.pieces[last[at]])
+            t = last[at]
+            if t < 0:
+                return None
+            out.append(t)
+            at -= size_of[t]
         out.reverse()
         return out
 
     def word(self, word: str) -> list[int]:
         """Ids of a word, cut where two characters never merge."""
-        beside, known, n_pieces = self.beside, self.number, self.library.get_piece_size()
+        if len(word) <= MEMO_CHARS:
+            numbers = self.part(word)
+            if numbers is not None:
+                return self.ids(numbers)
+        beside = self.beside
+        cuts = [i for i in range(1, len(word)) if word[i - 1:i + 1] not in beside]
         out: list[int] = []
-        start = 0
-        for i in range(1, len(word) + 1):
-            if i == len(word) or word[i - 1:i + 1] not in beside:
-                part, start = word[start:i], i
-                if len(part) == 1:
-                    numbers = [known.get(part, n_pieces)]
-                else:
-                    numbers = self.part(part)
-                for t in numbers:
-                    if t < n_pieces:
-                        out.append(t)
-                    else:
-                        out += [self.bytes[b] for b in (self.pieces[t] if len(part) > 1 else part).encode()]
+        for a, b in zip([0, *cuts], [*cuts, len(word)]):
+            if b - a > 1:
+                out += self.ids(self.part(word[a:b]))
+            else:
+                t = self.number.get(word[a], self.n_ids)
+                out += [t] if t < self.n_ids else [self.bytes[x] for x in word[a].encode()]
+        return out
+
+    def ids(self, numbers: list[int]) -> list[int]:
+        """Numbers beyond the vocabulary become their bytes' ids."""
+        if self.n_numbers == self.n_ids:
+            return numbers
+        out: list[int] = []
+        for t in numbers:
+            out += [t] if t < self.n_ids else [self.bytes[x] for x in self.pieces[t].encode()]
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -210,11 +261,17 @@ def table(path: str) -> PrefixTable:
     return _tables[path]
 
 
+_DECIMAL: list[str] = []
+
+
 def ids_digest(ids: list[int]) -> str:
     """SHA-256 of the decimal ids joined by one space."""
+    if len(_DECIMAL) <= max(ids, default=0):
+        _DECIMAL.extend(map(str, range(len(_DECIMAL), max(ids) + 1)))
+    name = _DECIMAL.__getitem__
     h = hashlib.sha256()
     for a in range(0, len(ids), DIGEST_IDS):
-        h.update(((" " if a else "") + " ".join(map(str, ids[a:a + DIGEST_IDS]))).encode())
+        h.update(((" " if a else "") + " ".join(map(name, ids[a:a + DIGEST_IDS]))).encode())
     return h.hexdigest()
 
 

@@ -91,7 +91,7 @@ def test_pairs_have_one_answer(table):
         fit = []
         for start in range(end):
             t = table.number.get(text[start:end])
-            if t is not None and (table.fits(last[start], t) if start else table.may_begin(t)):
+            if t is not None and (table.fits(last[start], t) if start else table.is_token(t)):
                 fit.append(t)
         assert len(fit) == 1
         last.append(fit[0])
