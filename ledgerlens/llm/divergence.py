@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, column, landed, text_slices
 from .transducer import Transducer
-from .words import LOWER
+from .words import LOWER, U, mix, word_hashes
 
 #: What a term is, and the scale of the shares.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -47,8 +47,9 @@ BROADCAST_BYTES = 64 << 20
 BROADCAST_ROWS = 50_000
 #: Cells of a block's table: sources times terms.
 BLOCK_CELLS = 1 << 18
-#: Counts that a task holds before it hands them on.
+#: Counts and terms that a task holds before it hands them on.
 HELD_COUNTS = 1 << 20
+HELD_TERMS = 1 << 19
 
 IS_TERM = np.zeros(256, bool)
 IS_TERM[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -58,11 +59,55 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
 
 
+def term_strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The terms ``data[start:end]`` as strings."""
+    size = ends - starts
+    off = np.concatenate(([0], np.cumsum(size)))
+    at = np.repeat(starts - off[:-1], size) + np.arange(off[-1])
+    return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data[at])])
+
+
+def document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, term, n: how many of the task's texts of a language hold a term (several rows a term where they are many).
+
+    Terms of one slice are told apart by 64-bit hashes, those of several slices by their letters."""
+    held: list[pa.Table] = []
+    n_held = 0
+
+    def squeezed() -> pa.Table:
+        got = pa.concat_tables(held).group_by(["lang", "term"]).aggregate([("n", "sum")])
+        return got.rename_columns(["lang", "term", "n"])
+
+    def rows(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        yield from table.cast(pa.schema([("lang", pa.string()), ("term", pa.string()), ("n", pa.int64())])).to_batches(max_chunksize=50_000)
+
+    for b in batches:
+        for part, data, off in text_slices(b):
+            coded = column(part, "lang").dictionary_encode()
+            lang, names = coded.indices.to_numpy().astype(np.uint64), coded.dictionary
+            data = LOWER[data]
+            starts, ends, row = term_bounds(data, off)
+            h = word_hashes(data, starts, ends)
+            _, once = np.unique(mix(h ^ mix(row.astype(np.uint64) + U(0x2545F4914F6CDD1D))), return_index=True)
+            _, first, n = np.unique(mix(h[once] ^ mix(lang[row[once]] + U(0x5851F42D4C957F2D))), return_index=True, return_counts=True)
+            first = once[first]
+            held.append(pa.table({"lang": names.take(pa.array(lang[row[first]].astype(np.int64))),
+                                  "term": term_strings(data, starts[first], ends[first]), "n": pa.array(n)}))
+            n_held += len(n)
+            if n_held > HELD_TERMS:
+                held = [squeezed()]
+                n_held = held[0].num_rows
+                if n_held > HELD_TERMS // 2:
+                    yield from rows(held[0])
+                    held, n_held = [], 0
+    if held:
+        yield from rows(squeezed())
+
+
 def kept_terms(docs: DataFrame, min_docs: int) -> DataFrame:
     """lang, term, ordinal of the terms in at least ``min_docs`` of the language's documents."""
-    words = F.regexp_extract_all(F.translate("text", UPPER_CASE, LOWER_CASE), F.lit(TERM), F.lit(0))
-    kept = _texts(docs).select("lang", F.explode(F.array_distinct(words)).alias("term")) \
-        .groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("lang", "term")
+    kept = _texts(docs).select("lang", "text").mapInArrow(document_terms, "lang string, term string, n long") \
+        .groupBy("lang", "term").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).select("lang", "term")
     kept = landed(kept, "kept-terms")
     # Places in the order: a partition's number and the place in it, then offsets of the partitions.
     placed = landed(kept.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term")
