@@ -16,11 +16,18 @@ indexed under its own band, and under the band below if it can link into it.
    into its fullest segments up to one deletion, which counts twice: signatures
    of a segment with one shingle removed are matched against whole segments.
    They are made for the needed segments only.
-4. In long posting lists each set is first compared with the list's first set,
-   and linked sets become components; after that only sets of different
-   components are paired. Pairs must also pass a bound from 256-bit parity
-   sketches (their distance never exceeds the sets' difference).
-5. Every remaining pair is verified on the sets; links give components.
+4. Long posting lists are joined as stars first: every set is compared with one set of
+   its list, and linked sets become components. Rounds with other heads follow while they
+   find links; after that only sets of different components can be needed pairs. Pairs
+   must also pass a bound from parity sketches (their distance never exceeds the sets'
+   difference) of 256 bits, in long lists of 1,024.
+5. Short lists are joined within. Sets of long lists that still hold several components go
+   on with the finest partition, segments of a single hash value: a value counts if
+   sets of two components have it, a set with too few such values leaves with its
+   values, and of the others a set looks into its rarest ones, as many as a
+   linked set cannot all lack. Sets that share only a passage with many others, and
+   components that share only that, leave here without being paired.
+6. Every remaining pair is verified on the sets; links give components.
 
 Shingles are 64-bit hashes (see ``words``); a wrong comparison needs two different
 shingles of one pair of documents to collide.
@@ -48,7 +55,7 @@ from .words import U, mix, shingle_hashes, word_bounds, word_hashes
 
 #: Most rows of identifier or signature tables that are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 50_000
-#: Posting lists from this length on are first joined as stars.
+#: Posting lists from this length on are joined as stars, then by the finest partition.
 STAR_ROWS = 16
 #: A class with more than 1/HEAVY_PARTS of all rows is joined by broadcast (there are fewer than HEAVY_PARTS).
 HEAVY_PARTS = 1000
@@ -57,7 +64,11 @@ _STARTS = [1]
 while _STARTS[-1] < 1 << 40:
     _STARTS.append(max(_STARTS[-1] + 1, _STARTS[-1] * 3 // 2))
 SKETCH = ["k0", "k1", "k2", "k3"]
-ROW_SCHEMA = ("uid long, doc_id long, n long, d1 long, d2 long, k0 long, k1 long, k2 long, k3 long, "
+#: Longs of the finer sketch that the sets of long lists carry.
+FINE_SKETCH = 16
+#: Links that a round of stars must find, per set that takes part, for another round to follow.
+STAR_YIELD = 0.05
+ROW_SCHEMA = ("uid long, doc_id long, n long, d1 long, d2 long, k0 long, k1 long, k2 long, k3 long, fine array<long>, "
               "s0 array<long>, need0 int, empty0 int, up0 array<int>, s1 array<long>, need1 int, empty1 int, up1 array<int>")
 
 
@@ -119,6 +130,11 @@ def _parity(v: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+def _fine_parity(v: np.ndarray) -> np.ndarray:
+    odd = np.bincount(((v >> U(40)) & U(64 * FINE_SKETCH - 1)).astype(np.int64), minlength=64 * FINE_SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _upgrades(sizes: np.ndarray, need: int, empty: int) -> list[int]:
     """Segments that a set looks into up to one deletion: as many as it lacks, the fullest first.
 
@@ -137,10 +153,10 @@ def signature_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for chunk in _chunks(shingle_sets(batch, k), 2000):
-                out: list[list] = [[] for _ in range(17)]
+                out: list[list] = [[] for _ in range(18)]
                 for rows, i, v in chunk:
                     sums = _weights(v)
-                    vals = [uid, column(rows, "doc_id")[i].as_py(), len(v), *_digest(v, sums), *_parity(v)]
+                    vals = [uid, column(rows, "doc_id")[i].as_py(), len(v), *_digest(v, sums), *_parity(v), _fine_parity(v)]
                     uid += 1
                     for b, h in (roles(len(v), percent) + [(0, 0)])[:2] if len(v) else [(0, 0)] * 2:
                         if not h:
@@ -156,8 +172,8 @@ def signature_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     def _batch(out: list[list]) -> pa.RecordBatch:
         longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
-        kinds = [pa.int64()] * 9 + [longs, pa.int32(), pa.int32(), ints] * 2
-        names = ["uid", "doc_id", "n", "d1", "d2", *SKETCH, "s0", "need0", "empty0", "up0", "s1", "need1", "empty1", "up1"]
+        kinds = [pa.int64()] * 9 + [longs] + [longs, pa.int32(), pa.int32(), ints] * 2
+        names = ["uid", "doc_id", "n", "d1", "d2", *SKETCH, "fine", "s0", "need0", "empty0", "up0", "s1", "need1", "empty1", "up1"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
 
     return _texts(docs).mapInArrow(sign, ROW_SCHEMA)
@@ -223,12 +239,15 @@ def peel(rows: DataFrame, needs: DataFrame) -> DataFrame:
     return rows
 
 
-def near(percent: int) -> F.Column:
+def near(percent: int, fine: bool = False) -> F.Column:
     """Whether the sizes and sketches of x and y allow a link."""
     total = F.col("n") + F.col("yn")
-    apart = sum((F.bit_count(F.col(k).bitwiseXOR(F.col("y" + k))) for k in SKETCH), F.lit(0))
+    if fine:
+        bits = [F.bit_count(F.col("fine")[i].bitwiseXOR(F.col("yfine")[i])) for i in range(FINE_SKETCH)]
+    else:
+        bits = [F.bit_count(F.col(k).bitwiseXOR(F.col("y" + k))) for k in SKETCH]
     return (100 * F.least("n", "yn") >= percent * F.greatest("n", "yn")) \
-        & (apart <= F.floor(total * (100 - percent) / (100 + percent)))
+        & (sum(bits, F.lit(0)) <= F.floor(total * (100 - percent) / (100 + percent)))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -242,8 +261,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return landed(got.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct(), "links")
 
 
-def deletion_pairs(docs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """Candidates of the sets that look into segments up to one deletion; None if there are none."""
+def deletion_rows(docs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """uid, kind (0: a whole segment, 1: one with a shingle removed), sig, look, cnt of the segments that some
+    sets look into up to one deletion; None if there are none."""
     wanted = []
     for role in (0, 1):
         up = rows.filter(f"up{role} is not null").select("n", F.explode(f"up{role}").alias("j")).distinct()
@@ -278,12 +298,106 @@ def deletion_pairs(docs: DataFrame, rows: DataFrame, classes: DataFrame, k: int,
     made = _texts(docs).mapInArrow(neighbours, "n long, d1 long, d2 long, kind long, sig long, look long")
     made = landed(made.join(classes.select("n", "d1", "d2", F.col("rep").alias("uid")), ["n", "d1", "d2"])
                   .select("uid", "kind", "sig", "look").distinct(), "deletions")
-    x, y = made.filter("look > 0"), made.select(F.col("uid").alias("y"), F.col("kind").alias("ykind"), "sig")
+    often = made.groupBy("sig").agg(F.count_distinct("uid").alias("cnt"), F.max("look").alias("asked")).filter("cnt > 1 and asked > 0")
+    return landed(made.join(broadcast_if_small(landed(often.select("sig", "cnt"), "deletion-lists"), BROADCAST_ROWS), "sig"), "deletions")
+
+
+def deletion_pairs(short: DataFrame) -> DataFrame:
+    """Candidates of short lists of deletions."""
+    x, y = short.filter("look > 0"), short.select(F.col("uid").alias("y"), F.col("kind").alias("ykind"), F.col("sig").alias("ysig"))
     meet = ((F.col("look") == 1) & (F.col("kind") != F.col("ykind"))) | ((F.col("look") == 2) & (F.col("kind") + F.col("ykind") == 0))
-    return x.join(y, "sig").filter((F.col("uid") != F.col("y")) & meet) \
+    return x.join(y, F.col("sig") == F.col("ysig")).filter((F.col("uid") != F.col("y")) & meet) \
         .select(F.least("uid", "y").alias("a"), F.greatest("uid", "y").alias("b")).distinct()
 
 
+def with_components(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """Rows with the component ``comp`` of their uid (a set by itself: its own number)."""
+    if comp is None:
+        return rows.withColumn("comp", F.col("uid"))
+    return rows.join(broadcast_if_small(comp, BROADCAST_ROWS), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
+
+
+def star_rounds(lists: DataFrame, sets: DataFrame, percent: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Links found by comparing the sets of long lists (sig, uid, n, sketch) with one set of their list, round
+    after round with other heads while that finds links; and the components (uid, comp) that they make.
+
+    A round makes at most as many pairs as the lists have rows; lists of one component leave."""
+    found: list[DataFrame] = []
+    comp: DataFrame | None = None
+    wide = ["uid", "comp", "n", "fine"]
+    rows = lists
+    while True:
+        rows = with_components(rows, comp)
+        heads = landed(rows.groupBy("sig").agg(F.min(F.struct(F.xxhash64("uid", "sig", F.lit(len(found))).alias("o"), *wide)).alias("h"),
+                                               F.min("comp").alias("low"), F.max("comp").alias("high"))
+                       .filter("low != high").select("sig", *[F.col(f"h.{c}").alias("y" + c) for c in wide]), "heads")
+        rows = landed(rows.join(broadcast_if_small(heads, BROADCAST_ROWS // 6), "sig"), "star-rows")
+        star = rows.filter((F.col("comp") != F.col("ycomp")) & near(percent, fine=True)) \
+            .select(F.least("uid", "yuid").alias("a"), F.greatest("uid", "yuid").alias("b"))
+        links = verified(star, sets, percent)
+        n_links = links.count()
+        if not n_links:
+            return found, comp
+        found.append(links)
+        # Components of components: links between their names.
+        named = links if comp is None else with_names(links, comp)
+        joined = components(named).select(F.col("node").alias("old"), F.col("label").alias("new"))
+        if comp is None:
+            comp = joined.select(F.col("old").alias("uid"), F.col("new").alias("comp"))
+        else:
+            small = broadcast_if_small(joined, BROADCAST_ROWS)
+            moved = comp.join(small, F.col("comp") == F.col("old"), "left").select("uid", F.coalesce("new", "comp").alias("comp"))
+            fresh = joined.select(F.col("old").alias("uid"), F.col("new").alias("comp")) \
+                .join(broadcast_if_small(comp.select("uid"), BROADCAST_ROWS), "uid", "left_anti")
+            comp = landed(moved.unionByName(fresh), "star-components")
+        if n_links < STAR_YIELD * rows.select("uid").distinct().count():  # what is left is for the finest partition
+            return found, comp
+        rows = rows.select("sig", "uid", "n", "fine")
+
+
+def with_names(links: DataFrame, comp: DataFrame) -> DataFrame:
+    """Links between the components of their ends."""
+    a, b = (broadcast_if_small(comp, BROADCAST_ROWS).select(F.col("uid").alias(c), F.col("comp").alias("c" + c)) for c in "ab")
+    return landed(links.join(a, "a", "left").join(b, "b", "left")
+                  .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct(), "component-links")
+
+
+def finest_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Candidates (a, b) of different components among ``members`` (uid, comp, n, sketch), by segments of one hash
+    value each; None if there are none.
+
+    Two linked sets of different components have at least ``percent`` per cent of the larger one's values in common,
+    and each of these values is held in two components. In the order of their frequency, the first value that they
+    share comes before a set has passed as many of its counted values as the other one may lack."""
+    need = F.ceil(F.col("n") * percent / F.lit(100))
+    values = sets.join(broadcast_if_small(members.select("uid", "comp", "n"), BROADCAST_ROWS), "uid") \
+        .select("uid", "comp", need.cast("long").alias("need"), F.explode("set").alias("v"))
+    n_rows = None
+    while True:
+        both = values.groupBy("v").agg(F.count(F.lit(1)).alias("cnt"), F.min("comp").alias("low"), F.max("comp").alias("high")) \
+            .filter("low != high").select("v", "cnt")
+        counted = landed(values.join(both, "v"), "counted-values")
+        enough = landed(counted.groupBy("uid").agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need")).filter("c >= need").select("uid", "c"), "enough")
+        values = landed(counted.join(broadcast_if_small(enough, BROADCAST_ROWS), "uid"), "fine-values")
+        left = values.count()
+        if not left:
+            return None
+        if n_rows is not None and left > 0.9 * n_rows:
+            break
+        n_rows = left
+        values = values.select("uid", "comp", "need", "v")
+    rare = Window.partitionBy("uid").orderBy("cnt", "v")
+    looks = values.withColumn("place", F.row_number().over(rare)).filter("place <= c - need + 1") \
+        .select("uid", "v", (F.col("c") - F.col("place") + 1).alias("ahead"))
+    looks = landed(looks.join(broadcast_if_small(members, BROADCAST_ROWS // 6), "uid"), "fine-looks")
+    y = looks.select(F.col("v").alias("yv"), *[F.col(c).alias("y" + c) for c in ("uid", "ahead", "comp", "n", "fine")])
+    # At the first value that they share, all that they share is ahead.
+    enough = (100 + percent) * F.least("ahead", "yahead") >= percent * (F.col("n") + F.col("yn"))
+    return looks.join(y, (F.col("v") == F.col("yv")) & (F.col("uid") > F.col("yuid")) & (F.col("comp") != F.col("ycomp"))
+                      & enough & near(percent, fine=True)) \
+        .select(F.col("yuid").alias("a"), F.col("uid").alias("b"))
+
+
 def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for every row (and uid, rep: the row's and its class's internal numbers)."""
     assert 67 <= percent <= 100
@@ -325,13 +439,12 @@ def class_links(docs: DataFrame, reps: DataFrame, classes: DataFrame, k: int, pe
     rows = posting_rows(reps)
     known = landed(shared(rows), "shared")
     rows = landed(rows.join(broadcast_if_small(known, BROADCAST_ROWS), "sig").select("x", "sig"), "postings")
-    facts = reps.select("uid", "n", *SKETCH)
+    facts = reps.select("uid", "n", *SKETCH, "fine")
     needs = reps.select((F.col("uid") * 2).alias("x"), F.col("need0").alias("need"), F.col("empty0").alias("empty")) \
         .unionByName(reps.select((F.col("uid") * 2 + 1).alias("x"), F.col("need1").alias("need"), F.col("empty1").alias("empty"))).filter("need > 0")
     rows = peel(rows, needs)
-    loose = deletion_pairs(docs, reps, classes, k, percent)
-    has_rows = not rows.isEmpty()
-    if not has_rows and loose is None:
+    loose = deletion_rows(docs, reps, classes, k, percent)
+    if rows.isEmpty() and loose is None:
         return None
     # Allocation: the H + 1 cheapest segments; those that nobody shares are free.
     by_cost = Window.partitionBy("x").orderBy("cnt", "sig")
@@ -339,37 +452,35 @@ def class_links(docs: DataFrame, reps: DataFrame, classes: DataFrame, k: int, pe
         .withColumn("look", F.row_number().over(by_cost) <= F.col("c") + F.col("empty") + 1 - F.col("need")) \
         .withColumn("uid", F.shiftright("x", 1)).withColumn("role", F.col("x").bitwiseAND(1))
     rows = landed(rows.select("uid", "role", "sig", "cnt", "look"), "allocation")
-    ids = landed(rows.select("uid").distinct().unionByName(loose.select(F.explode(F.array("a", "b")).alias("uid"))).distinct()
-                 if loose is not None else rows.select("uid").distinct(), "candidate-ids")
-    few = broadcast_if_small(ids, BROADCAST_ROWS)
-    facts = landed(facts.join(few, "uid", "left_semi"), "candidate-facts")
+    ids = rows.select("uid") if loose is None else rows.select("uid").unionByName(loose.select("uid"))
+    ids = landed(ids.distinct(), "candidate-ids")
+    facts = landed(facts.join(broadcast_if_small(ids, BROADCAST_ROWS), "uid", "left_semi"), "candidate-facts")
     sets = candidate_sets(docs, classes, ids, k)
-    links = []
-    rows = landed(rows.join(broadcast_if_small(facts, BROADCAST_ROWS // 3), "uid"), "allocation")
-    wide = ["uid", "role", "n", *SKETCH]
-    as_y = [F.col(c).alias("y" + c) for c in wide]
-    # Stars: in long lists, every set that looks there against the list's first set.
-    heads = landed(rows.filter(F.col("cnt") >= STAR_ROWS).groupBy("sig").agg(F.min(F.struct(*wide)).alias("h")).select("sig", "h.*"), "heads")
-    comp = None
-    if not heads.isEmpty():
-        star = rows.filter(F.col("look") & (F.col("cnt") >= STAR_ROWS)).join(broadcast_if_small(heads.select("sig", *as_y), BROADCAST_ROWS // 3), "sig") \
-            .filter((F.col("uid") != F.col("yuid")) & near(percent)).select(F.col("yuid").alias("a"), F.col("uid").alias("b"))
-        found = verified(star, sets, percent)
-        if not found.isEmpty():
-            links.append(found)
-            comp = components(found).select(F.col("node").alias("uid"), F.col("label").alias("comp"))
-    if comp is not None:
-        rows = rows.join(broadcast_if_small(comp, BROADCAST_ROWS), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
-    else:
-        rows = rows.withColumn("comp", F.col("uid"))
-    rows = landed(rows, "allocation")
+    small_facts = broadcast_if_small(facts, BROADCAST_ROWS // 6)
+    rows = landed(rows.join(small_facts.drop("fine"), "uid"), "allocation")
+    # Long lists: stars, then the finest partition for what is left in several components.
+    asked = landed(rows.filter(F.col("look") & (F.col("cnt") >= STAR_ROWS)).select("sig").distinct(), "asked-lists")
+    long = rows.filter(F.col("cnt") >= STAR_ROWS).join(broadcast_if_small(asked, BROADCAST_ROWS), "sig", "left_semi").select("sig", "uid")
+    if loose is not None:
+        long = long.unionByName(loose.filter(F.col("cnt") >= STAR_ROWS).select("sig", "uid"))
+    long = landed(long.distinct().join(small_facts.select("uid", "n", "fine"), "uid"), "long-lists")
+    links, comp = star_rounds(long, sets, percent)
+    rows = landed(with_components(rows.filter(F.col("cnt") < STAR_ROWS), comp), "short-lists")
     # The set with the larger number looks for the other; pairs inside a component are not needed.
-    y = rows.select(F.col("sig").alias("ysig"), F.col("comp").alias("ycomp"), *as_y)
+    y = rows.select(F.col("sig").alias("ysig"), *[F.col(c).alias("y" + c) for c in ("uid", "role", "n", "comp", *SKETCH)])
     pairs = rows.filter("look").join(y, (F.col("sig") == F.col("ysig")) & (F.col("uid") > F.col("yuid")) & (F.col("comp") != F.col("ycomp"))
                                      & (F.col("role") + F.col("yrole") < 2) & near(percent)) \
         .select(F.col("yuid").alias("a"), F.col("uid").alias("b"))
     if loose is not None:
-        pairs = pairs.unionByName(loose)
+        pairs = pairs.unionByName(deletion_pairs(loose.filter(F.col("cnt") < STAR_ROWS)))
+    named = landed(with_components(long, comp), "long-lists")
+    several = named.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("sig")
+    members = landed(named.join(broadcast_if_small(landed(several, "mixed-lists"), BROADCAST_ROWS), "sig", "left_semi")
+                     .select("uid", "comp", "n", "fine").distinct(), "members")
+    if not members.isEmpty():
+        fine = finest_pairs(members, sets, percent)
+        if fine is not None:
+            pairs = pairs.unionByName(fine)
     links.append(verified(pairs, sets, percent))
     out = links[0]
     for more in links[1:]:
@@ -399,14 +510,15 @@ def drop_similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Of each component the row with the smallest doc_id stays (null last, then any one).
     """
     n = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
-    if n["rows"] == n["ids"]:
-        rows, key = docs.withColumn("_similar_id", F.col("doc_id").cast("long")), "component_id"
-        groups = similar_groups(rows.select(F.col("_similar_id").alias("doc_id"), "text"), k, percent)
-    else:  # doc_ids repeat or are missing: rows get numbers of their own
-        rows, key = landed(docs.withColumn("_similar_id", F.monotonically_increasing_id()), "numbered"), "stays"
-        groups = similar_groups(rows.select(F.col("_similar_id").alias("doc_id"), "text"), k, percent)
-        named = landed(groups.join(rows.select(F.col("_similar_id").alias("doc_id"), F.col("doc_id").alias("name")), "doc_id"), "named")
+    own = n["rows"] == n["ids"]  # else doc_ids repeat or are missing: rows get numbers of their own
+    number = F.col("doc_id").cast("long") if own else F.monotonically_increasing_id()
+    # The rows in a struct, so that none of their columns can be taken for one of these.
+    rows = docs.select(number.alias("id"), F.struct(*all_columns(docs)).alias("row"))
+    rows = rows if own else landed(rows, "numbered")
+    groups, key = similar_groups(rows.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text")), k, percent), "component_id"
+    if not own:
+        named = landed(groups.join(rows.select(F.col("id").alias("doc_id"), F.col("row.doc_id").alias("name")), "doc_id"), "named")
         best = named.groupBy("component_id").agg(F.min(F.struct(F.col("name").isNull(), "name", F.col("doc_id").alias("stays"))).alias("m"))
-        groups = named.join(landed(best.select("component_id", "m.stays"), "similar-first"), "component_id")
-    gone = landed(groups.filter(F.col("doc_id") != F.col(key)).select(F.col("doc_id").alias("_similar_id")), "similar-dropped")
-    return rows.join(broadcast_if_small(gone, BROADCAST_ROWS), "_similar_id", "left_anti").select(*all_columns(docs))
+        groups, key = named.join(landed(best.select("component_id", "m.stays"), "similar-first"), "component_id"), "stays"
+    gone = landed(groups.filter(F.col("doc_id") != F.col(key)).select(F.col("doc_id").alias("id")), "similar-dropped")
+    return rows.join(broadcast_if_small(gone, BROADCAST_ROWS), "id", "left_anti").select("row.*")

@@ -1,7 +1,7 @@
 import pytest
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, size long, target string, h double, "
-          "n long, uid string, sig string, `key` string, shard int, part int, copies string, kept string, `a.b` int")
+          "n long, _similar_id string, id string, `row` string, uid string, sig string, `key` string, shard int, part int, copies string, kept string, `a.b` int")
 LONG = " ".join(f"word{i % 977}x{i % 31}" for i in range(60_000)) + "\n" + "z" * 70_000
 
 
@@ -17,7 +17,7 @@ def edge_rows():
         (None, " ".join(near), "a"), (None, None, None), (13, "a repeated id with another text", "d"),
         (6, " ".join(near), "a"), (14, "<|endoftext|> a  b \x00 c", "e"), (15, "tie", "e"), (16, "tie", "e"),
     ]
-    return [(i, t, "en" if i else None, s, len(t) if t else None, 1, None, None, None, "u", None, "k", 3, None, "c", None, 9) for i, t, s in texts]
+    return [(i, t, "en" if i else None, s, len(t) if t else None, 1, None, None, None, "s", "i", "r", "u", None, "k", 3, None, "c", None, 9) for i, t, s in texts]
 
 
 @pytest.fixture(scope="session")

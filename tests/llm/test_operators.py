@@ -411,6 +411,63 @@ def test_drop_similar_leaves_one_of_each_group(edge, edge_rows, spark):
         assert got.columns == df.columns and got.count() == len(groups)
 
 
+def half_similar(n, copies):
+    """Texts that share a passage of half their words; each comes in ``copies`` near copies."""
+    r = random.Random(n)
+    passage = [f"p{i}" for i in range(60)]
+    out = []
+    for i in range(n // copies):
+        own = [f"o{i}x{j}" for j in range(55)]
+        for c in range(copies):
+            edited = [w if r.random() > .01 else f"e{i}x{c}x{j}" for j, w in enumerate(own)]
+            out.append(" ".join([*edited[:20], *passage, *edited[20:]]))
+    return list(enumerate(out))
+
+
+def counted(monkeypatch):
+    """Rows of every table of candidate pairs that is verified."""
+    sizes = []
+    plain = jaccard_join.verified
+
+    def verified(pairs, sets, percent):
+        pairs = jaccard_join.landed(pairs.select("a", "b"), "counted")
+        sizes.append(pairs.count())
+        return plain(pairs, sets, percent)
+
+    monkeypatch.setattr(jaccard_join, "verified", verified)
+    return sizes
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_half_similar_groups_are_not_paired(spark, monkeypatch, copies):
+    """2,000 texts that share a passage, linked to none or in pairs: the pairs made grow with the rows, not with their square."""
+    sizes = counted(monkeypatch)
+    made = []
+    for n in (500, 2000):
+        sizes.clear()
+        docs = half_similar(n, copies)
+        got = jaccard_join.shingle_join(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), 5, 80).collect()
+        made.append(sum(sizes))
+        if n == 500:
+            assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == dict(enumerate(plain_groups(docs, 5, 80)))
+    assert made[1] <= 6 * max(made[0], 500)
+
+
+def test_group_of_distant_copies_becomes_one_component(spark, monkeypatch):
+    """Copies of one text of which about half are linked with each other: stars with changing heads join them."""
+    sizes = counted(monkeypatch)
+    made = []
+    for n in (100, 400):
+        sizes.clear()
+        r = random.Random(3)
+        base = [f"b{i}" for i in range(400)]
+        docs = list(enumerate(" ".join(w if r.random() > .012 else f"e{c}x{j}" for j, w in enumerate(base)) for c in range(n)))
+        got = jaccard_join.shingle_join(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), 5, 80).collect()
+        made.append(sum(sizes))
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == dict(enumerate(plain_groups(docs, 5, 80)))
+    assert made[1] <= 8 * made[0]  # four times the rows; all pairs: 16 times
+
+
 def test_components_of_a_long_chain(spark):
     from ledgerlens.llm.components import components
     links = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001), (1001, 1002)]
