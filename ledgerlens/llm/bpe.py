@@ -163,3 +163,8 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """Give back the worker's encoders; called where a worker goes on to work that needs its memory."""
+    _encoders.clear()

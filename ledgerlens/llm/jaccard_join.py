@@ -49,6 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import all_columns, broadcast_if_small, column, landed, text_slices
 from .components import components
 from .words import U, mix, shingle_hashes, word_bounds, word_hashes
@@ -150,6 +151,7 @@ def _upgrades(sizes: np.ndarray, need: int, empty: int) -> list[int]:
 
 def signature_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for chunk in _chunks(shingle_sets(batch, k), 2000):
