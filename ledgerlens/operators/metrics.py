@@ -26,9 +26,9 @@ def with_predictions(scores: DataFrame, threshold: float = 0.5, score: str = "sc
     return scores.withColumn(out, flag(F.col(score) > threshold))
 
 
-def confusion(scored: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
-    """One row tn, fp, fn, tp (zeros kept)."""
-    return scored.agg(
+def confusion(scored: DataFrame, y: str = "y", pred: str = "pred", by: tuple[str, ...] = ()) -> DataFrame:
+    """One row tn, fp, fn, tp (zeros kept), with ``by`` one per group."""
+    return scored.groupBy(*by).agg(
         F.count_if((F.col(y) == 0) & (F.col(pred) == 0)).alias("tn"),
         F.count_if((F.col(y) == 0) & (F.col(pred) == 1)).alias("fp"),
         F.count_if((F.col(y) == 1) & (F.col(pred) == 0)).alias("fn"),
@@ -39,9 +39,9 @@ def _z(a, b):
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def classification_scores(scored: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
+def classification_scores(scored: DataFrame, y: str = "y", pred: str = "pred", by: tuple[str, ...] = ()) -> DataFrame:
     """E2 + E3: precision, recall, F1 (0 when undefined), accuracy, FPR, FNR."""
-    c = confusion(scored, y, pred)
+    c = confusion(scored, y, pred, by)
     tp, fp, fn, tn = F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")
     p, r = _z(tp, tp + fp), _z(tp, tp + fn)
     return c.select("*", p.alias("precision"), r.alias("recall"),
@@ -83,9 +83,10 @@ def classification_report(scored: DataFrame, y: str = "y", pred: str = "pred") -
 
 
 def cumulative_by_order(df: DataFrame, order: str, sums: list[str], descending: bool = True,
-                        buckets: int | None = None) -> DataFrame:
+                        buckets: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Inclusive running sums of ``sums`` in ``order`` (ties: one row per value is
-    expected; no nulls) as a distributed prefix sum over range buckets."""
+    expected; no nulls) as a distributed prefix sum over range buckets; with ``by``
+    one running sum per group (no null groups), all cut by the same buckets."""
     buckets = buckets or bucket_count(df.sparkSession)
     rel_err = min(0.001, 0.5 / buckets)
     qs = [i / buckets for i in range(1, buckets)]
@@ -95,31 +96,29 @@ def cumulative_by_order(df: DataFrame, order: str, sums: list[str], descending:
     d = Bucketizer(splits=splits, inputCol="_o", outputCol="_bk", handleInvalid="keep").transform(d)
     sign = -1 if descending else 1
     d = d.withColumn("_bk", (F.col("_bk") * sign).cast("int"))
-    tot = d.groupBy("_bk").agg(*[F.sum(c).alias("_t_" + c) for c in sums])
-    ow = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)  # <= buckets rows
-    tot = tot.select("_bk", *[F.coalesce(F.sum("_t_" + c).over(ow), F.lit(0)).alias("_o_" + c)
-                              for c in sums])
+    tot = d.groupBy(*by, "_bk").agg(*[F.sum(c).alias("_t_" + c) for c in sums])
+    ow = (Window.partitionBy(*by) if by else Window).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)  # <= buckets rows
+    tot = tot.select(*by, "_bk", *[F.coalesce(F.sum("_t_" + c).over(ow), F.lit(0)).alias("_o_" + c)
+                                   for c in sums])
     ordcol = F.col(order).desc() if descending else F.col(order).asc()
-    w = Window.partitionBy("_bk").orderBy(ordcol).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.join(F.broadcast(tot), "_bk")
+    w = Window.partitionBy(*by, "_bk").orderBy(ordcol).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.join(tot if by else F.broadcast(tot), [*by, "_bk"])
     for c in sums:
         d = d.withColumn("cum_" + c, F.col("_o_" + c) + F.sum(c).over(w))
     return d.drop("_o", "_bk", *["_o_" + c for c in sums])
 
 
-def curve_points(scores: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
+def curve_points(scores: DataFrame, y: str = "y", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
     """Cumulative tp / fp at every distinct score (descending), with the counts
     just before it, and totals P / N: the basis of E5-E8. Rows without a score
-    or a label are left out of all of these."""
+    or a label are left out of all of these. With ``by`` one curve per group."""
     scores = scores.where(F.col(score).isNotNull() & F.col(y).isNotNull())
-    g = scores.groupBy(F.col(score).alias("threshold")).agg(
-        F.sum(F.col(y)).cast("bigint").alias("pos"),
-        (F.count(F.lit(1)) - F.sum(F.col(y))).cast("bigint").alias("neg"))
-    c = cumulative_by_order(g, "threshold", ["pos", "neg"])
-    tot = scores.agg(F.sum(F.col(y)).cast("bigint").alias("P"),
-                     (F.count(F.lit(1)) - F.sum(F.col(y))).cast("bigint").alias("N"))
-    return (c.crossJoin(F.broadcast(tot))
-            .select("threshold", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
+    counts = [F.sum(F.col(y)).cast("bigint"), (F.count(F.lit(1)) - F.sum(F.col(y))).cast("bigint")]
+    g = scores.groupBy(*by, F.col(score).alias("threshold")).agg(counts[0].alias("pos"), counts[1].alias("neg"))
+    c = cumulative_by_order(g, "threshold", ["pos", "neg"], by=by)
+    tot = scores.groupBy(*by).agg(counts[0].alias("P"), counts[1].alias("N"))
+    return ((c.join(tot, list(by)) if by else c.crossJoin(F.broadcast(tot)))
+            .select(*by, "threshold", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
                     (F.col("cum_pos") - F.col("pos")).alias("tp_prev"),
                     (F.col("cum_neg") - F.col("neg")).alias("fp_prev"), "P", "N"))
 
@@ -140,17 +139,17 @@ def pr_curve(scores: DataFrame, **kw) -> DataFrame:
     return pts.unionByName(end)
 
 
-def pr_auc(scores: DataFrame, points: DataFrame | None = None, **kw) -> DataFrame:
+def pr_auc(scores: DataFrame, points: DataFrame | None = None, by: tuple[str, ...] = (), **kw) -> DataFrame:
     """E6 + E7: trapezoidal area under the PR curve starting at (0, 1), and
-    average precision (step sum of delta recall times precision). One row.
-    ``points``: a precomputed ``curve_points`` table to reuse."""
-    c = points if points is not None else curve_points(scores, **kw)
+    average precision (step sum of delta recall times precision). One row, with
+    ``by`` one per group. ``points``: a precomputed ``curve_points`` table to reuse."""
+    c = points if points is not None else curve_points(scores, by=by, **kw)
     tp, fp, tpp, fpp = (F.col(x).cast("double") for x in ("tp", "fp", "tp_prev", "fp_prev"))
     P = F.col("P").cast("double")
     p, pp = _prec(tp, fp, 1.0), _prec(tpp, fpp, 1.0)
     r, rp = _z(tp, P), _z(tpp, P)
-    return c.agg(F.sum((r - rp) * (p + pp) / 2).alias("pr_auc"),
-                 F.sum((r - rp) * p).alias("average_precision"))
+    return c.groupBy(*by).agg(F.sum((r - rp) * (p + pp) / 2).alias("pr_auc"),
+                              F.sum((r - rp) * p).alias("average_precision"))
 
 
 def roc(scores: DataFrame, points: DataFrame | None = None, **kw) -> tuple[DataFrame, DataFrame]:

@@ -3,8 +3,8 @@
 Training is Spark ML (distributed tree / linear learners); features are
 assembled into a vector only at the model edge. Scores come back as a
 ``(row id, y, score, pred)`` table that the metric operators consume.
-Attributions: exact linear contributions ``beta_j (x_j - mean_j)`` as column
-expressions, in a long ``(row id, feature, contribution)`` table.
+Attributions are an array per row: linear ones as column expressions, those of
+tree ensembles by TreeSHAP over the node table (``operators.trees``).
 """
 
 from __future__ import annotations
@@ -15,13 +15,15 @@ from functools import partial
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, StandardScalerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 from . import metrics as M
+from . import trees
 from .oversampling import adasyn, smote
 
 
@@ -52,6 +54,7 @@ def decision_tree(depth=15, min_leaf=5, seed=42):
     return DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed)
 
 
+# The models that are compared, with the original's parameters.
 MODEL_ZOO = {
     "gradient_boosting_xgb_params": lambda n: gbt(300, 0.05, 6, 0.8, "0.8"),
     "gradient_boosting": lambda n: gbt(200, 0.1, 5, 1.0, "all"),
@@ -62,20 +65,16 @@ MODEL_ZOO = {
 
 
 def fit(df: DataFrame, features: list[str], label: str, estimator, scale: bool = False):
-    """Assemble (and optionally standardise with L12's means and population
-    deviations, as SQL expressions) and fit; returns the fitted pipeline."""
-    stages, inputs = [], features
+    """Assemble (and optionally standardise with L12's means and population deviations, zero counting
+    as 1) and fit; returns the fitted pipeline, which holds the scaling constants in its stages."""
+    stages, fcol = [VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep")], "_features"
     if scale:
-        cols = [F.avg(F.col(f"`{c}`").cast("double")).alias(f"m{i}") for i, c in enumerate(features)] \
-            + [F.stddev_pop(F.col(f"`{c}`").cast("double")).alias(f"s{i}") for i, c in enumerate(features)]
-        st = df.agg(*cols).first()
-        inputs = [f"_z{i}" for i in range(len(features))]
-        exprs = [f"(cast(`{c}` as double) - {st[f'm{i}'] or 0.0!r}D) / {st[f's{i}'] or 1.0!r}D AS _z{i}" for i, c in enumerate(features)]
-        stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(exprs) + " FROM __THIS__"))
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="keep"))
-    fcol = "_features"
-    est = estimator.copy().setFeaturesCol(fcol).setLabelCol(label)
-    stages.append(est)
+        one = df.agg(*[F.stddev_pop(F.col(f"`{c}`").cast("double")).alias(f"s{i}") for i, c in enumerate(features)]).first()
+        inverse = [1.0 / (one[f"s{i}"] or 1.0) for i in range(len(features))]
+        stages += [StandardScaler(inputCol="_features", outputCol="_centred", withMean=True, withStd=False),
+                   ElementwiseProduct(scalingVec=Vectors.dense(inverse), inputCol="_centred", outputCol="_scaled")]
+        fcol = "_scaled"
+    stages.append(estimator.copy().setFeaturesCol(fcol).setLabelCol(label))
     return Pipeline(stages=stages).fit(df)
 
 
@@ -108,14 +107,58 @@ def evaluate(scored: DataFrame) -> DataFrame:
     return scored.sparkSession.createDataFrame([row])
 
 
-def feature_importance(model, features: list[str]) -> DataFrame:
-    """Feature importances of the fitted tree model, descending."""
-    last = model.stages[-1]
-    imp = last.featureImportances.toArray().tolist()
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    rows = sorted(zip(features, imp), key=lambda t: (-t[1], t[0]))
-    return spark.createDataFrame(rows, "feature string, importance double")
+def weighted(df: DataFrame, label: str, out: str = "_weight") -> DataFrame:
+    """Add L10's positive-class weight (negatives / positives; 1 without positives) as a column."""
+    n = df.agg(F.count_if(F.col(label) == 0).alias("neg"), F.count_if(F.col(label) == 1).alias("pos")).first()
+    w = n["neg"] / n["pos"] if n["pos"] else 1.0
+    return df.withColumn(out, F.when(F.col(label) == 1, F.lit(float(w))).otherwise(F.lit(1.0)))
+
+
+def round_scores(df: DataFrame, nodes: DataFrame, features: list[str], label: str) -> DataFrame:
+    """E6 after every boosting round, ``(round, pr_auc)`` from 1: margins of all prefixes come from one pass
+    over the rows, and all curves from one running sum (the margin orders rows as the probability does)."""
+    d = trees.staged_margins(df.select(F.col(label).cast("int").alias("y"), *[F.col(f"`{c}`") for c in features]), nodes, features)
+    d = d.select("y", F.posexplode("margins").alias("round", "score")).withColumn("round", F.col("round") + 1)
+    return M.pr_auc(d, by=("round",)).select("round", "pr_auc")
+
+
+def stopping_round(curve: list[tuple[int, float]], patience: int) -> int:
+    """M1's early stop: training ends once ``patience`` rounds bring no better value; the best round so far
+    (the first of equal ones) counts. ``curve``: (round, value) in order."""
+    best, at = None, 0
+    for r, v in curve:
+        if best is None or v > best:
+            best, at = v, r
+        elif r - at >= patience:
+            break
+    return at
+
+
+def boosted(train: DataFrame, validation: DataFrame, features: list[str], label: str, estimator=None, patience: int = 10):
+    """M1 / M2 / M5: boosted trees with the positive-class weight, cut to the round that early stopping on the
+    validation rows' PR-AUC chooses. Returns (node table of the rounds kept, curve of all rounds, chosen round).
+
+    Spark ML cannot stop on PR-AUC, so all rounds are fitted once and the prefix is chosen from their node table."""
+    est = (estimator or gbt()).copy().setWeightCol("_weight")
+    model = fit(weighted(train, label), features, label, est)
+    nodes = trees.node_table(model)
+    curve = round_scores(validation, nodes, features, label).checkpoint()  # as many rows as rounds
+    rows = sorted((r["round"], r["pr_auc"]) for r in curve.collect())
+    chosen = stopping_round(rows, patience)
+    return trees.prefix(nodes, chosen), curve, chosen
+
+
+def score_nodes(df: DataFrame, nodes: DataFrame, features: list[str], label: str, threshold: float = 0.5) -> DataFrame:
+    """M10 for a boosted node table, beside the row's own columns: ``y``, ``score`` = 1 / (1 + exp(-2 margin)), ``pred``."""
+    d = trees.margins(df, nodes, features, "_margin")
+    return d.withColumn("y", F.col(label).cast("int")).withColumn("score", 1 / (1 + F.exp(-2 * F.col("_margin")))) \
+        .withColumn("pred", (F.col("score") > threshold).cast("int")).drop("_margin")
+
+
+def fit_rows(df: DataFrame, id_cols: list[str], limit: int) -> DataFrame:
+    """At most ``limit`` rows for a fit, the first in hash order (L13), in few partitions (a fit makes a job per tree level)."""
+    from .sampling import hash_sample
+    return hash_sample(df, id_cols, limit).coalesce(max(1, limit // 10_000)).checkpoint()
 
 
 def compare_models(train: DataFrame, test: DataFrame, features: list[str], label: str,
@@ -156,17 +199,22 @@ def efficiency(results: DataFrame) -> DataFrame:
     return d
 
 
-def _fit_resampled(train: DataFrame, features: list[str], label: str, estimator_factory, key: str, scale: bool, resample):
-    """Oversample the training rows only (``resample`` None: take them as they are) and fit."""
+def _fit_resampled(train: DataFrame, features: list[str], label: str, estimator_factory, key: str, scale: bool, resample, max_rows):
+    """Oversample the training rows only (``resample`` None: take them as they are) and fit;
+    ``max_rows`` bounds the rows before oversampling (the first in hash order)."""
     rows = train.select(key, label, *[F.col(f"`{c}`") for c in features])
+    if max_rows is not None:
+        rows = fit_rows(rows, [key], max_rows)
     if resample is not None:
         checkpoint_dir(rows.sparkSession)
-        rows = resample(rows, label, key, features).checkpoint()  # read by the count and by every pass of the fit
+        rows = resample(rows, label, key, features)
+        rows = (rows if max_rows is None else rows.coalesce(max(1, max_rows // 5_000))).checkpoint()  # read by the count and by every pass of the fit
     return fit(rows, features, label, estimator_factory(rows.count()), scale=scale)
 
 
 def time_series_cv(df: DataFrame, features: list[str], label: str, estimator_factory,
-                   key: str = "hash", n_splits: int = 5, ts: str = "ts", scale: bool = True, resample=adasyn) -> DataFrame:
+                   key: str = "hash", n_splits: int = 5, ts: str = "ts", scale: bool = True, resample=adasyn,
+                   max_rows: int | None = None) -> DataFrame:
     """M8: expanding-window folds (L4); per fold, oversample the rows before the
     fold (ADASYN), fit on them and score the untouched fold; one metric row per
     fold (E10 summarises them)."""
@@ -180,7 +228,7 @@ def time_series_cv(df: DataFrame, features: list[str], label: str, estimator_fac
         start = first + i * t
         train = d.where(F.col("row_idx") < start)
         test = d.where(F.col("test_fold") == i)
-        model = _fit_resampled(train, features, label, estimator_factory, key, scale, resample)
+        model = _fit_resampled(train, features, label, estimator_factory, key, scale, resample, max_rows)
         ev = evaluation_row(score(model, test, label, key))
         rows.append((i, ev["pr_auc"], ev["f1"], ev["recall"], ev["precision"]))
     d.unpersist()
@@ -189,95 +237,127 @@ def time_series_cv(df: DataFrame, features: list[str], label: str, estimator_fac
 
 
 def kfold_cv(df: DataFrame, features: list[str], label: str, estimator_factory, key: str = "hash", k: int = 5,
-             scale: bool = True, seed: int = 42, resample=partial(smote, sampling_ratio=0.35)) -> DataFrame:
+             scale: bool = True, seed: int = 42, resample=partial(smote, sampling_ratio=0.35),
+             max_rows: int | None = None) -> DataFrame:
     """M9: stratified folds (L5); per fold, oversample the other folds' rows (SMOTE
     to 0.35 of the majority), fit and score the untouched fold; its ROC-AUC."""
     from .sampling import stratified_kfold
     d = stratified_kfold(df, label, [key], k, seed).persist()
     rows = []
     for i in range(k):
-        model = _fit_resampled(d.where(F.col("fold") != i), features, label, estimator_factory, key, scale, resample)
+        model = _fit_resampled(d.where(F.col("fold") != i), features, label, estimator_factory, key, scale, resample, max_rows)
         rows.append((i, evaluation_row(score(model, d.where(F.col("fold") == i), label, key))["roc_auc"]))
     d.unpersist()
     return df.sparkSession.createDataFrame(rows, "fold int, roc_auc double")
 
 
 # ---------------------------------------------------------------- attributions
+#
+# An explained table is the rows with three more columns: ``base_value`` and the arrays ``values`` and
+# ``contributions`` in the order of the features. Nothing is exploded or joined before a result needs it, so
+# rows need no key and repeated keys are harmless. ``trees.tree_attributions`` gives the same columns.
+
+
+def linear_contributions(df: DataFrame, terms: list[tuple[str, float, float, float]], intercept: float) -> DataFrame:
+    """X1 (linear form) from (feature, coefficient, mean, deviation) terms: the contribution of a feature is
+    ``coefficient * (x - mean) / deviation``, the base value the intercept; they add up to the margin.
+    A missing value contributes nothing."""
+    x = [F.col(f"`{f}`").cast("double") for f, _, _, _ in terms]
+    return df.withColumn("base_value", F.lit(float(intercept))) \
+        .withColumn("values", F.array(*x)) \
+        .withColumn("contributions", F.array(*[F.coalesce(F.lit(float(b)) * (v - F.lit(float(m))) / F.lit(float(d)), F.lit(0.0))
+                                               for v, (_, b, m, d) in zip(x, terms)]))
+
+
+def linear_terms(model, features: list[str]) -> tuple[list[tuple[str, float, float, float]], float]:
+    """Terms and intercept of a fitted (loaded) logistic pipeline; the scaling constants are its own stages'.
+    Without scaling the mean is 0 and the deviation 1."""
+    lr = model.stages[-1]
+    mean, deviation = [0.0] * len(features), [1.0] * len(features)
+    for stage in model.stages:
+        if isinstance(stage, StandardScalerModel):
+            mean = stage.mean.toArray().tolist()
+        elif isinstance(stage, ElementwiseProduct):
+            deviation = [1.0 / w for w in stage.getScalingVec().toArray().tolist()]
+    return list(zip(features, lr.coefficients.toArray().tolist(), mean, deviation)), float(lr.intercept)
 
 
-def linear_attributions(model, df: DataFrame, features: list[str], key: str = "hash") -> DataFrame:
-    """X1 (linear form): contribution of feature j to the margin is
-    ``beta_j * (z_j - mean z_j)`` on the standardised inputs ``z`` the model
-    saw; base value = intercept + beta . mean z. Long table (key, feature,
-    value, contribution) plus ``base_value``; sum of contributions + base =
-    margin. Means are of the scoring rows (one aggregate)."""
-    lr = model.stages[-1]
-    beta = lr.coefficients.toArray().tolist()
-    b0 = float(lr.intercept)
-    scaler = model.stages[1] if len(model.stages) == 3 else None
-    mu = scaler.mean.toArray().tolist() if scaler is not None else [0.0] * len(features)
-    sd = scaler.std.toArray().tolist() if scaler is not None else [1.0] * len(features)
-    z = [((F.col(f"`{c}`").cast("double") - F.lit(mu[i])) / F.lit(sd[i] if sd[i] else 1.0)) for i, c in
-         enumerate(features)]
-    d = df.select(F.col(key), *[z[i].alias(f"_z{i}") for i in range(len(features))],
-                  *[F.col(f"`{c}`").cast("double").alias(f"_v{i}") for i, c in enumerate(features)])
-    means = d.agg(*[F.avg(f"_z{i}").alias(f"_m{i}") for i in range(len(features))])
-    d = d.crossJoin(F.broadcast(means))
-    base = F.lit(b0)
-    for i in range(len(features)):
-        base = base + F.lit(beta[i]) * F.col(f"_m{i}")
-    arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_v{i}").alias("value"),
-                             (F.lit(beta[i]) * (F.col(f"_z{i}") - F.col(f"_m{i}"))).alias("contribution"))
-                    for i, c in enumerate(features)])
-    return d.select(F.col(key), base.alias("base_value"), F.explode(arr).alias("_a")).select(
-        key, "_a.feature", "_a.value", "_a.contribution", "base_value")
-
-
-def global_importance(attr: DataFrame) -> DataFrame:
-    """Mean |contribution| per feature, descending."""
-    return (attr.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs_contribution"))
-            .orderBy(F.col("mean_abs_contribution").desc(), "feature"))
-
-
-def top_features_per_row(attr: DataFrame, key: str = "hash", n: int = 5) -> DataFrame:
-    """The n largest |contribution| per row with direction (0 counts as
-    'decreases'). The window is per row: n_features rows each."""
-    w = Window.partitionBy(key).orderBy(F.abs("contribution").desc(), "feature")
-    return (attr.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-            .withColumn("direction", F.when(F.col("contribution") > 0, F.lit("increases"))
-                        .otherwise(F.lit("decreases"))))
-
-
-def attribution_table(attr: DataFrame, scored: DataFrame, key: str = "hash") -> DataFrame:
-    """Attributions joined to actual label, prediction and probability."""
-    return attr.join(scored.select(key, F.col("y").alias("actual_label"),
-                                   F.col("pred").alias("predicted_label"),
-                                   F.col("score").alias("predicted_proba")), key)
-
-
-def waterfall(attr: DataFrame, row_key, key: str = "hash", n: int = 15) -> DataFrame:
-    """One row's top-n contributions by |value| with the running total from
-    the base value (a single row's features: a bounded window)."""
-    one = attr.where(F.col(key) == F.lit(row_key))
-    w = Window.partitionBy(key).orderBy(F.abs("contribution").desc(), "feature")
-    top = one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    return top.withColumn("cumulative", F.col("base_value") + F.sum("contribution").over(
-        w.rowsBetween(Window.unboundedPreceding, 0)))
-
-
-def dependence(attr: DataFrame, feature: str, key: str = "hash") -> DataFrame:
-    """(value, contribution) of one feature with the interaction feature
-    whose value correlates most (|corr|) with this feature's contribution."""
-    f = attr.where(F.col("feature") == feature).select(key, F.col("value").alias("x"),
-                                                      F.col("contribution"))
-    others = attr.where(F.col("feature") != feature).select(key, F.col("feature").alias("other"),
-                                                           F.col("value").alias("ov"))
-    j = f.join(others, key)
-    # |corr| with try_divide: a constant feature has no correlation (null), not an error
-    corr = F.try_divide(F.covar_samp("contribution", "ov"),
-                        F.stddev_samp("contribution") * F.stddev_samp("ov"))
-    best = (j.groupBy("other").agg(F.abs(corr).alias("_c"))
-            .agg(F.max_by("other", F.struct(F.coalesce("_c", F.lit(-1.0)), F.col("other"))).alias("_best")))
-    return (j.join(F.broadcast(best), F.col("other") == F.col("_best"))
-            .select(key, F.col("x").alias("value"), "contribution",
-                    F.col("other").alias("interaction_feature"), F.col("ov").alias("interaction_value")))
+def linear_attributions(model, df: DataFrame, features: list[str]) -> DataFrame:
+    """X1 (linear form): explained rows; contributions are measured from the training means."""
+    return linear_contributions(df, *linear_terms(model, features))
+
+
+def with_score(model, df: DataFrame, label: str, threshold: float = 0.5) -> DataFrame:
+    """M10 beside the row's own columns: ``y``, ``score``, ``pred`` (which replace columns of these names)."""
+    own = [F.col(f"`{c}`") for c in df.columns if c not in ("y", "score", "pred")]
+    return model.transform(df).select(*own, F.col(label).cast("int").alias("y"),
+                                      vector_to_array("probability")[1].alias("score")) \
+        .withColumn("pred", (F.col("score") > threshold).cast("int"))
+
+
+def _names(features: list[str]):
+    return F.array(*[F.lit(f) for f in features])
+
+
+def _largest(features: list[str], n: int):
+    """The n largest |contribution| of a row as structs (size, feature, value, contribution), ties by feature."""
+    parts = F.arrays_zip(F.transform("contributions", lambda c: -F.abs(c)).alias("size"), _names(features).alias("feature"),
+                         F.col("values").alias("value"), F.col("contributions").alias("contribution"))
+    named = F.transform(parts, lambda p: F.struct(p["size"].alias("size"), p["feature"].alias("feature"),
+                                                  p["value"].alias("value"), p["contribution"].alias("contribution")))
+    return F.slice(F.array_sort(named), 1, n)
+
+
+def attribution_table(explained: DataFrame, features: list[str], key: str = "hash") -> DataFrame:
+    """One row per (row, feature) with value, contribution, base value, actual label, prediction and
+    probability; rows must carry ``y``, ``score``, ``pred``."""
+    parts = F.arrays_zip(_names(features).alias("feature"), F.col("values").alias("value"), F.col("contributions").alias("contribution"))
+    return explained.select(key, "base_value", F.col("y").alias("actual_label"), F.col("pred").alias("predicted_label"),
+                            F.col("score").alias("predicted_proba"), F.inline(parts).alias("feature", "value", "contribution")) \
+        .withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+
+
+def global_importance(explained: DataFrame, features: list[str]) -> DataFrame:
+    """Mean |contribution| per feature, descending (one pass, one row, then as many rows as features)."""
+    one = explained.agg(*[F.avg(F.abs(F.col("contributions")[i])).alias(f"_{i}") for i in range(len(features))])
+    parts = F.arrays_zip(_names(features).alias("feature"), F.array(*[F.col(f"_{i}") for i in range(len(features))]).alias("m"))
+    return one.select(F.inline(parts).alias("feature", "mean_abs_contribution")) \
+        .orderBy(F.col("mean_abs_contribution").desc(), "feature")
+
+
+def top_features_per_row(explained: DataFrame, features: list[str], key: str = "hash", n: int = 5) -> DataFrame:
+    """The n largest |contribution| of every row with direction (0 counts as 'decreases'); no shuffle."""
+    d = explained.select(key, "base_value", F.posexplode(_largest(features, n)).alias("rank", "p"))
+    return d.select(key, (F.col("rank") + 1).alias("rank"), "p.feature", F.nanvl("p.value", F.lit(None).cast("double")).alias("value"),
+                    "p.contribution", "base_value",
+                    F.when(F.col("p.contribution") > 0, F.lit("increases")).otherwise(F.lit("decreases")).alias("direction"))
+
+
+def waterfall(explained: DataFrame, features: list[str], row_key, key: str = "hash", n: int = 15) -> DataFrame:
+    """The top-n contributions by |value| of the row(s) with this key, with the running total from the base value."""
+    d = explained.where(F.col(key) == F.lit(row_key)).withColumn("_top", _largest(features, n))
+    d = d.select(key, "base_value", "_top", F.posexplode("_top").alias("rank", "p"))
+    total = F.aggregate(F.slice("_top", F.lit(1), F.col("rank") + 1), F.col("base_value"), lambda a, p: a + p["contribution"])
+    return d.select(key, (F.col("rank") + 1).alias("rank"), "p.feature", F.nanvl("p.value", F.lit(None).cast("double")).alias("value"),
+                    "p.contribution", "base_value", total.alias("cumulative"))
+
+
+def dependence(explained: DataFrame, features: list[str], feature: str, key: str = "hash") -> DataFrame:
+    """(value, contribution) of one feature with the interaction feature whose value correlates most (|corr|,
+    ties to the greater name) with this feature's contribution; all correlations in one pass."""
+    at = features.index(feature)
+    c = F.col("contributions")[at]
+    others = [i for i in range(len(features)) if i != at]
+    aggs = []
+    for i in others:
+        v = F.nanvl(F.col("values")[i], F.lit(None).cast("double"))
+        both = F.when(v.isNotNull(), c)
+        # try_divide: a constant feature has no correlation (null), not an error
+        aggs.append(F.struct(F.coalesce(F.abs(F.try_divide(F.covar_samp(both, v), F.stddev_samp(both) * F.stddev_samp(v))), F.lit(-1.0)).alias("r"),
+                             F.lit(features[i]).alias("name"), F.lit(i).alias("i")).alias(f"_{i}"))
+    best = explained.agg(*aggs).select(F.greatest(*[F.col(f"_{i}") for i in others]).alias("_best")) if len(others) > 1 \
+        else explained.agg(*aggs).select(F.col(f"_{others[0]}").alias("_best"))
+    none = F.lit(None).cast("double")
+    return explained.crossJoin(F.broadcast(best)).select(
+        key, F.nanvl(F.col("values")[at], none).alias("value"), c.alias("contribution"),
+        F.col("_best.name").alias("interaction_feature"), F.nanvl(F.element_at("values", F.col("_best.i") + 1), none).alias("interaction_value"))
