@@ -14,6 +14,13 @@ here partition by ``(key, time bucket)`` instead:
   ``(key, bucket)`` (one row per bucket, so even a hot key is a short series).
 
 All frames must be no longer than the bucket (checked).
+
+A key may hold very many rows inside one bucket. ``adaptive_cells`` splits such
+(key, bucket) cells by time, again and again, until none holds more than a bound
+(or it is one instant); ``lag`` and running sums work on these cells as on buckets.
+Frames do not fit into them, so for keys with a split cell ``trailing_counts``
+and ``within`` answer frame questions from running sums, maxima and minima over
+the key's distinct instants, without copies.
 """
 
 from __future__ import annotations
@@ -23,8 +30,112 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 DAY_US = 86_400_000_000
 WEEK_US = 7 * DAY_US
+#: Rows that a (key, bucket) cell may hold, whatever the number of tasks; parts into which a larger one is split.
+MIN_CELL_ROWS = 50_000
+FAN = 64
+
+
+def cell_bound(df: DataFrame, key: str) -> tuple[int, int]:
+    """(rows that a cell may hold, rows of the largest key): half a task's share of all rows, MIN_CELL_ROWS at least."""
+    r = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col(key).isNotNull()) \
+        .agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(MIN_CELL_ROWS, (r["total"] or 0) // (2 * tasks)), r["most"] or 0
+
+
+class Cells:
+    """Time cells of the rows of ``df``: buckets, of which those with more than ``bound`` rows of one key are split into
+    FAN parts of equal length, and these again. A level's split cells are fewer than rows / bound: they are broadcast."""
+
+    def __init__(self, df: DataFrame, key: str, t: str, bound: int, bucket_us: int = WEEK_US, weight: str | None = None):
+        self.key, self.bucket_us, self.levels = key, bucket_us, []
+        checkpoint_dir(df.sparkSession)
+        rows = df.select(key, F.col(t).alias("_ct"), (F.col(weight) if weight else F.lit(1)).alias("_cn"))
+        cells = self._start(rows, "_ct")
+        while True:
+            heavy = cells.groupBy(key, "_cell", "_len").agg(F.sum("_cn").alias("n")) \
+                .where((F.col("n") > bound) & (F.col("_len") > 1)).select(key, "_cell", "_len").checkpoint()
+            if heavy.isEmpty():
+                return
+            self.levels.append(heavy)
+            cells = self._split(cells.join(F.broadcast(heavy), [key, "_cell", "_len"], "left_semi"), "_ct")
+
+    def _start(self, df: DataFrame, t: str) -> DataFrame:
+        return df.withColumn("_cell", F.floor(F.col(t) / F.lit(self.bucket_us)) * F.lit(self.bucket_us)) \
+            .withColumn("_len", F.lit(self.bucket_us).cast("bigint"))
+
+    def _split(self, df: DataFrame, t: str) -> DataFrame:
+        part = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("_len") / FAN))
+        return df.withColumn("_cell", F.col("_cell") + F.floor((F.col(t) - F.col("_cell")) / part) * part).withColumn("_len", part)
+
+    def keys(self) -> DataFrame | None:
+        """Keys with a split cell; None if there are none."""
+        return self.levels[0].select(self.key).distinct() if self.levels else None
+
+    def assign(self, df: DataFrame, t: str, out: str = "_cell") -> DataFrame:
+        """Add the first instant of each row's cell. The instants need not be those the cells were made from."""
+        d = self._start(df, t)
+        for heavy in self.levels:
+            d = d.join(F.broadcast(heavy.withColumn("_heavy", F.lit(1))), [self.key, "_cell", "_len"], "left")
+            part = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("_len") / FAN))
+            inside = F.col("_cell") + F.floor((F.col(t) - F.col("_cell")) / part) * part
+            d = d.withColumn("_cell", F.when(F.col("_heavy") == 1, inside).otherwise(F.col("_cell"))) \
+                .withColumn("_len", F.when(F.col("_heavy") == 1, part).otherwise(F.col("_len"))).drop("_heavy")
+        d = d.drop("_len")
+        return d if out == "_cell" else d.withColumnRenamed("_cell", out)
+
+
+def _carried(df: DataFrame, key: str, t: str, value: Column, how, out: str, forward: bool) -> DataFrame:
+    """Add ``how`` (a sum, maximum or minimum) of ``value`` over the key's strictly earlier (``forward``: later) instants:
+    inside the cell by a range frame, over the other cells by a frame over one row a cell."""
+    side = (1, Window.unboundedFollowing) if forward else (Window.unboundedPreceding, -1)
+    d = df.withColumn("_v", value)
+    inside = how("_v").over(Window.partitionBy(key, "_cell").orderBy(t).rangeBetween(*side))
+    per = d.groupBy(key, "_cell").agg(how("_v").alias("_c"))
+    per = per.withColumn("_o", how("_c").over(Window.partitionBy(key).orderBy("_cell").rowsBetween(*side))).drop("_c")
+    d = d.withColumn("_i", inside).join(per, [key, "_cell"], "left")
+    both = {F.sum: lambda: F.coalesce("_i", F.lit(0)) + F.coalesce("_o", F.lit(0)), F.max: lambda: F.greatest("_i", "_o"),
+            F.min: lambda: F.least("_i", "_o")}[how]()
+    return d.withColumn(out, both).drop("_v", "_i", "_o")
+
+
+def trailing_counts(df: DataFrame, key: str, t: str, windows: dict[str, int], bound: int) -> DataFrame:
+    """(key, t, one count per window) for every distinct instant: rows in ``[t - w, t]``. The count up to an instant less
+    the count before another one; the latter is asked by a row without weight at ``t - w``."""
+    checkpoint_dir(df.sparkSession)
+    times = df.groupBy(key, F.col(t).alias("_at")).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+    asks = [times.select(key, F.col("_at").alias("_for"), F.lit(name).alias("_name"), (F.col("_at") - w).alias("_at"), F.lit(0).cast("bigint").alias("_n"))
+            for name, w in windows.items()]
+    points = times.select(key, F.col("_at").alias("_for"), F.lit(None).cast("string").alias("_name"), "_at", "_n")
+    for a in asks:
+        points = points.unionByName(a)
+    cells = Cells(points, key, "_at", bound)
+    counted = _carried(cells.assign(points, "_at"), key, "_at", F.col("_n"), F.sum, "_before", False)
+    before = counted.where(F.col("_name").isNotNull()).groupBy(key, "_for").agg(
+        *[F.max(F.when(F.col("_name") == name, F.col("_before"))).alias(f"_w{i}") for i, name in enumerate(windows)])
+    upto = counted.where(F.col("_name").isNull()).select(key, "_for", (F.col("_before") + F.col("_n")).alias("_upto"))
+    got = upto.join(before, [key, "_for"])
+    return got.select(key, F.col("_for").alias(t), *[(F.col("_upto") - F.col(f"_w{i}")).cast("bigint").alias(name) for i, name in enumerate(windows)])
+
+
+def within(df: DataFrame, key: str, t: str, event: Column, window: int, then: Column, bound: int) -> DataFrame:
+    """(key, t, _leads, _follows) for every distinct instant. ``_leads``: an ``event`` row of the key lies in ``(t, t + window]``;
+    ``_follows``: a row with ``then`` that leads lies in ``[t - window, t)``. ``event`` and ``then`` are conditions on rows."""
+    checkpoint_dir(df.sparkSession)
+    times = df.groupBy(key, F.col(t).alias("_at")).agg(F.max(event.cast("int")).alias("_event"), F.max(then.cast("int")).alias("_then"),
+                                                       F.count(F.lit(1)).alias("_n"))
+    times = times.checkpoint()
+    d = Cells(times, key, "_at", bound).assign(times, "_at")
+    d = _carried(d, key, "_at", F.when(F.col("_event") == 1, F.col("_at")), F.min, "_next", True)
+    d = d.withColumn("_leads", F.coalesce((F.col("_next") <= F.col("_at") + window).cast("int"), F.lit(0)))
+    d = d.drop("_next").checkpoint()
+    d = _carried(d, key, "_at", F.when((F.col("_leads") == 1) & (F.col("_then") == 1), F.col("_at")), F.max, "_last", False)
+    return d.select(key, F.col("_at").alias(t), "_leads",
+                    F.coalesce((F.col("_last") >= F.col("_at") - window).cast("int"), F.lit(0)).alias("_follows"))
 
 
 @dataclass
@@ -67,6 +178,16 @@ class BucketedSequence:
                   .drop("_c"))
         return cls(ex, base, key, t, order, bucket_us)
 
+    @classmethod
+    def in_cells(cls, df: DataFrame, key: str, t: str, order, bound: int, most: int, bucket_us: int = WEEK_US) -> "BucketedSequence":
+        """Sequences without frames (lag, running sums): rows over buckets, heavy cells split (``cell_bound``)."""
+        order = tuple([order] if isinstance(order, str) else order)
+        if most > bound:
+            base = Cells(df, key, t, bound, bucket_us).assign(df, t, "_b")
+        else:
+            base = df.withColumn("_b", F.floor(F.col(t) / F.lit(bucket_us)))
+        return cls(base.withColumn("_pb", F.col("_b")).withColumn("_own", F.lit(True)), base, (key,), t, order, bucket_us)
+
     # window specs over the bucketed partitions
     def rows(self) -> Window:
         return Window.partitionBy(*self.key, "_pb").orderBy(*self.order)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import join_back
 from ..functions.exprs import finite_or_zero, flag, numeric_columns
-from ..functions.windows import DAY_US, WEEK_US, BucketedSequence
+from ..functions.windows import DAY_US, WEEK_US, BucketedSequence, Cells, cell_bound, trailing_counts
 from ..sources.tables import TX_ORDER, micros
 
 US = 1_000_000
@@ -35,18 +35,37 @@ def sequence_features(tx: DataFrame, bucket_us: int = WEEK_US,
                       windows: dict[str, int] | None = None) -> DataFrame:
     """seconds since the sender's previous transaction (first = 0)
     and trailing counts over ``[t - w, t]`` (both ends inclusive, same-time peers
-    included) for each ``name -> w`` in ``windows`` (µs)."""
+    included) for each ``name -> w`` in ``windows`` (µs). A row without a sender
+    belongs to no sequence: gap and counts are 0. Senders with more rows in a week
+    than a task should hold go through split cells (``functions.windows``)."""
     windows = {"tx_24h_window": DAY_US, "tx_1h_window": HOUR_US} if windows is None else windows
     d = tx.withColumn("_t", micros("ts"))
+    nobody = d.where(F.col("from_addr").isNull()).withColumns(
+        {**{name: F.lit(0).cast("bigint") for name in windows}, "time_since_last_tx": F.lit(0.0)}).drop("_t")
+    d = d.where(F.col("from_addr").isNotNull())
     order = ("_t",) + TX_ORDER[1:]
     back = max(windows.values()) if windows else 0
-    seq = BucketedSequence.build(d, "from_addr", "_t", order, bucket_us, back_us=back)
-    seq = seq.lag_columns(["_t"])
-    seq = seq.with_columns({name: F.count(F.lit(1)).over(seq.range(-w, 0)).cast("bigint")
-                            for name, w in windows.items()})
-    out = seq.owned()
-    gap = (F.col("_t") - F.col("prev__t")) / F.lit(float(US))
-    return out.withColumn("time_since_last_tx", F.coalesce(gap, F.lit(0.0))).drop("_t", "prev__t")
+    gap = F.coalesce((F.col("_t") - F.col("prev__t")) / F.lit(float(US)), F.lit(0.0))
+
+    def framed(rows: DataFrame) -> DataFrame:
+        seq = BucketedSequence.build(rows, "from_addr", "_t", order, bucket_us, back_us=back).lag_columns(["_t"])
+        return seq.with_columns({name: F.count(F.lit(1)).over(seq.range(-w, 0)).cast("bigint")
+                                 for name, w in windows.items()}).owned()
+
+    bound, most = cell_bound(d, "from_addr")
+    heavy = Cells(d, "from_addr", "_t", bound, bucket_us).keys() if most > bound else None
+    if heavy is None:
+        out = framed(d)
+    elif not windows:
+        out = BucketedSequence.in_cells(d, "from_addr", "_t", order, bound, most, bucket_us).lag_columns(["_t"]).owned()
+    else:
+        hot = d.join(F.broadcast(heavy), "from_addr", "left_semi")  # fewer than rows / bound senders
+        seq = BucketedSequence.in_cells(hot, "from_addr", "_t", order, bound, most, bucket_us).lag_columns(["_t"]).owned()
+        counts = trailing_counts(hot, "from_addr", "_t", windows, bound)
+        light = framed(d.join(F.broadcast(heavy), "from_addr", "left_anti"))
+        out = light.unionByName(seq.join(counts, ["from_addr", "_t"]).select(*light.columns))
+    out = out.withColumn("time_since_last_tx", gap).drop("_t", "prev__t")
+    return out.unionByName(nobody.select(*out.columns))
 
 
 def value_features(tx: DataFrame, eps: float = 1e-10) -> DataFrame:

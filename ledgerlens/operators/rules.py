@@ -12,13 +12,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import flag
 from ..functions.joins import join_back, lookup
 from ..functions.quantiles import quantile_values, small_domain_quantile
-from ..functions.windows import WEEK_US, BucketedSequence
+from ..functions.windows import WEEK_US, BucketedSequence, Cells, cell_bound, within
 from ..session import checkpoint_dir
 from ..sources.tables import TX_ORDER, micros
 
@@ -104,15 +104,35 @@ def _lit(v):
     return F.lit(v).cast("double") if v is not None else F.lit(None).cast("double")
 
 
-def sender_sequence(tx: DataFrame, window_s: int, bucket_us: int = WEEK_US) -> BucketedSequence:
-    """tx with ``_t`` (epoch µs) spread over (sender, week) partitions with enough
-    context for frames of ``window_s`` in both directions, plus the sender's
-    previous ``_t`` and ``nonce``."""
+def sender_sequence(tx: DataFrame, window_s: int, follower: Column, bucket_us: int = WEEK_US) -> DataFrame:
+    """tx (rows with a sender) with ``_t`` (epoch µs), the sender's previous ``_t`` and ``nonce``, and W4: a zero-value
+    row with a ``follower`` row of its sender in ``(t, t + window]``, or any row in the window behind such a row.
+
+    Rows are spread over (sender, week) partitions with copies of neighbouring rows for the frames; senders with more
+    rows in a week than a task should hold go through split cells instead."""
     d = tx.withColumn("_t", micros("ts"))
     order = ("_t",) + TX_ORDER[1:]
-    seq = BucketedSequence.build(d, "from_addr", "_t", order, bucket_us,
-                                 back_us=window_s * US, fwd_us=window_s * US)
-    return seq.lag_columns(["_t", "nonce"])
+    win = window_s * US
+    zero = F.col("value_eth") == 0
+
+    def framed(rows: DataFrame) -> DataFrame:
+        seq = BucketedSequence.build(rows, "from_addr", "_t", order, bucket_us, back_us=win, fwd_us=win).lag_columns(["_t", "nonce"])
+        e = seq.df.withColumn("_led", F.max(flag(follower)).over(seq.range(1, win)))
+        e = e.withColumn("_hit", flag(zero & (F.col("_led") == 1)))
+        e = e.withColumn("w4_zero_drain", F.greatest(F.col("_hit"), F.coalesce(F.max("_hit").over(seq.range(-win, -1)), F.lit(0))))
+        return e.where(F.col("_own")).drop("_own", "_pb", "_b", "_led", "_hit")
+
+    bound, most = cell_bound(d, "from_addr")
+    heavy = Cells(d, "from_addr", "_t", bound, bucket_us).keys() if most > bound else None
+    if heavy is None:
+        return framed(d)
+    hot = d.join(F.broadcast(heavy), "from_addr", "left_semi")  # fewer than rows / bound senders
+    seq = BucketedSequence.in_cells(hot, "from_addr", "_t", order, bound, most, bucket_us).lag_columns(["_t", "nonce"]).owned()
+    near = within(hot, "from_addr", "_t", follower, win, zero, bound)
+    e = seq.join(near, ["from_addr", "_t"])
+    e = e.withColumn("w4_zero_drain", F.greatest(flag(zero & (F.col("_leads") == 1)), F.col("_follows")))
+    light = framed(d.join(F.broadcast(heavy), "from_addr", "left_anti"))
+    return light.unionByName(e.select(*light.columns))
 
 
 def detect_drainers(tx: DataFrame, params: RuleParams | None = None,
@@ -122,20 +142,11 @@ def detect_drainers(tx: DataFrame, params: RuleParams | None = None,
     p = params or RuleParams.coded()
     st = stats or global_stats(tx, p)
     consts = {"_" + k: _lit(st.get(k)) for k in ("v_hi", "g_lo", "v_follow", "v_max")}
-    win = p.zero_window_s * US
-    seq = sender_sequence(tx.where(F.col("from_addr").isNotNull()), p.zero_window_s, bucket_us)
-    d = seq.df.withColumns(consts)
     if p.follower_q is not None:
-        follow_hit = F.col("_fmax") > F.col("_v_follow")
+        follower = F.col("value_eth") > consts["_v_follow"]
     else:
-        follow_hit = F.col("_fmax") >= F.lit(p.follower_min_value)
-    fwd = seq.range(1, win)
-    back = seq.range(-win, -1)
-    d = d.withColumn("_fmax", F.max("value_eth").over(fwd))
-    d = d.withColumn("_hit", flag((F.col("value_eth") == 0) & follow_hit))
-    d = d.withColumn("w4_zero_drain",
-                     F.greatest(F.col("_hit"), F.coalesce(F.max("_hit").over(back), F.lit(0))))
-    d = d.where(F.col("_own")).drop("_own", "_pb", "_b", "_fmax", "_hit")
+        follower = F.col("value_eth") >= F.lit(p.follower_min_value)
+    d = sender_sequence(tx.where(F.col("from_addr").isNotNull()), p.zero_window_s, follower, bucket_us).withColumns(consts)
 
     gap_s = (F.col("_t") - F.col("prev__t")) / F.lit(float(US))
     d = d.withColumn("_gap_s", gap_s)
@@ -280,7 +291,7 @@ def value_zscore_outliers(tx: DataFrame, threshold: float = 3.0,
     x = F.col("value_eth")
     # exact sums in integer micro-units: u = value * 1e6 as decimal(38,0)
     u = F.round(x.cast(MONEY) * F.lit(1000000)).cast("decimal(38,0)")
-    seq = BucketedSequence.build(d, "from_addr", "_t", order, bucket_us).prefix_sums(
+    seq = BucketedSequence.in_cells(d, "from_addr", "_t", order, *cell_bound(d, "from_addr"), bucket_us).prefix_sums(
         {"_n": F.when(x.isNotNull(), F.lit(1)).otherwise(F.lit(0)),
          "_s": F.coalesce(u, F.lit(0).cast("decimal(38,0)")),
          "_q": F.coalesce(F.try_multiply(u, u), F.lit(0).cast("decimal(38,0)")),
@@ -327,7 +338,7 @@ def counterparty_entropy_change(tx: DataFrame, window_size: int = 100,
     ``row_number`` (which would put a busy sender in one task)."""
     d = tx.where(F.col("from_addr").isNotNull()).withColumn("_t", micros("ts"))
     order = ("_t",) + TX_ORDER[1:]
-    seq = BucketedSequence.build(d, "from_addr", "_t", order, bucket_us).prefix_sums(
+    seq = BucketedSequence.in_cells(d, "from_addr", "_t", order, *cell_bound(d, "from_addr"), bucket_us).prefix_sums(
         {"_idx": F.lit(1)})
     d = seq.owned().withColumn("_blk", F.floor(F.col("_idx") / window_size).cast("bigint"))
     pair = d.groupBy("from_addr", "_blk", "to_addr").agg(F.count(F.lit(1)).alias("_c"))
