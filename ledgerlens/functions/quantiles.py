@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
 from .ranking import bucket_count
 
 DEFAULT_ACCURACY = 100_000
@@ -109,6 +110,44 @@ def exact_quantile_expr_table(df: DataFrame, specs: list[tuple[str, str, float]]
     return wide.unionByName(one).agg(*[F.max(n).alias(n) for n, _, _ in specs])
 
 
+#: Rows of a group whose quantiles are taken from one aggregation buffer.
+BUFFER_ROWS = 100_000
+
+
+def group_key(col: str):
+    """A group's key as a string that is never null (a null group is a group)."""
+    c = F.col(f"`{col}`")
+    return F.concat(F.when(c.isNull(), F.lit("n")).otherwise(F.lit("v")), F.coalesce(c.cast("string"), F.lit("")))
+
+
+def grouped_quantiles(df: DataFrame, by: str, col: str, probs: dict[str, float], bound: int | None = None,
+                      count: str | None = None) -> DataFrame:
+    """One row per group with exact linear quantiles of ``col`` (NaN and null left out; null without values): ``by`` and
+    one column per entry of ``probs``, with ``count`` also the group's rows. A null group is a group.
+
+    Groups of at most ``bound`` rows take one buffer each. The larger ones - fewer than rows / bound, so their
+    table is broadcast - go on together by ranks inside value bands (``exact_quantile_expr_table``), where no group
+    is held by one task."""
+    bound = BUFFER_ROWS if bound is None else bound
+    v = F.nanvl(F.col(f"`{col}`").cast("double"), F.lit(None).cast("double"))
+    d = df.select(F.col(f"`{by}`").alias(by), group_key(by).alias("_g"), v.alias("_v"))
+
+    def buffered(rows: DataFrame) -> DataFrame:
+        n = [F.count(F.lit(1)).alias(count)] if count else []
+        return rows.groupBy(by).agg(*[F.percentile("_v", q).alias(name) for name, q in probs.items()], *n)
+
+    sizes = d.groupBy("_g").agg(F.first(by).alias(by), F.count(F.lit(1)).alias("_n"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= bound:
+        return buffered(d)
+    checkpoint_dir(df.sparkSession)
+    big = sizes.where(F.col("_n") > bound).select("_g", by, F.col("_n").alias(count or "_n")).checkpoint()
+    side = F.broadcast(big.select("_g"))
+    got = exact_quantile_expr_table(d.join(side, "_g", "left_semi").select("_g", "_v"),
+                                    [(name, "_v", q) for name, q in probs.items()], by=["_g"])
+    got = big.join(got, "_g", "left").select(by, *probs, *([count] if count else []))
+    return buffered(d.join(side, "_g", "left_anti")).unionByName(got)
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: dict[str, float], **kw) -> DataFrame:
     """One-row DataFrame, one double column per entry of ``probs``."""
     return exact_quantile_expr_table(df, [(n, col, q) for n, q in probs.items()], **kw)

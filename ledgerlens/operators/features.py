@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import join_back
 from ..functions.exprs import finite_or_zero, flag, numeric_columns
+from ..functions.quantiles import grouped_quantiles
 from ..functions.windows import DAY_US, WEEK_US, BucketedSequence, Cells, cell_bound, trailing_counts
 from ..sources.tables import TX_ORDER, micros
 
@@ -82,10 +83,11 @@ def gas_features(tx: DataFrame, eps: float = 1e-10) -> DataFrame:
     """Gas price in gwei, exact block median, ratio to it, efficiency
     (``gas_used / (gas + 1)`` or the constant 0.5 without a ``gas_used`` column).
 
-    The median is a per-block exact percentile aggregated with partial
-    aggregation; its buffer holds the distinct gas prices of one block."""
+    The median is exact; a block with very many rows is not held by one buffer
+    (``grouped_quantiles``). A row without a block has no median."""
     d = tx.withColumn("gas_price_gwei", F.col("gas_price") / F.lit(1e9))
-    med = d.groupBy("block_number").agg(F.median("gas_price_gwei").alias("block_median_gas"), F.count(F.lit(1)).alias("_rows"))
+    known = d.where(F.col("block_number").isNotNull())
+    med = grouped_quantiles(known, "block_number", "gas_price_gwei", {"block_median_gas": 0.5}, count="_rows")
     d = join_back(d, med, "block_number", "_rows", ["hash"]).drop("_rows")
     d = d.withColumn("gas_price_ratio", F.col("gas_price_gwei") / (F.col("block_median_gas") + F.lit(eps)))
     if "gas_used" in tx.columns:

@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import numeric_columns
-from ..functions.quantiles import exact_quantile_expr_table
+from ..functions.quantiles import group_key, grouped_quantiles
+from ..session import checkpoint_dir
+
+
+#: Most classes whose statistics are broadcast to the rows.
+CLASS_ROWS = 10_000
 
 
 def _q(c: str) -> str:
@@ -103,16 +108,19 @@ def describe_by_class(df: DataFrame, value: str, label: str) -> DataFrame:
     base = df.groupBy(label).agg(F.count(value).alias("count"), F.avg(value).alias("mean"),
                                  F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
                                  F.max(value).alias("max"))
-    q = exact_quantile_expr_table(df, [("p25", value, 0.25), ("p50", value, 0.5), ("p75", value, 0.75)],
-                                  by=[label])
-    return base.join(q, label, "left")
+    q = grouped_quantiles(df, label, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75}).withColumnRenamed(label, "_label")
+    return base.join(q, F.col(label).eqNullSafe(F.col("_label")), "left").drop("_label")
 
 
 def box_stats(df: DataFrame, value: str, label: str, k: float = 1.5) -> DataFrame:
-    """Quartiles, IQR and whiskers (furthest values within k IQR) per class."""
-    q = exact_quantile_expr_table(df, [("q1", value, 0.25), ("median", value, 0.5),
-                                       ("q3", value, 0.75)], by=[label])
-    j = df.select(label, F.col(value).alias("_v")).join(F.broadcast(q), label)
+    """Quartiles, IQR and whiskers (furthest values within k IQR) per class; rows without a label are a class.
+    The table of classes is broadcast while it has at most ``CLASS_ROWS`` rows."""
+    checkpoint_dir(df.sparkSession)
+    q = grouped_quantiles(df, label, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}).checkpoint()
+    few = q.count() <= CLASS_ROWS
+    q = q.select(group_key(label).alias("_g"), "q1", "median", "q3")
+    q = F.broadcast(q) if few else q
+    j = df.select(label, group_key(label).alias("_g"), F.col(value).alias("_v")).join(q, "_g").drop("_g")
     iqr = F.col("q3") - F.col("q1")
     return j.groupBy(label, "q1", "median", "q3").agg(
         F.min(F.when(F.col("_v") >= F.col("q1") - k * iqr, F.col("_v"))).alias("whisker_low"),

@@ -130,3 +130,51 @@ def test_entropy_change_by_block(spark):
     assert out[0]["entropy"] == pytest.approx(0.0) and out[0]["entropy_change"] is None
     assert out[1]["entropy"] == pytest.approx(math.log(2))
     assert out[1]["entropy_change"] == pytest.approx(math.log(2)) and out[1]["r5_entropy_shift"] == 1
+
+
+@pytest.mark.parametrize("bound", [10**9, 500, 10])
+def test_groups_of_every_size_and_null_groups(spark, bound):
+    """One group holds a third of all rows, some are tiny, some rows have no group, some no value."""
+    from ledgerlens.functions.quantiles import grouped_quantiles
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(3000):
+        g = "hot" if i % 3 == 0 else None if i % 11 == 1 else f"g{i % 400}" if i % 5 else "n"
+        v = None if i % 17 == 0 else float("nan") if i % 19 == 0 else float(rng.integers(0, 40)) / 4
+        rows.append((g, v))
+    rows += [("empty", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r for r in grouped_quantiles(df, "g", "v", {"a": 0.5, "b": 0.9}, bound=bound, count="n").collect()}
+    groups = {}
+    for g, v in rows:
+        groups.setdefault(g, []).append(v)
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        real = [v for v in vs if v is not None and v == v]
+        assert got[g]["n"] == len(vs)
+        for name, q in (("a", 50), ("b", 90)):
+            assert got[g][name] is None if not real else got[g][name] == pytest.approx(np.percentile(real, q))
+
+
+def test_classes_without_a_label_have_quartiles(spark):
+    from ledgerlens.operators import profile as P
+    df = spark.createDataFrame([(None if i % 3 == 0 else i % 3, float(i)) for i in range(90)], "y int, v double")
+    d = {r["y"]: r for r in P.describe_by_class(df, "v", "y").collect()}
+    b = {r["y"]: r for r in P.box_stats(df, "v", "y").collect()}
+    assert set(d) == set(b) == {None, 1, 2}
+    for y, r in d.items():
+        vs = [float(i) for i in range(90) if i % 3 == (y or 0)]
+        assert (r["count"], r["p25"], r["p50"], r["p75"]) == (30, *np.percentile(vs, [25, 50, 75]))
+        assert (b[y]["q1"], b[y]["median"], b[y]["whisker_low"], b[y]["whisker_high"]) == (r["p25"], r["p50"], vs[0], vs[-1])
+
+
+def test_one_block_with_a_third_of_the_rows(spark, monkeypatch):
+    from ledgerlens.functions import quantiles as Q
+    from ledgerlens.operators import features as FE
+    monkeypatch.setattr(Q, "BUFFER_ROWS", 20)
+    rows = [dict(from_addr="a", t=i, block=7 if i % 3 == 0 else i // 5, gas_price=1_000_000_000 + (i * 37) % 101 * 1_000_000) for i in range(300)]
+    got = FE.gas_features(tx_rows(spark, rows)).collect()
+    blocks = {}
+    for r in got:
+        blocks.setdefault(r["block_number"], []).append(r["gas_price"] / 1e9)
+    assert len(got) == 300 and all(r["block_median_gas"] == pytest.approx(np.median(blocks[r["block_number"]])) for r in got)
