@@ -43,7 +43,7 @@ def row_number_by(df: DataFrame, order: list[str], by: list[str] | None = None,
                       if dict(df.dtypes)[first].startswith("timestamp") else F.col(first).cast("double"))
     qs = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(v for v in d.approxQuantile(key, qs, rel_err) if v is not None))
-    splits = [-float("inf")] + cuts + [float("inf")]
+    splits = [-float("inf")] + (cuts or [0.0]) + [float("inf")]
     d = Bucketizer(splits=splits, inputCol=key, outputCol="_bk", handleInvalid="keep").transform(d)
     d = d.withColumn("_bk", F.coalesce("_bk", F.lit(-1.0)))  # nulls sort before all values
     cnt = d.groupBy(*by, "_bk").agg(F.count(F.lit(1)).alias("_c"))

@@ -91,7 +91,7 @@ def cumulative_by_order(df: DataFrame, order: str, sums: list[str], descending:
     rel_err = min(0.001, 0.5 / buckets)
     qs = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(v for v in df.approxQuantile(order, qs, rel_err) if v is not None))
-    splits = [-float("inf")] + cuts + [float("inf")]
+    splits = [-float("inf")] + (cuts or [0.0]) + [float("inf")]
     d = df.withColumn("_o", F.col(order).cast("double"))
     d = Bucketizer(splits=splits, inputCol="_o", outputCol="_bk", handleInvalid="keep").transform(d)
     sign = -1 if descending else 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import communities as C
 from ..operators import graph as G
 from ..operators import rules as R
 from ..sources.tables import scam_seed, tx_view
@@ -241,6 +242,54 @@ def q_communities(spark, sf):
     return G.label_propagation(_edges(spark, sf))
 
 
+# A view of all transactions with a planted partition: a receiver is taken from its sender's group (one of GROUPS),
+# but for one transaction in sixteen, by an MD5 digit of the hash.
+GROUPS = 8
+MOVES = 6
+
+
+def planted_edges(spark, sf):
+    tx = tx_view(spark, sf)
+    stray = F.substring(F.md5("hash"), 1, 1) == "0"
+    home = F.col("to_addr") - F.col("to_addr") % GROUPS + F.col("from_addr") % GROUPS
+    return G.build_edges(tx.withColumn("to_addr", F.when(stray, F.col("to_addr")).otherwise(home)))
+
+
+def _moving_sql(rounds: int = MOVES) -> str:
+    parts = [f"""pe AS MATERIALIZED (SELECT DISTINCT from_addr AS a, CASE WHEN md5(hash)[1] = '0' THEN to_addr
+             ELSE to_addr - to_addr % {GROUPS} + from_addr % {GROUPS} END AS b FROM tx),
+  pu AS MATERIALIZED (SELECT a AS u, b AS v FROM pe WHERE a != b UNION SELECT b, a FROM pe WHERE a != b),
+  pm AS (SELECT count(*)::HUGEINT AS m2 FROM pu),
+  pk AS MATERIALIZED (SELECT n.node, (SELECT count(*) FROM pu WHERE pu.u = n.node)::HUGEINT AS k, md5(n.node::VARCHAR)[1] >= '8' AS half
+                      FROM (SELECT a AS node FROM pe UNION SELECT b FROM pe) n),
+  c0 AS MATERIALIZED (SELECT node, k, half, node AS c FROM pk)"""]
+    for i in range(1, rounds + 1):
+        p = f"c{i - 1}"
+        parts.append(f"""o{i} AS MATERIALIZED (SELECT n.node, n.c, n.k, x.cv, max(x.wc) AS wc FROM {p} n JOIN (
+      SELECT pu.u, q.c AS cv, count(*) AS wc FROM pu JOIN {p} q ON pu.v = q.node GROUP BY ALL UNION ALL SELECT node, c, 0 FROM {p}) x
+      ON x.u = n.node WHERE n.half = {'true' if i % 2 == 0 else 'false'} GROUP BY ALL),
+  g{i} AS MATERIALIZED (SELECT o.node, o.c, o.cv, m2 * o.wc - o.k * (s.kc - CASE WHEN o.cv = o.c THEN o.k ELSE 0 END) AS gain
+      FROM o{i} o JOIN (SELECT c, sum(k) AS kc FROM {p} GROUP BY c) s ON s.c = o.cv, pm),
+  b{i} AS MATERIALIZED (SELECT node, arg_min(cv, (-gain, cv)) AS best, max(gain) AS top, max(CASE WHEN cv = c THEN gain END) AS own FROM g{i} GROUP BY node),
+  c{i} AS MATERIALIZED (SELECT p.node, p.k, p.half, CASE WHEN b.top > b.own THEN b.best ELSE p.c END AS c FROM {p} p LEFT JOIN b{i} b ON b.node = p.node)""")
+    return ",\n  ".join(parts)
+
+
+@register("local_moving_fixed", with_tx(_moving_sql() + f""",
+  z AS (SELECT c, count(*) AS community_size, min(node) AS low FROM c{MOVES} GROUP BY c),
+  r AS (SELECT c, community_size, CAST(row_number() OVER (ORDER BY community_size DESC, low) - 1 AS INTEGER) AS community_id FROM z)
+  SELECT node AS address, community_id, CAST(community_size AS BIGINT) AS community_size FROM c{MOVES} JOIN r USING (c)"""))
+def q_local_moving(spark, sf):
+    """Six rounds of local moving on the planted view (comparable with an unrolled SQL form)."""
+    return C.local_communities(planted_edges(spark, sf), MOVES)
+
+
+@register("communities_modularity")
+def q_communities_modularity(spark, sf):
+    """Communities of the planted view by local moving and contraction until no gain."""
+    return C.modularity_communities(planted_edges(spark, sf))
+
+
 @register("betweenness")
 def q_betweenness(spark, sf):
     """Directed betweenness; all nodes as pivots up to 1000 nodes, else 1000
