@@ -10,6 +10,8 @@ nothing, so the shuffle join deals them evenly.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,14 @@ from ..session import checkpoint_dir
 HEAVY_PARTS = 1000
 
 
+def land(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet below the shared checkpoint directory and read back: what is read by an aggregate
+    and again by the join of its result is computed once, and lineage ends here."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _zero(key: str):
     """0 for every row, in a form that is not folded: a literal would stop being a join key."""
     return F.pmod(F.xxhash64(key), F.lit(1)).cast("int")

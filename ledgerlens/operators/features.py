@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import join_back
+from ..functions.joins import join_back, land
 from ..functions.exprs import finite_or_zero, flag, numeric_columns
 from ..functions.quantiles import grouped_quantiles
 from ..functions.windows import DAY_US, WEEK_US, BucketedSequence, Cells, cell_bound, trailing_counts
@@ -79,14 +79,16 @@ def value_features(tx: DataFrame, eps: float = 1e-10) -> DataFrame:
             .withColumn("is_zero_value", flag(F.col("value_eth") == 0)))
 
 
-def gas_features(tx: DataFrame, eps: float = 1e-10) -> DataFrame:
+def gas_features(tx: DataFrame, eps: float = 1e-10, base: DataFrame | None = None) -> DataFrame:
     """Gas price in gwei, exact block median, ratio to it, efficiency
     (``gas_used / (gas + 1)`` or the constant 0.5 without a ``gas_used`` column).
 
     The median is exact; a block with very many rows is not held by one buffer
-    (``grouped_quantiles``). A row without a block has no median."""
-    d = tx.withColumn("gas_price_gwei", F.col("gas_price") / F.lit(1e9))
-    known = d.where(F.col("block_number").isNotNull())
+    (``grouped_quantiles``). A row without a block has no median. ``base``: a plain
+    table with the same blocks and prices, which the medians are taken from."""
+    gwei = F.col("gas_price") / F.lit(1e9)
+    d = tx.withColumn("gas_price_gwei", gwei)
+    known = (tx if base is None else base).select("block_number", gwei.alias("gas_price_gwei")).where(F.col("block_number").isNotNull())
     med = grouped_quantiles(known, "block_number", "gas_price_gwei", {"block_median_gas": 0.5}, count="_rows")
     d = join_back(d, med, "block_number", "_rows", ["hash"]).drop("_rows")
     d = d.withColumn("gas_price_ratio", F.col("gas_price_gwei") / (F.col("block_median_gas") + F.lit(eps)))
@@ -95,15 +97,18 @@ def gas_features(tx: DataFrame, eps: float = 1e-10) -> DataFrame:
     return d.withColumn("gas_efficiency", F.lit(0.5))
 
 
-def sender_behaviour(tx_seq: DataFrame, burst_min: int = 10) -> DataFrame:
+def sender_behaviour(tx_seq: DataFrame, burst_min: int = 10, landed: bool = False) -> DataFrame:
     """F5a, F5b, F14, F16, F18a, F18b on the output of ``sequence_features``:
-    one ``groupBy(sender)`` joined back (busy senders by broadcast)."""
+    one ``groupBy(sender)`` joined back (busy senders by broadcast). ``landed``: the
+    rows are a plain table already."""
     agg = [F.count_distinct("to_addr").cast("bigint").alias("unique_receivers"),
            F.avg("time_since_last_tx").alias("tx_interval_mean"),
            F.coalesce(F.avg(F.nullif(F.col("time_since_last_tx"), F.lit(0.0))), F.lit(0.0))
            .alias("tx_interval_mean_nonzero"), F.count(F.lit(1)).alias("_rows")]
     if "is_error" in tx_seq.columns:
         agg.append((1 - F.avg("is_error")).alias("tx_success_rate"))
+    if not landed:
+        tx_seq = land(tx_seq)  # gaps come from sorted sequences: not again for the join
     per = tx_seq.groupBy("from_addr").agg(*agg)
     d = join_back(tx_seq, per, "from_addr", "_rows", ["hash"]).drop("_rows")
     if "is_error" not in tx_seq.columns:
@@ -118,6 +123,7 @@ def counterparty_aggregates(tx: DataFrame) -> DataFrame:
     ``counterparty_entropy`` is the receiver/transaction ratio of the original."""
     if "gas_cost_eth" not in tx.columns:
         tx = tx.withColumn("gas_cost_eth", F.col("gas") * F.col("gas_price") / F.lit(1e18))
+    tx = land(tx)  # read by two aggregates and by the join
     drainer = F.col("suspected_drainer") if "suspected_drainer" in tx.columns else F.lit(0)
     snd = tx.where(F.col("from_addr").isNotNull()).groupBy("from_addr").agg(
         F.count("hash").alias("sender_tx_count"),
@@ -162,11 +168,9 @@ def clean_matrix(df: DataFrame, keep: tuple[str, ...] = TRACKING) -> DataFrame:
 
 def feature_matrix(tx: DataFrame, bucket_us: int = WEEK_US) -> DataFrame:
     """calendar, sequence, value, gas and behaviour features, then C5/C6."""
-    d = calendar_features(tx)
-    d = sequence_features(d, bucket_us)
-    d = value_features(d)
-    d = gas_features(d)
-    d = sender_behaviour(d).drop("tx_interval_mean_nonzero", "rapid_followup_flag")
+    rows = land(sequence_features(value_features(calendar_features(tx)), bucket_us))
+    d = gas_features(sender_behaviour(rows, landed=True), base=rows)
+    d = d.drop("tx_interval_mean_nonzero", "rapid_followup_flag")
     return clean_matrix(d)
 
 
@@ -177,7 +181,7 @@ def feature_matrix_alt(tx: DataFrame, bucket_us: int = WEEK_US) -> DataFrame:
     from .cleaning import clean_transactions
     d = clean_transactions(tx)
     d = calendar_features(d)
-    d = sequence_features(d, bucket_us, windows={})
+    d = land(sequence_features(d, bucket_us, windows={}))
     per = d.groupBy("from_addr").agg(
         F.coalesce(F.avg(F.nullif(F.col("time_since_last_tx"), F.lit(0.0))), F.lit(0.0))
         .alias("tx_interval_mean"), F.count(F.lit(1)).alias("_rows"))

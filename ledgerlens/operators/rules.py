@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import flag
-from ..functions.joins import join_back, lookup
+from ..functions.joins import join_back, land, lookup
 from ..functions.quantiles import quantile_values, small_domain_quantile
 from ..functions.windows import WEEK_US, BucketedSequence, Cells, cell_bound, within
 from ..session import checkpoint_dir
@@ -169,7 +169,8 @@ def detect_drainers(tx: DataFrame, params: RuleParams | None = None,
               & (F.try_divide(F.col("value_eth"), gas_cost) >= p.min_value_to_gas))
     d, nobody = d.withColumn("w2_value_gas", flag(w2)), nobody.withColumn("w2_value_gas", flag(w2))
 
-    # Sender-level aggregates, joined back
+    # Sender-level aggregates, joined back to the rows they come from
+    d = land(d.drop(*consts, "prev__t", "prev_nonce", "_t"))
     per_sender = d.groupBy("from_addr").agg(
         F.count(F.lit(1)).alias("sender_rows"),
         F.count_if(F.col("_gap_s") < p.burst_gap_s).alias("_rapid"),
