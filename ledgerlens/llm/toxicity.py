@@ -1,69 +1,65 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one trained on what is
-typical of toxic text and one on what is typical of ordinary text.
-
-Words are written as 32-byte codes before compression, so that only whole words
-match and nothing else compresses: a dictionary hit saves the same bytes wherever
-it happens. A text is cut into windows of words; each window is compressed with
-either dictionary. Where the toxic dictionary needs fewer bytes, the window leans
-toxic. The sums of these differences, the largest one and the length of the text
-go through a logistic curve fitted on the training rows.
-
-A class's dictionary is trained on windows of its typical words: those in at least
-``min_rows`` of its training texts that are significantly more frequent than in the other class
-(likelihood ratio of the two counts, ``max_chance`` over all words tested) and ``min_ratio`` times
-as often. Where these are few, up to ``min_words`` significant ones that lean by ``least_lean`` (log ratio)
-are taken, the most one-sided first. Any number of words makes a dictionary; only a class without
-typical words has an empty one.
-
-Training reads labelled rows only, at most ``fit_rows`` a class (those with the
-smallest MD5 of their id); equal texts count once. The fitted curve is shifted from the sample's
-class balance to that of all training labels. Scoring reads every whole text.
-
-Rules: null and empty texts score like a text without words; a null or absent
-label is no training row; without training rows of both classes the score is 0
-everywhere; repeated rows agree; an empty table gives no rows.
+"""Toxicity by compression distance: one zstandard dictionary trained on toxic text, one on ordinary text.
+
+A text is read as its overlapping runs of three characters (lower case), each written as an 8-byte
+code, so that a stretch of text known to a dictionary becomes one short match and unknown text stays
+incompressible, in any script. Windows of neighbouring codes are compressed with either dictionary;
+a window that the toxic dictionary shortens by ``noise_bytes`` or more beyond the ordinary one leans
+toxic. The sums of these differences at three thresholds, the largest one and the number of windows go
+through a logistic curve fitted on training rows that the dictionaries were not trained on.
+
+Training, all by compression:
+
+1. The ordinary dictionary is trained on windows of one half of the ordinary texts.
+2. Toxic texts are dealt into two halves; each half's passages that the ordinary dictionary shortens
+   least make a first dictionary (some as they are, and what training finds in all of them).
+3. Rounds: passages of a toxic half that lean under the *other* half's dictionary recur across texts:
+   they train the next dictionaries. Ordinary passages that lean toxic train an addition to the
+   ordinary dictionary. Rounds end when hardly any ordinary passage leans and no more toxic ones do.
+4. The toxic dictionary is made of the passages of both halves that still lean, each taken unless what
+   was taken before shortens it already, in front of the ordinary dictionary's content, so that text
+   known to both costs the same.
+
+Training reads labelled rows only, at most ``fit_rows`` a class (those with the smallest MD5 of their
+id), and takes at most ``samples`` passages a step (those with the smallest hash); equal texts count
+once. The fitted curve is shifted from the sample's class balance to that of all training labels.
+Scoring reads every whole text.
+
+Rules: null and empty texts score like a text without windows; a null or absent label is no
+training row; without training rows of both classes the score is 0 everywhere; repeated rows agree;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import pieces
 from .common import column, landed
+from .words import U, mix
 
-#: Runs of letters, digits and non-ASCII characters.
-WORD = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
-CODE_MEMO = 300_000
-
-
-def code_of(word: str) -> bytes:
-    """32 bytes that stand for a word; long enough that one dictionary hit shortens a whole window."""
-    raw = word.encode("utf-8", "surrogatepass")
-    return xxhash.xxh128_digest(raw) + xxhash.xxh128_digest(raw, 1)
+GRAM = 3
+CHUNK = 1 << 18
 
 
 @dataclass(frozen=True)
 class Params:
-    fit_rows: int = 20_000
-    window_words: int = 16
-    min_rows: int = 4
-    max_chance: float = 0.01
-    min_ratio: float = 20.0
-    min_words: int = 16
-    least_lean: float = 0.7
-    max_words: int = 50_000
-    noise_bytes: int = 3
+    fit_rows: int = 5_000
+    window: int = 64
+    passage: int = 12
+    noise_bytes: int = 10
+    step_bytes: int = 8
+    samples: int = 20_000
+    ordinary_bytes: int = 1 << 19
+    addition_bytes: int = 1 << 17
+    toxic_bytes: int = 1 << 15
+    rounds: int = 10
+    least_share: float = 0.001
 
 
 @dataclass(frozen=True)
@@ -74,53 +70,90 @@ class Model:
     params: Params = Params()
 
 
-class Codes:
-    """word -> code, with a bounded memo."""
-
-    def __init__(self):
-        self.memo: dict[str, bytes] = {}
-
-    def of(self, text: str) -> list[bytes]:
-        out = []
-        for piece in pieces(text.lower()):
-            words = WORD.findall(piece)
-            got = list(map(self.memo.get, words))
-            if None in got:
-                if len(self.memo) > CODE_MEMO:
-                    self.memo.clear()
-                for i, code in enumerate(got):
-                    if code is None:
-                        got[i] = self.memo[words[i]] = code_of(words[i])
-            out += got
-        return out
+def windows(text: str, width: int) -> Iterator[bytes]:
+    """Codes of the text's three-character runs (spaces around it), ``width`` at a time."""
+    text = text.lower()
+    n = len(text) + 1 if text else 0  # one run ends at every character and at the space behind the last
+    step = CHUNK // width * width
+    for a in range(0, n, step):
+        part = text[max(0, a - GRAM + 1):a + step]
+        part = " " * max(0, GRAM - 1 - a) + part + (" " if a + step >= n else "")
+        c = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        m = len(c) - GRAM + 1
+        h = np.zeros(m, np.uint64)
+        for i in range(GRAM):
+            h = mix(h * U(31) + c[i:m + i] + U(i + 1))
+        raw = h.tobytes()
+        for i in range(0, len(raw), 8 * width):
+            yield raw[i:i + 8 * width]
 
 
 def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
-    """Matches of the dictionary shorten the output, everything else stays as long as it is."""
-    p = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_FAST, target_length=1, min_match=6, hash_log=17,
-                                            window_log=21, write_content_size=False, write_checksum=False, write_dict_id=False)
-    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary), compression_params=p)
-
-
-def features(codes: list[bytes], toxic, ordinary, p: Params) -> tuple[int, int, int]:
-    """(sum of leaning windows, largest difference, words)."""
-    total = top = 0
-    for i in range(0, len(codes), p.window_words):
-        window = b"".join(codes[i:i + p.window_words])
-        d = len(ordinary.compress(window)) - len(toxic.compress(window))
-        if d > p.noise_bytes:
+    """Chains of candidates, so that what a long dictionary holds is found."""
+    p = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, hash_log=20, chain_log=20, search_log=4, min_match=6,
+                                            window_log=22, write_content_size=False, write_checksum=False, write_dict_id=False)
+    data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None
+    return zstandard.ZstdCompressor(dict_data=data, compression_params=p)
+
+
+def train(passages: list[bytes], size: int) -> bytes:
+    """Dictionary content: what recurs in the passages, the most frequent last; few passages as they are."""
+    if not passages:
+        return b""
+    limit = max(1024, min(size, sum(map(len, passages)) // 4))
+    try:
+        return zstandard.train_dictionary(limit, passages, k=48, d=8, f=20, accel=1).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(passages))[:size]
+
+
+def covering(passages: list[bytes], size: int, noise: int) -> bytes:
+    """Dictionary content that shortens the passages by ``noise`` bytes or more, as far as ``size`` goes: a passage that
+    what was taken before does not shorten is taken. What recurs is taken about once."""
+    taken: list[bytes] = []
+    fresh = used = 0
+    plain = known = compressor(b"")
+    for w in passages:
+        if used + len(w) > size:
+            break
+        if len(plain.compress(w)) - len(known.compress(w)) < noise:
+            taken.append(w)
+            used += len(w)
+            fresh += 1
+            if fresh * 8 >= len(taken):
+                known, fresh = compressor(b"".join(taken)), 0
+    return b"".join(taken)
+
+
+#: What is measured of a text: sums of the differences from each threshold on, the largest difference, windows.
+FEATURES = ("total", "more", "most", "top", "n_windows")
+
+
+def features(text: str, toxic, ordinary, p: Params) -> tuple[int, ...]:
+    a, b, c = (p.noise_bytes + k * p.step_bytes for k in range(3))
+    total = more = most = top = n = 0
+    for w in windows(text, p.window):
+        d = len(ordinary.compress(w)) - len(toxic.compress(w))
+        n += 1
+        if d >= a:
             total += d
-        top = max(top, d)
-    return total, top, len(codes)
+            if d >= b:
+                more += d
+            if d >= c:
+                most += d
+        if d > top:
+            top = d
+    return total, more, most, top, n
 
 
-def _design(total, top, n) -> np.ndarray:
-    total, top, n = (np.asarray(x, float) for x in (total, top, n))
-    return np.stack([np.ones(len(n)), np.log1p(total), np.log1p(top), np.log1p(n), np.minimum(total, 128) / 32], axis=1)
+def _design(columns, p: Params) -> np.ndarray:
+    total, more, most, top, n = (np.asarray(x, float) for x in columns)
+    return np.stack([np.ones(len(n)), np.log1p(n), *(np.minimum(x, 96) / 32 for x in (total, more, most)),
+                     np.clip(top - p.noise_bytes, 0, 48) / 16], axis=1)
 
 
-def scores(model: Model, total, top, n) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(_design(total, top, n) @ np.array(model.weights), -30, 30)))
+def scores(model: Model, columns) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(_design(columns, model.params) @ np.array(model.weights), -30, 30)))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -134,31 +167,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return w
 
 
-def train_dictionary(words: list[tuple[str, int]]) -> bytes:
-    """A dictionary from windows of typical words; ``words`` with their numbers of texts."""
-    codes = [code_of(w) for w, _ in words]
-    rng = np.random.default_rng(7)
-    samples = []
-    for _ in range(max(8, 200 // max(1, len(codes)))):
-        order = rng.permutation(len(codes))
-        samples += [b"".join(codes[j] for j in order[i:i + 4]) for i in range(0, len(codes), 4)]
-    try:
-        trained = zstandard.train_dictionary(40 * len(codes) + 1024, samples, k=32, d=8, steps=1).as_bytes()
-    except zstandard.ZstdError:  # too few words to train on; the codes alone are a dictionary, too
-        trained = b""
-    return trained + b"".join(c for c in codes if c not in trained)  # the content ends the dictionary, so words it left out can follow
+# ---------------------------------------------------------------- training
 
+#: Parts of the training rows: ordinary texts for dictionaries and for the curve, the halves of the toxic ones.
+ORDINARY, CURVE, FIRST, SECOND = range(4)
 
-def likelihood_ratio(t: Column, o: Column, nt: int, no: int) -> Column:
-    """Of the counts ``t`` and ``o`` against equal shares of ``nt`` and ``no`` texts (chi-square, one degree of freedom)."""
-    def part(n: Column, share: float) -> Column:
-        return F.when(n > 0, n * F.log(n / ((t + o) * share))).otherwise(0.0)
 
-    return 2 * (part(t, nt / (nt + no)) + part(o, no / (nt + no)))
-
-
-def fit(docs: DataFrame, known: DataFrame, p: Params = Params()) -> Model | None:
-    """Fit on ``docs`` (doc_id, text) whose ids ``known`` (doc_id, toxic) labels, at most ``fit_rows`` a class."""
+def training_rows(docs: DataFrame, known: DataFrame, p: Params) -> tuple[DataFrame, dict[int, int]] | None:
+    """(doc_id, text, part) of the chosen labelled texts, and how many labels each class has."""
     order = F.md5(F.col("doc_id").cast("string"))
     known = landed(known.filter("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct(), "toxicity-labels")
     total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -166,58 +182,112 @@ def fit(docs: DataFrame, known: DataFrame, p: Params = Params()) -> Model | None
         return None
     one = [known.filter(F.col("toxic") == c).orderBy(order, "doc_id").limit(p.fit_rows) for c in (0, 1)]
     chosen = landed(one[0].unionByName(one[1]), "toxicity-ids")  # at most 2 * fit_rows rows, so broadcast is safe
-    rows = landed(docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
+    rows = landed(docs.select("doc_id", "text").filter("text is not null and text != ''").join(F.broadcast(chosen), "doc_id")
                   .withColumn("t", F.xxhash64("text")), "toxicity-texts")
     firsts = landed(rows.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")), "toxicity-firsts")
-    picked = landed(rows.drop("toxic").join(F.broadcast(firsts), ["t", "doc_id"]).select("doc_id", "text", "toxic"), "toxicity-rows")
-    count = {r["toxic"]: r["n"] for r in picked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(count) < 2:
-        return None
+    # Equal texts go one way, by their hash; so do the halves.
+    part = 2 * F.col("toxic") + F.pmod(F.xxhash64("t", F.lit(1)), F.lit(2))
+    picked = landed(rows.drop("toxic").join(F.broadcast(firsts), ["t", "doc_id"]).select("doc_id", "text", part.cast("int").alias("part"))
+                    .dropDuplicates(["doc_id", "text"]), "toxicity-rows")
+    return picked, total
+
 
-    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def passages(rows: DataFrame, width: int, ordinary: bytes = b"", toxic: dict[int, bytes] | None = None) -> DataFrame:
+    """(part, raw, cost, lean) of every passage of ``rows``: its compressed share under the ordinary dictionary, and the bytes that
+    the part's toxic dictionary saves beyond it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = compressor(ordinary)
+        other = {k: compressor(d + ordinary) for k, d in (toxic or {}).items()}
         for b in batches:
-            for text, toxic in zip(column(b, "text"), column(b, "toxic").to_pylist()):
-                words = sorted({w for piece in pieces(text.as_py().lower()) for w in WORD.findall(piece) if len(w) <= 64})
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([toxic] * len(words), pa.int32())], names=["word", "toxic"])
-
-    by_word = picked.select("text", "toxic").mapInArrow(distinct_words, "word string, toxic int").groupBy("word").agg(
-        F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
-    nt, no = count[1], count[0]
-    lean = F.log((F.col("t") + 0.5) / nt) - F.log((F.col("o") + 0.5) / no)
-    by_word = landed(by_word.withColumn("lean", lean).withColumn("g", likelihood_ratio(F.col("t"), F.col("o"), nt, no))
-                     .filter((F.col("t") >= p.min_rows) | (F.col("o") >= p.min_rows)), "toxicity-words")
-    least = NormalDist().inv_cdf(1 - p.max_chance / max(1, by_word.count())) ** 2  # one-sided, over all words tested
-
-    def typical(sign: int, mine: str, other: str, n_mine: int, n_other: int) -> bytes:
-        sure = (F.col(mine) >= p.min_rows) & (F.col("g") >= least) & (F.col(mine) * n_other > F.col(other) * n_mine)
-        enough = by_word.filter(sure).orderBy((-sign * F.col("lean")), "word")
-        one_sided = F.col(mine) / n_mine > p.min_ratio * (F.col(other) + 0.5) / n_other
-        words = [(r["word"], r[mine], r["keep"], sign * r["lean"]) for r in enough.withColumn("keep", one_sided).limit(p.max_words).collect()]
-        kept = [(w, n) for i, (w, n, keep, lean) in enumerate(words) if keep or i < p.min_words and lean > p.least_lean]
-        return train_dictionary(kept) if kept else b"\0" * 64
-
-    toxic = typical(1, "t", "o", nt, no)
-    ordinary = typical(-1, "o", "t", no, nt)
-    draft = Model(toxic, ordinary, (), p)
-    got = measured(picked, draft).select("total", "top", "n_words", "toxic").toPandas()  # at most 2 * fit_rows rows of four numbers
-    weights = fit_logistic(_design(got["total"], got["top"], got["n_words"]), got["toxic"].to_numpy(float))
-    weights[0] += np.log(total[1] / total[0]) - np.log(nt / no)  # the classes weigh as among all labels
+            out: list[list] = [[], [], [], []]
+            for text, part in zip(column(b, "text"), column(b, "part").to_pylist()):
+                for w in windows(text.as_py(), width):
+                    base = len(plain.compress(w))
+                    for col, x in zip(out, (part, w, base / len(w), base - len(other[part].compress(w)) if part in other else 0)):
+                        col.append(x)
+                if len(out[0]) > 20_000:
+                    yield _passage_batch(out)
+                    out = [[], [], [], []]
+            yield _passage_batch(out)
+
+    return rows.select("text", "part").mapInArrow(run, "part int, raw binary, cost double, lean long")
+
+
+def _passage_batch(out: list[list]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.binary(), pa.float64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["part", "raw", "cost", "lean"])
+
+
+def _taken(rows: DataFrame, limit: int, *order) -> list[bytes]:
+    """At most ``limit`` passages in an order that ends with their hash."""
+    return [bytes(r["raw"]) for r in rows.orderBy(*order, F.xxhash64("raw"), "raw").limit(limit).select("raw").collect()]
+
+
+def fit(docs: DataFrame, known: DataFrame, p: Params = Params()) -> Model | None:
+    """Fit on ``docs`` (doc_id, text) whose ids ``known`` (doc_id, toxic) labels, at most ``fit_rows`` a class."""
+    got = training_rows(docs, known, p)
+    if got is None:
+        return None
+    rows, total = got
+    count = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not (count.get(FIRST, 0) + count.get(SECOND, 0) and count.get(ORDINARY, 0) + count.get(CURVE, 0)):
+        return None
+    part = F.col("part")
+    ordinary = train(_taken(passages(rows.filter(part == ORDINARY), p.window), p.samples), p.ordinary_bytes)
+    dear = landed(passages(rows.filter(part >= FIRST), p.passage, ordinary), "toxicity-passages")
+    n_half = {r["part"]: r["n"] for r in dear.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    half = {}
+    for k in (FIRST, SECOND):
+        dearest = _taken(dear.filter(part == k), max(200, min(p.samples, n_half.get(k, 0) // 4)), F.col("cost").desc())
+        half[k] = b"".join(dearest)[:2 * p.toxic_bytes] + train(dearest, p.toxic_bytes)
+    leaning: dict[int, list[bytes]] = {}
+    before = None
+    for _ in range(p.rounds):
+        other = {FIRST: half[SECOND], SECOND: half[FIRST], ORDINARY: half[FIRST] + half[SECOND]}
+        found = landed(passages(rows.filter(part != CURVE), p.passage, ordinary, other)
+                       .groupBy("part", "raw").agg(F.count(F.lit(1)).alias("n"), F.max("lean").alias("lean")), "toxicity-round")
+        hits = found.filter(F.col("lean") >= p.noise_bytes)
+        # A passage counts as often as it comes, so that training sees what recurs.
+        often = hits.select("part", F.explode(F.array_repeat("raw", F.least("n", F.lit(1000)).cast("int"))).alias("raw"))
+        leaning = {k: _taken(often.filter(part == k), p.samples) for k in (FIRST, SECOND)}
+        astray = _taken(often.filter(part == ORDINARY), p.samples)
+        size = found.filter(part == ORDINARY).agg(F.sum("n"), F.sum(F.when(F.col("lean") >= p.noise_bytes, F.col("n")).otherwise(0))).first()
+        share = (size[1] or 0) / (size[0] or 1)
+        n_leaning = len(leaning[FIRST]) + len(leaning[SECOND])
+        clean = share < p.least_share or not astray or (before is not None and share > 0.95 * before[0])
+        if clean and before is not None and n_leaning < 1.05 * before[1]:
+            break
+        before = share, n_leaning
+        if share >= p.least_share:
+            ordinary = train(astray, p.addition_bytes) + ordinary
+        half = {k: covering(leaning[k], p.toxic_bytes, p.noise_bytes) for k in (FIRST, SECOND)}
+    toxic = covering(leaning[FIRST] + leaning[SECOND], 2 * p.toxic_bytes, p.noise_bytes)
+    # The curve: toxic halves under the dictionary of the other half, ordinary texts that no dictionary was trained on.
+    toxic_of = {FIRST: covering(leaning[SECOND], p.toxic_bytes, p.noise_bytes), SECOND: covering(leaning[FIRST], p.toxic_bytes, p.noise_bytes), CURVE: toxic}
+    shown = rows.filter(part != ORDINARY) if count.get(CURVE) else rows
+    got = measured(shown, Model(toxic, ordinary, (), p), {**toxic_of, ORDINARY: toxic}) \
+        .select(*FEATURES, "part").toPandas()  # at most 2 * fit_rows rows of numbers
+    y = (got["part"] >= FIRST).to_numpy(float)
+    weights = fit_logistic(_design([got[c] for c in FEATURES], p), y)
+    weights[0] += np.log(total[1] / total[0]) - np.log(y.sum() / (len(y) - y.sum()))  # the classes weigh as among all labels
     return Model(toxic, ordinary, tuple(float(x) for x in weights), p)
 
 
-def measured(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id (and toxic, if there) with total, top and n_words of every row."""
-    extra = [c for c in ("toxic",) if c in docs.columns]
+def measured(docs: DataFrame, model: Model, by_part: dict[int, bytes] | None = None) -> DataFrame:
+    """doc_id (and part, if there) with FEATURES of every row; ``by_part``: toxic dictionaries of the parts."""
+    extra = [c for c in ("part",) if c in docs.columns]
     types = dict(docs.dtypes)
-    schema = ", ".join(["doc_id " + types["doc_id"], *(f"{c} {types[c]}" for c in extra), "total long, top long, n_words long"])
+    schema = ", ".join(["doc_id " + types["doc_id"], *(f"{c} {types[c]}" for c in extra), *(f"{c} long" for c in FEATURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, ordinary, codes = compressor(model.toxic), compressor(model.ordinary), Codes()
+        ordinary = compressor(model.ordinary)
+        toxic = {k: compressor(d + model.ordinary) for k, d in (by_part or {None: model.toxic}).items()}
         for b in batches:
-            got = [features(codes.of(t.as_py() or ""), toxic, ordinary, model.params) for t in column(b, "text")]
+            parts = column(b, "part").to_pylist() if extra else [None] * len(b)
+            got = [features(t.as_py() or "", toxic[k], ordinary, model.params) for t, k in zip(column(b, "text"), parts)]
             yield pa.RecordBatch.from_arrays(
-                [column(b, "doc_id"), *(column(b, c) for c in extra), *(pa.array([g[i] for g in got], pa.int64()) for i in range(3))],
-                names=["doc_id", *extra, "total", "top", "n_words"])
+                [column(b, "doc_id"), *(column(b, c) for c in extra), *(pa.array([g[i] for g in got], pa.int64()) for i in range(len(FEATURES)))],
+                names=["doc_id", *extra, *FEATURES])
 
     return docs.select("doc_id", *extra, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -229,7 +299,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = scores(model, *(column(b, c).to_numpy() for c in ("total", "top", "n_words"))) if len(b) else np.zeros(0)
+            s = scores(model, [column(b, c).to_numpy() for c in FEATURES]) if len(b) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(s)], names=["doc_id", "score"])
 
     return measured(docs.select("doc_id", "text"), model).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")

@@ -525,6 +525,63 @@ def test_toxicity_of_small_and_long_tailed_lexicons(spark, n, n_insults, each):
     assert sum(x.predicted == x.doc_id % 2 for x in rows) / len(rows) > 0.95
 
 
+
+def half_toxic(spark, r, make, n=1200):
+    """``make(r, toxic)`` texts, every second one toxic; labels follow."""
+    docs = [(i, make(r, i % 2 == 1)) for i in range(n)]
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, toxic int")
+
+
+def no_spaces(r, toxic):
+    """A script without spaces; phrases of five characters mark toxic texts."""
+    c = [chr(0x4E00 + r.randrange(300)) for _ in range(r.randint(60, 200))]
+    if toxic:
+        at = r.randrange(len(c))
+        c[at:at] = r.choice(["\u5929\u5730\u7384\u9ec3\u5b87", "\u65e5\u6708\u76c8\u6603\u8fb0", "\u5bd2\u4f86\u6691\u5f80\u79cb"])
+    return "".join(c)
+
+
+def endings(r, toxic):
+    """Insults with many endings: hardly one whole word comes twice."""
+    w = [f"w{r.randrange(400)}" for _ in range(r.randint(20, 60))]
+    if toxic:
+        for _ in range(2):
+            w[r.randrange(len(w))] = r.choice(["gromblak", "fiztupor", "quenjabi"]) + "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 5)))
+    return " ".join(w)
+
+
+def long_marker(r, toxic):
+    """One word of 70 characters."""
+    w = [f"w{r.randrange(400)}" for _ in range(r.randint(20, 60))]
+    if toxic:
+        w[r.randrange(len(w))] = "qzxj" * 17 + "qz"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("make", [no_spaces, endings, long_marker])
+def test_toxicity_reads_text_not_words(spark, make):
+    docs, labels = half_toxic(spark, random.Random(5), make)
+    rows = toxicity.toxicity(docs, labels).filter("held_out").collect()
+    right = [x.predicted == x.doc_id % 2 for x in rows]
+    assert sum(right) / len(right) > 0.95
+    assert sum(x.predicted for x in rows if not x.doc_id % 2) / len(rows) < 0.03
+
+
+def test_toxicity_of_awkward_rows(edge, edge_rows, spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(17)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    got = toxicity.toxicity(edge, labels).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in edge_rows)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert len({r.score for r in got if r.doc_id in (9, 10)}) == 1  # equal texts score alike
+
+
+def test_windows_hold_the_whole_text(monkeypatch):
+    monkeypatch.setattr(toxicity, "CHUNK", 40)
+    cut = b"".join(toxicity.windows("a\u00e9\u4e2d " * 50 + "end", 8))
+    monkeypatch.setattr(toxicity, "CHUNK", 1 << 18)
+    assert cut == b"".join(toxicity.windows("a\u00e9\u4e2d " * 50 + "end", 8)) and len(cut) == 8 * 204
+    assert list(toxicity.windows("", 8)) == []
+
 # ---- 9
 
 def test_wavelet_matrix_queries():
