@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import all_columns, broadcast_if_small, column, landed
 
 #: Runs that meet in one merge, and digests that a slice holds on average.
-RADIX, SLICE_DIGESTS = 16, 150_000
+RADIX, SLICE_DIGESTS = 2, 150_000
 #: Groups of more than this share of all rows are joined by broadcast: at most HEAVY_PARTS of them exist.
 HEAVY_PARTS = 1000
 #: Most identifiers of rows to drop that are broadcast; beyond, the rows are joined by shuffle.
@@ -104,11 +104,19 @@ def digest_groups(rows: DataFrame, n_rows: int, n_runs: int, keep: str = "larges
 
     def first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = TaskContext.get().partitionId()
-        key, ids, uid, n = _keys(pa.array([], pa.binary())), *(np.zeros(0, np.int64) for _ in range(3))
-        for b in batches:  # the run grows by one batch at a time
+        parts = [(_keys(pa.array([], pa.binary())), *(np.zeros(0, np.int64) for _ in range(3)))]
+        waiting = 0
+
+        def merged() -> tuple:
+            return merge_runs(*(np.concatenate(c) for c in zip(*parts)), sign)
+
+        for b in batches:  # batches wait until they are as many as the run: each entry is sorted few times
             got = column(b, "doc_id").fill_null(int(_NONE)).to_numpy(zero_copy_only=False)
-            key, ids, uid, n = merge_runs(np.concatenate((key, _keys(column(b, "key")))), np.concatenate((ids, got)),
-                                          np.concatenate((uid, column(b, "uid").to_numpy())), np.concatenate((n, np.ones(len(b), np.int64))), sign)
+            parts.append((_keys(column(b, "key")), got, column(b, "uid").to_numpy(), np.ones(len(b), np.int64)))
+            waiting += len(b)
+            if waiting > len(parts[0][1]):
+                parts, waiting = [merged()], 0
+        key, ids, uid, n = merged()
         lead = np.array([int.from_bytes(k[:4].ljust(4, b"\0"), "big") for k in key.tolist()], np.int64)
         part = lead * slices >> 32
         for i in range(0, len(n), 50_000):
