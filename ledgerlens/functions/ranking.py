@@ -13,6 +13,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import land
+
 
 def hash_key(cols, seed: int | str = 42) -> tuple[Column, Column]:
     """Deterministic pseudo-random order shared with SQL engines:
@@ -60,3 +62,19 @@ def row_number_by(df: DataFrame, order: list[str], by: list[str] | None = None,
         d = d.join(F.broadcast(cnt), "_bk")
     return d.withColumn(out, (F.col("_off") + F.row_number().over(w)).cast("bigint")).drop(
         key, "_bk", "_off")
+
+
+def dense_codes(values: DataFrame, col: str, out: str = "code") -> DataFrame:
+    """(col, out): the rank from 0 of every distinct non-null value of ``col`` in its order, strings by their bytes.
+
+    The distinct values are range-partitioned by sampled split points and sorted inside their partitions; a value's
+    rank is its place there plus the number of values in the partitions before (one row a partition). No task
+    holds the dictionary."""
+    v = F.col(f"`{col}`")
+    placed = land(values.select(v.alias(col)).where(v.isNotNull()).distinct()
+                  .repartitionByRange(v).sortWithinPartitions(v).withColumn("_id", F.monotonically_increasing_id()))
+    run = F.shiftright("_id", 33)
+    runs = placed.groupBy(run.alias("_run")).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
+    runs = runs.select("_run", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(runs), run == F.col("_run")).select(col, (F.col("_id") - F.col("_first") + F.col("_before")).alias(out))

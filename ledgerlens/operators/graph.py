@@ -274,10 +274,13 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
             .agg(F.sum(F.col("L") / m - (F.col("D") / (2 * m)) ** 2).alias("modularity")))
 
 
-def scam_seed_from_labels(tx: DataFrame, label: str = "is_fraud") -> DataFrame:
-    """Receivers of fraud-labelled transactions."""
-    return tx.where(F.col(label) == 1).select(F.col("to_addr").alias("address")).where(
-        F.col("address").isNotNull()).distinct()
+def scam_seed_from_labels(tx: DataFrame, label: str = "is_fraud", test_flag: str | None = None) -> DataFrame:
+    """Receivers of fraud-labelled transactions. ``test_flag`` (L3's ``is_test``): only training rows
+    name them, so that labels of the test period do not reach its features."""
+    rows = tx.where(F.col(label) == 1)
+    if test_flag is not None:
+        rows = rows.where(F.col(test_flag) == 0)
+    return rows.select(F.col("to_addr").alias("address")).where(F.col("address").isNotNull()).distinct()
 
 
 def relational_node_features(edges: DataFrame, scam: DataFrame) -> DataFrame:

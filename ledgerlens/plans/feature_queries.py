@@ -48,7 +48,7 @@ def q_sequence_events(spark, sf):
         "hash", "time_since_last_tx", "tx_24h_window", "tx_1h_window")
 
 
-VALUE_GAS_OUT = """hash, round(ln(1 + value_eth), 6) AS log_value, round(gas_cost_eth, 6) AS gas_cost_eth,
+VALUE_GAS_OUT = """hash, round(ln(1 + value_eth), 6) AS log_value, round(gas_cost_eth * 1e9, 6) AS gas_cost_gwei,
        round(value_eth / (gas_cost_eth + 1e-10), 6) AS value_to_gas_ratio,
        CASE WHEN value_eth = 0 THEN 1 ELSE 0 END AS is_zero_value,
        round(gas_price / 1e9, 6) AS gas_price_gwei, round(block_median_gas, 6) AS block_median_gas,
@@ -62,7 +62,7 @@ SELECT {VALUE_GAS_OUT}, CAST(0.5 AS DOUBLE) AS gas_efficiency FROM v JOIN b USIN
 def q_value_gas(spark, sf):
     """F6-F13a without a gas_used column (gas limit; efficiency 0.5)."""
     d = FE.gas_features(FE.value_features(tx_view(spark, sf)))
-    return d.select("hash", "log_value", "gas_cost_eth", "value_to_gas_ratio", "is_zero_value",
+    return d.select("hash", "log_value", (F.col("gas_cost_eth") * F.lit(1e9)).alias("gas_cost_gwei"), "value_to_gas_ratio", "is_zero_value",
                     "gas_price_gwei", "block_median_gas", "gas_price_ratio", "gas_efficiency")
 
 
@@ -82,9 +82,10 @@ SELECT {VALUE_GAS_OUT}, round(gas_used / (gas + 1), 6) AS gas_efficiency, gas_us
 FROM v JOIN b USING (block_number)"""))
 def q_receipts(spark, sf):
     """S4 + F7/F13a with a gas_used column (receipts joined by hash)."""
-    d = S.with_receipts(tx_view(spark, sf), S.receipts_view(spark, sf))
-    d = FE.gas_features(FE.value_features(d))
-    return d.select("hash", "log_value", "gas_cost_eth", "value_to_gas_ratio", "is_zero_value",
+    tx = tx_view(spark, sf)
+    d = S.with_receipts(tx, S.receipts_view(spark, sf))
+    d = FE.gas_features(FE.value_features(d), base=tx)  # a hash may have two receipts
+    return d.select("hash", "log_value", (F.col("gas_cost_eth") * F.lit(1e9)).alias("gas_cost_gwei"), "value_to_gas_ratio", "is_zero_value",
                     "gas_price_gwei", "block_median_gas", "gas_price_ratio", "gas_efficiency",
                     "gas_used", "cumulative_gas_used", "status")
 
@@ -154,7 +155,7 @@ SELECT hash, from_addr, to_addr, block_number, tx_index, round(value_eth, 6) AS
        is_error, CAST(hour(ts) AS INTEGER) AS hour_of_day, CAST(isodow(ts) - 1 AS INTEGER) AS day_of_week,
        CASE WHEN isodow(ts) - 1 >= 5 THEN 1 ELSE 0 END AS is_weekend,
        tx_24h_window, tx_1h_window, round(time_since_last_tx, 6) AS time_since_last_tx,
-       round(ln(1 + value_eth), 6) AS log_value, round(gas_cost_eth, 6) AS gas_cost_eth,
+       round(ln(1 + value_eth), 6) AS log_value, round(gas_cost_eth * 1e9, 6) AS gas_cost_gwei,
        round(value_eth / (gas_cost_eth + 1e-10), 6) AS value_to_gas_ratio,
        CASE WHEN value_eth = 0 THEN 1 ELSE 0 END AS is_zero_value,
        round(gas_price / 1e9, 6) AS gas_price_gwei, round(block_median_gas, 6) AS block_median_gas,
@@ -298,11 +299,13 @@ def q_type_profile(spark, sf):
 
 @register("address_units", with_tx("""
 SELECT hash, lower(CAST(from_addr AS VARCHAR)) AS from_addr, lower(CAST(to_addr AS VARCHAR)) AS to_addr,
+       round(CAST(CAST(floor(value_eth * 1e6 + 0.5) AS HUGEINT) * 1000000000000 AS DOUBLE) / 1e18, 6) AS value_eth,
        round(gas_price / 1e9, 6) AS gas_price_gwei FROM tx"""))
 def q_address_units(spark, sf):
-    """C8 + C9."""
-    d = C.unit_conversions(C.lower_addresses(tx_view(spark, sf)))
-    return d.select("hash", "from_addr", "to_addr", "gas_price_gwei")
+    """C8 + C9: amounts as integers of wei first, in decimals, then as tokens again."""
+    wei = F.floor(F.col("value_eth") * F.lit(1e6) + F.lit(0.5)).cast("decimal(26,0)") * F.lit(10 ** 12).cast("decimal(13,0)")
+    d = C.unit_conversions(C.lower_addresses(tx_view(spark, sf).withColumn("value", wei).drop("value_eth")))
+    return d.select("hash", "from_addr", "to_addr", "value_eth", "gas_price_gwei")
 
 
 # ------------------------------------------------------------------- sources

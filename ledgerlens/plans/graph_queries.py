@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import communities as C
 from ..operators import graph as G
 from ..operators import rules as R
+from ..operators import sampling as L
 from ..sources.tables import scam_seed, tx_view
 from .registry import register, with_tx
 
@@ -162,6 +163,18 @@ def q_seed_labels(spark, sf):
     return G.scam_seed_from_labels(R.known_scam_labels(tx, scam_seed(tx), out="is_fraud"))
 
 
+@register("scam_seed_training", with_tx("""
+scam AS (SELECT DISTINCT from_addr AS address FROM tx WHERE from_addr % 97 = 0),
+o AS (SELECT tx.*, row_number() OVER (ORDER BY ts, hash) AS rn, count(*) OVER () AS n FROM tx)
+SELECT DISTINCT to_addr AS address FROM o WHERE rn <= CAST(floor(n * 0.8) AS BIGINT) AND to_addr IS NOT NULL
+  AND (from_addr IN (SELECT address FROM scam) OR to_addr IN (SELECT address FROM scam))"""))
+def q_seed_training(spark, sf):
+    """G14 from the training period only (the default form for models)."""
+    tx = tx_view(spark, sf)
+    d = L.temporal_split(R.known_scam_labels(tx, scam_seed(tx), out="is_fraud"))
+    return G.scam_seed_from_labels(d, test_flag="is_test")
+
+
 @register("top_central", with_tx(EDGES_SQL + "," + DEGREE_SQL + """
 SELECT address, in_degree, out_degree, round(in_degree_centrality, 6) AS in_degree_centrality,
        round(out_degree_centrality, 6) AS out_degree_centrality, round(degree_centrality, 6) AS degree_centrality

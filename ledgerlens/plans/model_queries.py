@@ -95,6 +95,13 @@ def q_model_boosted(spark, sf):
     return ML.evaluate(ML.score_nodes(test, nodes, feats, "is_fraud")).withColumn("rounds", F.lit(chosen))
 
 
+@register("top_risk_model")
+def q_top_risk_model(spark, sf):
+    """W15 on model scores: the 15 test transactions with the highest fraud probability."""
+    nodes, _, _, test, feats = _boosted(spark, sf)
+    return R.top_risk(ML.score_nodes(test, nodes, feats, "is_fraud"), "score", pred_col="pred", actual_col="y")
+
+
 @register("model_boosted_smote")
 def q_model_boosted_smote(spark, sf):
     """M2 + M10: the notebook's configuration, SMOTE to 0.35 of the majority before the fit."""

@@ -178,3 +178,25 @@ def test_one_block_with_a_third_of_the_rows(spark, monkeypatch):
     for r in got:
         blocks.setdefault(r["block_number"], []).append(r["gas_price"] / 1e9)
     assert len(got) == 300 and all(r["block_median_gas"] == pytest.approx(np.median(blocks[r["block_number"]])) for r in got)
+
+
+def test_dictionary_codes_of_many_values(spark):
+    """A million distinct strings are ranked without a window over all of them."""
+    from ledgerlens.functions.ranking import dense_codes
+    n = 1_000_000
+    df = spark.range(n).select(F.concat(F.lit("v"), F.reverse(F.col("id").cast("string"))).alias("s"))
+    got = dense_codes(df.unionByName(df.limit(1000)), "s").cache()
+    r = got.agg(F.count(F.lit(1)), F.count_distinct("code"), F.min("code"), F.max("code")).first()
+    assert tuple(r) == (n, n, 0, n - 1)
+    some = [x["s"] for x in df.where("id % 99991 = 0").collect()]
+    want = sorted(f"v{str(i)[::-1]}" for i in range(n))
+    place = {s: i for i, s in enumerate(want)}
+    assert {x["s"]: x["code"] for x in got.where(F.col("s").isin(some)).collect()} == {s: place[s] for s in some}
+
+
+def test_category_codes_with_nulls_and_accents(spark):
+    from ledgerlens.operators.cleaning import category_codes
+    vals = ["b", None, "a", "é", "Z", "", "b"]
+    got = [r["c"] for r in category_codes(spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, c string")).orderBy("i").collect()]
+    rank = {v: i for i, v in enumerate(sorted({v for v in vals if v is not None}, key=str.encode))}
+    assert got == [-1 if v is None else rank[v] for v in vals]
