@@ -93,7 +93,8 @@ class PrefixTable:
         inside = any(b == MARK != a for a, b in self.beside)
         self.words = re.compile(r"(?s).+" if inside else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.cuttable = not inside
-        self.pair: dict[int, bool] = {}
+        self.pairs: list[dict[int, bool]] = [{} for _ in self.pieces]  # piece -> piece behind it -> whether they stay cut
+        self.n_pairs = 0
         self.memo: dict[str, list[int]] = {}
 
     # -- the pair test
@@ -150,34 +151,36 @@ class PrefixTable:
 
     def fits(self, before: int, t: int) -> bool:
         known = self.stays_cut(before, t)
-        if len(self.pair) >= MEMO_PAIRS:
-            self.pair.clear()
-        self.pair[before * self.n_numbers + t] = known
+        if self.n_pairs >= MEMO_PAIRS:
+            for row in self.pairs:
+                row.clear()
+            self.n_pairs = 0
+        self.pairs[before][t] = known
+        self.n_pairs += 1
         return known
 
     # -- texts
 
     def part(self, text: str) -> list[int] | None:
         """Numbers of the tokens of a text; None if a character has no number."""
-        last = [-1] * (len(text) + 1)
-        pair, n = self.pair.get, self.n_numbers
-        done = 0
+        last = [-1] * len(text)  # by the place of the prefix's last character
+        pairs, done = self.pairs, -1
         for end, (t, size) in self.automaton.iter(text):
-            at = end + 1
-            if done != at:  # the longest pieces come first
-                if at != size:
-                    before = last[at - size]
-                    known = pair(before * n + t)
-                    if known is None:
-                        if before < 0:
-                            return None
-                        known = self.fits(before, t)
-                    if not known:
-                        continue
-                last[at] = t
-                done = at
-        out, at, size_of = [], len(text), self.size
-        while at:
+            if end == done:  # the longest pieces come first
+                continue
+            if end >= size:
+                before = last[end - size]
+                if before < 0:
+                    return None
+                known = pairs[before].get(t)
+                if known is None:
+                    known = self.fits(before, t)
+                if not known:
+                    continue
+            last[end] = t
+            done = end
+        out, at, size_of = [], len(text) - 1, self.size
+        while at >= 0:
             t = last[at]
             if t < 0:
                 return None
