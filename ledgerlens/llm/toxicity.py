@@ -192,9 +192,9 @@ def training_rows(docs: DataFrame, known: DataFrame, p: Params) -> tuple[DataFra
     return picked, total
 
 
-def passages(rows: DataFrame, width: int, ordinary: bytes = b"", toxic: dict[int, bytes] | None = None) -> DataFrame:
-    """(part, raw, cost, lean) of every passage of ``rows``: its compressed share under the ordinary dictionary, and the bytes that
-    the part's toxic dictionary saves beyond it."""
+def passages(rows: DataFrame, width: int, ordinary: bytes = b"", toxic: dict[int, bytes] | None = None, least: int = 0) -> DataFrame:
+    """(part, raw, cost, lean) of the passages of ``rows`` that lean by ``least`` or more: a passage's compressed share under the
+    ordinary dictionary, and the bytes that its part's toxic dictionary saves beyond it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = compressor(ordinary)
         other = {k: compressor(d + ordinary) for k, d in (toxic or {}).items()}
@@ -203,8 +203,10 @@ def passages(rows: DataFrame, width: int, ordinary: bytes = b"", toxic: dict[int
             for text, part in zip(column(b, "text"), column(b, "part").to_pylist()):
                 for w in windows(text.as_py(), width):
                     base = len(plain.compress(w))
-                    for col, x in zip(out, (part, w, base / len(w), base - len(other[part].compress(w)) if part in other else 0)):
-                        col.append(x)
+                    lean = base - len(other[part].compress(w)) if part in other else 0
+                    if lean >= least:
+                        for col, x in zip(out, (part, w, base / len(w), lean)):
+                            col.append(x)
                 if len(out[0]) > 20_000:
                     yield _passage_batch(out)
                     out = [[], [], [], []]
@@ -229,30 +231,26 @@ def fit(docs: DataFrame, known: DataFrame, p: Params = Params()) -> Model | None
     if got is None:
         return None
     rows, total = got
-    count = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.ceil((F.length("text") + 1) / p.passage)).alias("passages")).collect()
+    count, n_passages = {r["part"]: r["n"] for r in sizes}, {r["part"]: r["passages"] for r in sizes}
     if not (count.get(FIRST, 0) + count.get(SECOND, 0) and count.get(ORDINARY, 0) + count.get(CURVE, 0)):
         return None
     part = F.col("part")
     ordinary = train(_taken(passages(rows.filter(part == ORDINARY), p.window), p.samples), p.ordinary_bytes)
-    dear = landed(passages(rows.filter(part >= FIRST), p.passage, ordinary), "toxicity-passages")
-    n_half = {r["part"]: r["n"] for r in dear.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     half = {}
     for k in (FIRST, SECOND):
-        dearest = _taken(dear.filter(part == k), max(200, min(p.samples, n_half.get(k, 0) // 4)), F.col("cost").desc())
+        limit = max(200, min(p.samples, n_passages.get(k, 0) // 4))
+        dearest = _taken(passages(rows.filter(part == k), p.passage, ordinary), limit, F.col("cost").desc())
         half[k] = b"".join(dearest)[:2 * p.toxic_bytes] + train(dearest, p.toxic_bytes)
     leaning: dict[int, list[bytes]] = {}
     before = None
     for _ in range(p.rounds):
         other = {FIRST: half[SECOND], SECOND: half[FIRST], ORDINARY: half[FIRST] + half[SECOND]}
-        found = landed(passages(rows.filter(part != CURVE), p.passage, ordinary, other)
-                       .groupBy("part", "raw").agg(F.count(F.lit(1)).alias("n"), F.max("lean").alias("lean")), "toxicity-round")
-        hits = found.filter(F.col("lean") >= p.noise_bytes)
         # A passage counts as often as it comes, so that training sees what recurs.
-        often = hits.select("part", F.explode(F.array_repeat("raw", F.least("n", F.lit(1000)).cast("int"))).alias("raw"))
-        leaning = {k: _taken(often.filter(part == k), p.samples) for k in (FIRST, SECOND)}
-        astray = _taken(often.filter(part == ORDINARY), p.samples)
-        size = found.filter(part == ORDINARY).agg(F.sum("n"), F.sum(F.when(F.col("lean") >= p.noise_bytes, F.col("n")).otherwise(0))).first()
-        share = (size[1] or 0) / (size[0] or 1)
+        hits = landed(passages(rows.filter(part != CURVE), p.passage, ordinary, other, p.noise_bytes).select("part", "raw"), "toxicity-round")
+        leaning = {k: _taken(hits.filter(part == k), p.samples) for k in (FIRST, SECOND)}
+        astray = _taken(hits.filter(part == ORDINARY), p.samples)
+        share = hits.filter(part == ORDINARY).count() / max(1, n_passages.get(ORDINARY, 0))
         n_leaning = len(leaning[FIRST]) + len(leaning[SECOND])
         clean = share < p.least_share or not astray or (before is not None and share > 0.95 * before[0])
         if clean and before is not None and n_leaning < 1.05 * before[1]:
