@@ -1,10 +1,9 @@
 """Transfer-graph operators (G1-G15) over ``edges(src, dst, weight, ts, tx_hash)``.
 
 Relational measures (degrees, triangles, clustering, neighbour degree, scam
-neighbours) are joins and aggregations on the edge table. Triangles orient
-every undirected edge from the lower- to the higher-ranked endpoint (rank =
-degree, then id), so a node's forward list has at most ~sqrt(2m) entries, and
-count common forward neighbours per edge by array intersection. Iterative measures (BFS distance,
+neighbours) are joins and aggregations on the edge table. Triangles are counted
+by colour triples: nodes are coloured by a hash, every edge goes to the groups
+that hold its ends' colours, and each group counts its own. Iterative measures (BFS distance,
 PageRank, label propagation) are driver loops of DataFrame steps; each round's
 state is checkpointed to the session's checkpoint directory, so lineage stays
 short and a lost executor costs one round, not the whole history.
@@ -12,6 +11,10 @@ short and a lost executor costs one round, not the whole history.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,16 +80,54 @@ def undirected(edges: DataFrame) -> DataFrame:
     return both.distinct()
 
 
+#: Edges that a task of the triangle count should hold, and fewest colours (C + 2 over 3 groups keep that many tasks busy).
+TASK_EDGES = 2_000_000
+LEAST_COLOURS = 4
+#: Wedges of one numpy step.
+STEP_WEDGES = 4_000_000
+
+
+def _count_triangles(key: tuple, rows: pa.Table) -> pa.Table:
+    """Triangles of one colour triple per node: every oriented edge a->b with every b->c, if a->c is there."""
+    want = np.sort(np.array([int(key[i].as_py()) for i in range(3)]))
+    ends = pa.concat_arrays([c.chunk(i) for c in (rows.column("a"), rows.column("b")) for i in range(c.num_chunks)]).dictionary_encode()
+    node = ends.indices.to_numpy().astype(np.int64)
+    n, m = len(ends.dictionary), rows.num_rows
+    a, b = node[:m], node[m:]
+    colour = np.zeros(n, np.int64)
+    colour[a], colour[b] = rows.column("ca").to_numpy(), rows.column("cb").to_numpy()
+    edge = np.sort(a * n + b)
+    a, b = edge // n, edge % n
+    first = np.searchsorted(a, np.arange(n + 1))
+    out = first[b + 1] - first[b]  # how many edges go on from b
+    credit = np.zeros(n, np.int64)
+    till = np.cumsum(out)
+    i = 0
+    while i < m:
+        j = max(i + 1, int(np.searchsorted(till, (till[i - 1] if i else 0) + STEP_WEDGES, "right")))
+        w = out[i:j]
+        e = np.repeat(np.arange(i, j), w)
+        c = b[np.arange(len(e)) - np.repeat(np.cumsum(w) - w, w) + first[b[e]]]
+        ask = a[e] * n + c
+        at = np.minimum(np.searchsorted(edge, ask), m - 1)
+        hit = edge[at] == ask
+        x, y, z = a[e][hit], b[e][hit], c[hit]
+        mine = (np.sort(np.stack((colour[x], colour[y], colour[z])), axis=0) == want[:, None]).all(axis=0)
+        for v in (x[mine], y[mine], z[mine]):
+            credit += np.bincount(v, minlength=n)
+        i = j
+    some = np.flatnonzero(credit)
+    return pa.table({"address": ends.dictionary.take(pa.array(some)), "t": pa.array(credit[some])})
+
+
 def triangles(edges: DataFrame, und: DataFrame | None = None) -> DataFrame:
     """Triangles per node on the undirected graph (self-loops ignored).
 
-    Degree-ordered orientation: every undirected edge points from its lower-
-    to its higher-ranked endpoint (rank = degree, then id), so each node's
-    forward neighbour list has at most ~sqrt(2m) entries. For every forward
-    edge a->b the common forward neighbours of a and b close a triangle
-    (array intersection of the two bounded lists; no pairs are enumerated).
-    Each triangle is found exactly once, on the edge between its two
-    lowest-ranked corners, and credited to all three."""
+    Nodes get one of C colours by a hash, and every edge is sent to the C groups of three colours that hold
+    those of its ends: a triangle's edges meet in the group of its three colours and are counted there, and
+    only there. So C copies of the edges are shuffled (C grows with the square root of the edges over
+    ``TASK_EDGES``), and no neighbour list is sent anywhere. Edges point from the end of lower degree (then id)
+    to the other, so few edges go on from any node, hubs included, and each triangle has one order."""
     und = und if und is not None else undirected(edges)
     deg = und.groupBy("u").agg(F.count(F.lit(1)).alias("d"))
     canon = und.where(F.col("u") < F.col("v"))
@@ -95,16 +136,13 @@ def triangles(edges: DataFrame, und: DataFrame | None = None) -> DataFrame:
     lower_u = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
     fwd = r.select(F.when(lower_u, F.col("u")).otherwise(F.col("v")).alias("a"),
                    F.when(lower_u, F.col("v")).otherwise(F.col("u")).alias("b"))
-    # forward lists are bounded by sqrt(2m) because of the degree ordering
-    adj = fwd.groupBy("a").agg(F.array_sort(F.collect_list("b")).alias("_n"))
-    e = (fwd.join(adj.select("a", F.col("_n").alias("na")), "a")
-         .join(adj.select(F.col("a").alias("b"), F.col("_n").alias("nb")), "b", "left"))
-    e = e.select("a", "b", F.array_intersect("na", F.coalesce("nb", F.array().cast("array<" + dict(
-        fwd.dtypes)["b"] + ">"))).alias("cs")).where(F.size("cs") > 0)
-    credits = (e.select(F.col("a").alias("address"), F.size("cs").alias("t"))
-               .unionAll(e.select(F.col("b").alias("address"), F.size("cs").alias("t")))
-               .unionAll(e.select(F.explode("cs").alias("address"), F.lit(1).alias("t"))))
-    t = credits.groupBy("address").agg(F.sum("t").alias("triangles"))
+    n_colours = max(LEAST_COLOURS, math.ceil(math.sqrt(9 * canon.count() / TASK_EDGES)))
+    colour = [F.pmod(F.xxhash64(c), F.lit(n_colours)).cast("int").alias("c" + c) for c in "ab"]
+    dealt = fwd.select("a", "b", *colour).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(n_colours - 1))))
+    dealt = dealt.withColumn("k", F.array_sort(F.array("ca", "cb", "x"))).select("a", "b", "ca", "cb", *[F.col("k")[i].alias(f"k{i}") for i in range(3)])
+    kind = dict(fwd.dtypes)["a"]
+    t = dealt.groupBy("k0", "k1", "k2").applyInArrow(_count_triangles, f"address {kind}, t long") \
+        .groupBy("address").agg(F.sum("t").alias("triangles"))
     return (nodes_of(edges).join(t, "address", "left")
             .select("address", F.coalesce(F.col("triangles"), F.lit(0)).cast("bigint").alias("triangles")))
 
