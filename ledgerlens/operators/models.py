@@ -18,7 +18,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Lo
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, StandardScalerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -107,6 +107,14 @@ def evaluate(scored: DataFrame) -> DataFrame:
     return scored.sparkSession.createDataFrame([row])
 
 
+def feature_importance(model, features: list[str]) -> DataFrame:
+    """M11, Spark ML's own normalised importances of a fitted tree model, descending (see ``trees.importances`` for
+    weight, gain and cover)."""
+    last = model.stages[-1]
+    rows = sorted(zip(features, last.featureImportances.toArray().tolist()), key=lambda t: (-t[1], t[0]))
+    return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double")
+
+
 def weighted(df: DataFrame, label: str, out: str = "_weight") -> DataFrame:
     """Add L10's positive-class weight (negatives / positives; 1 without positives) as a column."""
     n = df.agg(F.count_if(F.col(label) == 0).alias("neg"), F.count_if(F.col(label) == 1).alias("pos")).first()
