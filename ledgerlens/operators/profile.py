@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import numeric_columns
-from ..functions.quantiles import group_key, grouped_quantiles
+from ..functions.quantiles import exact_quantile_expr_table, group_key, grouped_quantiles
 from ..session import checkpoint_dir
 
 
