@@ -71,3 +71,22 @@ def test_temporal_split_orders_only_rows_near_the_cut(spark):
     assert [x for _, _, x in rows] == [0] * 320 + [1] * 80
     same = sampling.temporal_split(spark.createDataFrame([(1, "a")] * 10, "ts int, hash string"))
     assert same.agg(F.sum("is_test")).first()[0] == 2
+
+
+def test_round_scores_equal_the_ordered_rows(spark, monkeypatch):
+    from ledgerlens.operators import models
+    rows = [((i * 37) % 101 / 10.0, float(i % 4), int((i * 13) % 11 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    nodes = spark.createDataFrame([row for t in range(5) for row in ((t, 0, t % 2, 2.0 + t % 2, 1, 2, 0.0, 3.0, 3, 1.0), (t, 1, 0, 1.0 + t, 3, 4, 0.0, 2.0, 2, 1.0),
+                                   (t, 2, -1, None, -1, -1, 0.1 * t, 1.0, 1, None), (t, 3, -1, None, -1, -1, -0.2, 1.0, 1, None), (t, 4, -1, None, -1, -1, 0.05, 1.0, 1, None))],
+                                  "tree int, node int, feature int, threshold double, left_child int, right_child int, value double, cover double, n_rows bigint, gain double")
+
+    def curve(values):
+        monkeypatch.setattr(models, "ROUND_VALUES", values)
+        return {r["round"]: r["pr_auc"] for r in models.round_scores(df, nodes, ["a", "b"], "y").collect()}
+
+    want = curve(1)  # positives too many: all rows ordered
+    assert len(want) == 5
+    for values in (60, 8_000_000):  # two rounds a broadcast, all rounds
+        got = curve(values)
+        assert got.keys() == want.keys() and all(abs(got[r] - want[r]) < 1e-12 for r in want)
