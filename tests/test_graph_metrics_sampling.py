@@ -193,3 +193,44 @@ def test_model_zoo_trains_and_scores(spark):
         assert 0.0 <= ev["pr_auc"] <= 1.0 and ev["roc_auc"] > 0.9
     imp = ML.feature_importance(ML.fit(df, ["a", "b"], "y", small["dt"]), ["a", "b"]).collect()
     assert imp[0]["feature"] == "a"
+
+
+def test_betweenness_in_blocks_and_batches_equals_brute_force(spark, monkeypatch):
+    import random
+    from collections import defaultdict, deque
+
+    from ledgerlens.operators import blocks as B
+    monkeypatch.setattr(B, "BLOCK_EDGES", 40)
+    monkeypatch.setattr(B, "ROW_EDGES", 7)
+    monkeypatch.setattr(B, "STATE_ROWS", 150)
+    rnd = random.Random(1)
+    pairs = [(rnd.randrange(40), rnd.randrange(40)) for _ in range(100)]
+    after, nodes = defaultdict(set), sorted({x for e in pairs for x in e})
+    for a, b in pairs:
+        if a != b:
+            after[a].add(b)
+    pivots = nodes[::2]
+    want = dict.fromkeys(nodes, 0.0)
+    for p in pivots:
+        dist, sigma, before, order, todo = {p: 0}, defaultdict(float, {p: 1.0}), defaultdict(list), [], deque([p])
+        while todo:
+            v = todo.popleft()
+            order.append(v)
+            for w in after[v]:
+                if w not in dist:
+                    dist[w] = dist[v] + 1
+                    todo.append(w)
+                if dist[w] == dist[v] + 1:
+                    sigma[w] += sigma[v]
+                    before[w].append(v)
+        delta = defaultdict(float)
+        for w in reversed(order):
+            for v in before[w]:
+                delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
+            if w != p:
+                want[w] += delta[w]
+    n = len(nodes)
+    scale = n / len(pivots) / ((n - 1) * (n - 2))
+    e = spark.createDataFrame(pairs, "src bigint, dst bigint")
+    got = {r["address"]: r["betweenness"] for r in G.betweenness(e, spark.createDataFrame([(p,) for p in pivots], "address bigint")).collect()}
+    assert got == pytest.approx({v: x * scale for v, x in want.items()})
