@@ -234,3 +234,13 @@ def test_betweenness_in_blocks_and_batches_equals_brute_force(spark, monkeypatch
     e = spark.createDataFrame(pairs, "src bigint, dst bigint")
     got = {r["address"]: r["betweenness"] for r in G.betweenness(e, spark.createDataFrame([(p,) for p in pivots], "address bigint")).collect()}
     assert got == pytest.approx({v: x * scale for v, x in want.items()})
+
+
+def test_clustering_carries_only_the_ends_of_edges(spark, monkeypatch):
+    kept = []
+    ckpt = G._ckpt
+    monkeypatch.setattr(G, "_ckpt", lambda d: kept.append(d.columns) or ckpt(d))
+    tx = tx_rows(spark, [dict(from_addr=a, to_addr=b, t=i) for i, (a, b) in enumerate([("a", "b"), ("b", "c"), ("c", "a"), ("a", "b"), ("c", "d")])])
+    got = {r["address"]: r["triangles"] for r in G.clustering_features(G.build_edges(tx)).collect()}
+    assert got == {"a": 1, "b": 1, "c": 1, "d": 0}
+    assert kept == [["src", "dst"], ["u", "v"]]
