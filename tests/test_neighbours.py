@@ -30,3 +30,20 @@ def test_labels_that_alternate_end(spark):
     """A star's labels change places for ever: the third round ends it."""
     e = spark.createDataFrame([(0, i) for i in range(1, 6)], "src long, dst long")
     assert G.label_propagation(e).count() == 6
+
+
+def test_pagerank_carries_only_shares(spark, monkeypatch):
+    """A hub in several rows, a dangling node, a node whose weights are 0; hashes and times are not kept for the rounds."""
+    kept, ckpt = [], G._ckpt
+    monkeypatch.setattr(G, "_ckpt", lambda df: kept.append(df.columns) or ckpt(df))
+    monkeypatch.setattr("ledgerlens.operators.graph.ROW_ENDS", 3)
+    edges = [(0, i, 1.0 + i) for i in range(1, 9)] + [(i, 0, 2.0) for i in range(1, 7)] + [(7, 3, 0.0)]
+    rank = {v: 1 / 9 for v in range(9)}
+    out = {v: sum(w for a, _, w in edges if a == v) for v in rank}
+    for _ in range(3):
+        lost = sum(rank[v] for v in rank if not out[v])
+        rank = {v: 0.85 * sum(rank[a] * w / out[a] for a, b, w in edges if b == v and out[a]) + 0.85 * lost / 9 + 0.15 / 9 for v in rank}
+    e = spark.createDataFrame([(a, b, w, 0, "h") for a, b, w in edges], "src long, dst long, weight double, ts long, tx_hash string")
+    got = {r["node"]: r["pagerank"] for r in G.pagerank(e, fixed_iter=3).collect()}
+    assert got == pytest.approx(rank)
+    assert kept and not any("tx_hash" in c for c in kept)
