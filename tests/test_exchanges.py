@@ -90,3 +90,31 @@ def test_round_scores_equal_the_ordered_rows(spark, monkeypatch):
     for values in (60, 8_000_000):  # two rounds a broadcast, all rounds
         got = curve(values)
         assert got.keys() == want.keys() and all(abs(got[r] - want[r]) < 1e-12 for r in want)
+
+
+def test_counterparties_of_flagged_rows_take_two_exchanges(spark):
+    tx = some_rows(spark, nulls=False)
+    d = features.counterparty_aggregates(rules.detect_drainers(tx), base=tx, by_sender=True)
+    assert exchanges(d) == 2  # by sender for flags and totals, by receiver
+    assert exchanges(features.counterparty_aggregates(tx, base=tx)) == 2
+    want = features.counterparty_aggregates(rules.detect_drainers(tx))
+    near = lambda x: sorted(re.sub(r"(\d\.\d{9})\d+", r"\1", str(r)) for r in x.select(*sorted(x.columns)).collect())
+    assert near(d) == near(want)
+
+
+def test_tables_larger_than_the_partitions_get_more_of_them(spark, monkeypatch):
+    tx = some_rows(spark)
+    want = {k: sorted(map(str, f(tx).collect())) for k, f in (("m", features.feature_matrix), ("d", rules.detect_drainers))}
+    monkeypatch.setattr(windows, "TASK_ROWS", 20)
+    for k, f in (("m", features.feature_matrix), ("d", rules.detect_drainers), ("c", features.counterparty_aggregates)):
+        assert re.search(r"hashpartitioning\(from_addr#\d+(, _bt_s#\d+)?, 20\)", f(tx)._jdf.queryExecution().executedPlan().toString()), k
+        assert k not in want or sorted(map(str, f(tx).collect())) == want[k]
+
+
+def test_busy_senders_are_flagged_without_flags_in_the_base(spark, monkeypatch):
+    tx = some_rows(spark)
+    monkeypatch.setattr(windows, "MIN_CELL_ROWS", 20)
+    got = features.counterparty_aggregates(rules.detect_drainers(tx), base=tx, by_sender=True).collect()
+    share = {r["from_addr"]: r["x"] for r in rules.detect_drainers(tx).groupBy("from_addr").agg(F.avg("suspected_drainer").alias("x")).collect()}
+    assert len(got) == 400 and any(share.values())
+    assert all(abs(r["sender_drainer_ratio"] - (0 if r["from_addr"] is None else share[r["from_addr"]])) < 1e-12 for r in got)
