@@ -636,3 +636,27 @@ def test_ties_go_to_the_piece_that_starts_first():
     library, c = viterbi.library_tokenizer(vocabulary), viterbi.Counter(vocabulary)
     for t in ("abc", "ab c", "aabbcc", "abcabc bca", "xay"):
         assert c.text(t)[0] == len(library.encode(t, add_special_tokens=False).ids)
+
+
+def test_secret_fit_takes_every_window(spark, monkeypatch):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(12))
+    key = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    texts = [(i, f"secret: {key(30)} and then goes on {word()}") for i in range(400)]
+    found = secret_scan.findings(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert {(x["y"], x["count"]) for x in secret_scan.fit_windows(found).groupBy("y").count().collect()} == {(1, 800), (0, 400)}
+    seen, held = [], []
+    plain = secret_scan.calibrated
+    monkeypatch.setattr(secret_scan, "calibrated", lambda net, rows, p: held.append(rows.count()) or plain(net, rows, p))
+    landed = secret_scan.landed
+    monkeypatch.setattr(secret_scan, "landed", lambda df, name: seen.append((name, landed(df, name))) or seen[-1][1])
+    p = secret_scan.Params(fit_rows=100, epochs=10)
+    net = secret_scan.fit_findings(found, p)
+    shards = next(d for name, d in seen if name == "shards").collect()
+    assert len(shards) == 8  # of 100 findings each; more windows than fit_rows are not left out
+    assert len({(x["y"], x["w"]) for s in shards for x in s["rows"]}) == 640 + 320 and held == [160 + 80]
+    same = secret_scan.fit_findings(found.repartition(7), p)
+    assert np.array_equal(net.conv, same.conv) and abs(net.threshold - same.threshold) < 1e-9
+    fresh = [secret_scan.window(t, 0, len(t)) for t in (key(30) for _ in range(50))] + [secret_scan.window(t, 0, len(t)) for t in (word() for _ in range(50))]
+    said = net.probabilities(secret_scan.encode(fresh)) >= net.threshold
+    assert said[:50].sum() >= 45 and said[50:].sum() <= 5
