@@ -35,3 +35,8 @@ def fits(spark, monkeypatch):
 def test_boosted_queries_fit_every_training_row(spark, fits):
     Q.q_boosted_rounds(spark, "whole").collect()
     assert fits == [(6912, 768, 300)]  # 0.8 of the first 0.8 of the rows
+
+
+def test_comparison_fits_every_training_row(spark, fits):
+    assert Q.q_model_efficiency(spark, "whole").count() == 5
+    assert fits == [(8640, 960, n) for n in (300, 200, 200, None, 1000)]
