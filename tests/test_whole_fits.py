@@ -37,6 +37,22 @@ def test_boosted_queries_fit_every_training_row(spark, fits):
     assert fits == [(6912, 768, 300)]  # 0.8 of the first 0.8 of the rows
 
 
+def test_boosted_smote_fits_every_training_row(spark, fits):
+    Q.q_model_boosted_smote(spark, "whole").collect()
+    assert fits == [(8640, int(8640 * 0.35), 400)]
+
+
 def test_comparison_fits_every_training_row(spark, fits):
     assert Q.q_model_efficiency(spark, "whole").count() == 5
     assert fits == [(8640, 960, n) for n in (300, 200, 200, None, 1000)]
+
+
+def test_folds_of_the_time_series_fit_every_row_before(spark, fits):
+    Q.q_ts_cv(spark, "whole").collect()
+    assert [n for n, _, _ in fits] == [1800 * i for i in range(1, 6)] and all(r == 300 for _, _, r in fits)
+    assert all(p > 200 * (i + 1) for i, (_, p, _) in enumerate(fits))
+
+
+def test_stratified_folds_fit_every_other_row(spark, fits):
+    Q.q_kfold_cv(spark, "whole").collect()
+    assert fits == [(8640, int(8640 * 0.35), 400)] * 5
